@@ -590,4 +590,8 @@ ORACLES = {
           count(*) AS changes FROM changes GROUP BY 1""",
     "last_seen": """SELECT 'S' || user_id AS "SID", strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen,
         floor(epoch(max(ts))) < epoch(TIMESTAMP '2024-01-31') - 86400 AS stale FROM events GROUP BY 1""",
+    "stratified_split": _with(PEOPLE) + """, drawn AS (SELECT "SID", sleep_deprivation_label, md5("SID" || '#42') AS draw FROM labelled)
+        SELECT "SID", sleep_deprivation_label,
+          row_number() OVER (PARTITION BY sleep_deprivation_label ORDER BY draw, "SID")
+          <= floor(count(*) OVER (PARTITION BY sleep_deprivation_label) * 0.4::DOUBLE + 0.5) AS is_test FROM drawn""",
 }
