@@ -14,9 +14,8 @@ def message_bpm(value: Column) -> Column:
     A missing ``bpm`` key counts as zero, a number in quotes is accepted, and
     an explicit null is an error.
     """
-    keys = F.json_object_keys(value)
-    stated = to_number(F.from_json(value, "bpm string")["bpm"])
-    return F.when(F.array_contains(keys, "bpm"), stated).when(keys.isNotNull(), 0.0)
+    fields = F.from_json(value, "map<string,string>")
+    return F.when(F.map_contains_key(fields, "bpm"), to_number(fields["bpm"])).when(fields.isNotNull(), 0.0)
 
 
 def derived_channels(bpm: Column) -> dict[str, Column]:

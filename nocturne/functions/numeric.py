@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
 LEADING_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 
 def to_number(col: Column) -> Column:
     """Text to DOUBLE; anything that is not a plain number becomes NULL.
 
-    The pattern test comes first because a bare cast also reads ``1d``, ``inf``
-    and ``nan``.
+    The pattern comes first because a bare cast also reads ``1d``, ``inf`` and
+    ``nan``.
     """
-    text = F.trim(col.cast("string"))
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.regexp_extract(col.cast("string"), NUMBER, 1).try_cast("double")
 
 
 def percent_number(col: Column) -> Column:

@@ -196,25 +196,33 @@ def normalise_sessions(raw: DataFrame, now: str) -> DataFrame:
     ``raw`` holds text columns; NULL means the field is absent. ``now`` is the
     date for rows that state none.
     """
-    number = lambda c: F.coalesce(leading_number(F.col(c)), F.lit(0.0))
-    risk = clamp(
-        F.when(F.col("riskProbability").isNotNull(), number("riskProbability")).otherwise(
-            number("riskScore") / 100
-        ),
-        0.0,
-        1.0,
-    )
-    efficiency = F.when(F.col("sleep_efficiency").isNotNull(), number("sleep_efficiency")).otherwise(
-        clamp(number("sleepQuality"), 0.0, 100.0)
-    )
-    return raw.filter(text.filled(F.col("id")).isNotNull()).select(
+    texts = ["riskProbability", "riskScore", "sleep_efficiency", "sleepQuality"]
+    numbers = [c for c in (*sleep.STAGE_FIELDS, *DETAIL_FEATURES, *texts) if c in raw.columns]
+    # In steps, so that each text is parsed once.
+    parsed = raw.filter(text.filled(F.col("id")).isNotNull()).select(
         "id",
+        "status",
         F.coalesce(text.filled(F.col("sid")), F.col("id")).alias("sid"),
         F.coalesce(text.filled(F.col("date")), text.filled(F.col("createdAt")), F.lit(now)).alias("date"),
         text.parse_duration(F.col("duration")).alias("duration"),
-        risk.alias("riskProbability"),
-        bands.explicit_risk(risk, F.coalesce(F.col("riskLevel"), F.col("risk"))).alias("riskLevel"),
+        F.coalesce(F.col("riskLevel"), F.col("risk")).alias("stated"),
+        *[F.col(c).isNotNull().alias(f"has_{c}") for c in texts],
+        *[F.coalesce(leading_number(F.col(c)), F.lit(0.0)).alias(c) for c in numbers],
+    )
+    chosen = parsed.withColumns(
+        {
+            "riskProbability": F.when(F.col("has_riskProbability"), F.col("riskProbability")).otherwise(
+                F.col("riskScore") / 100
+            ),
+            "sleep_efficiency": F.when(F.col("has_sleep_efficiency"), F.col("sleep_efficiency")).otherwise(
+                clamp(F.col("sleepQuality"), 0.0, 100.0)
+            ),
+        }
+    ).withColumn("riskProbability", clamp(F.col("riskProbability"), 0.0, 1.0))
+    return chosen.select(
+        "id", "sid", "date", "duration", "riskProbability",
+        bands.explicit_risk(F.col("riskProbability"), F.col("stated")).alias("riskLevel"),
         text.known_status(F.col("status")).alias("status"),
-        *[number(c).alias(c) for c in (*sleep.STAGE_FIELDS, *DETAIL_FEATURES) if c in raw.columns],
-        efficiency.alias("sleep_efficiency"),
+        *[c for c in numbers if c not in texts],
+        "sleep_efficiency",
     )

@@ -180,9 +180,9 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages_from(events: DataFrame) -> DataFrame:
     """Heart-rate messages, some of them odd: broken, quoted, empty, null."""
-    k = F.get_json_object("props", "$.k").cast("int") % 20
-    value = F.col("value").cast("string")
-    return events.select(
+    k, value = F.col("k"), F.col("value").cast("string")
+    keyed = events.withColumn("k", F.get_json_object("props", "$.k").cast("int") % 20)
+    return keyed.select(
         "event_id",
         F.concat(F.lit("sensor/S"), F.col("user_id"), F.lit("/hr")).alias("topic"),
         F.when(k == 0, "notjson")
