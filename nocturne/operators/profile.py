@@ -112,26 +112,24 @@ def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     Constant columns give NULL. The pairs are columns of one row, so the data
     is read once and each pair keeps a fixed-size partial aggregate.
     """
-    cells = {c: no_nan(F.col(f"`{c}`").cast("double")) for c in columns}
-    pairs = [
-        F.struct(
-            F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), cells[a].alias("x"), cells[b].alias("y")
-        )
-        for i, a in enumerate(columns)
-        for b in columns[i:]
-    ]
-    both = (
-        df.select(F.explode(F.array(*pairs)).alias("pair"))
-        .select("pair.*")
-        .groupBy("column_a", "column_b")
-        .agg(
-            F.regr_sxy("y", "x").alias("xy"),
-            F.regr_sxx("y", "x").alias("xx"),
-            F.regr_syy("y", "x").alias("yy"),
-        )
+    cells = F.array(*[no_nan(F.col(f"`{c}`").cast("double")) for c in columns])
+    last = F.lit(len(columns) - 1)
+    paired = (
+        df.select(cells.alias("v"))
+        .select("v", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+        .select("v", "i", F.explode(F.sequence(F.col("i"), last)).alias("j"))
+        .select("i", "j", F.get("v", F.col("i")).alias("x"), F.get("v", F.col("j")).alias("y"))
+    )
+    both = paired.groupBy("i", "j").agg(
+        F.regr_sxy("y", "x").alias("xy"),
+        F.regr_sxx("y", "x").alias("xx"),
+        F.regr_syy("y", "x").alias("yy"),
     )
+    names = F.array(*[F.lit(c) for c in columns])
     r = F.col("xy") / F.sqrt(F.nullif(F.col("xx") * F.col("yy"), F.lit(0.0)))
-    upper = both.select("column_a", "column_b", r.alias("r"))
+    upper = both.select(
+        F.get(names, F.col("i")).alias("column_a"), F.get(names, F.col("j")).alias("column_b"), r.alias("r")
+    )
     sides = F.array(
         F.struct(F.col("column_a").alias("a"), F.col("column_b").alias("b")),
         F.struct(F.col("column_b").alias("a"), F.col("column_a").alias("b")),

@@ -43,6 +43,25 @@ def external_sid(name: Column) -> Column:
     return F.coalesce(named, naming.stem_sid(F.regexp_replace(name, r"(?i)\.csv$", "")))
 
 
+def first_line(path: str) -> str:
+    """First line of a file on any file system Arrow can open.
+
+    The path is taken as written: names may hold blanks and percent signs.
+    """
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition(":")
+    if scheme in ("file", path):
+        system, inner = fs.LocalFileSystem(), "/" + (rest or path).lstrip("/")
+    else:
+        host, _, inner = rest.lstrip("/").partition("/")
+        system, base = fs.FileSystem.from_uri(f"{scheme}://{host}/")
+        inner = f"{base.rstrip('/')}/{inner}"
+    with system.open_input_stream(inner) as stream:
+        text = stream.read(HEADER_BYTES).decode("utf-8-sig", errors="replace")
+    return text.splitlines()[0] if text else ""
+
+
 def file_headers(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """(path, header) of each file; tasks read the first line only."""
     files = (
@@ -50,17 +69,8 @@ def file_headers(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     )
 
     def first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         for batch in batches:
-            lines = []
-            for path in batch["path"]:
-                uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
-                system, inner = fs.FileSystem.from_uri(uri)
-                with system.open_input_stream(inner) as stream:
-                    text = stream.read(HEADER_BYTES).decode("utf-8-sig", errors="replace")
-                lines.append(text.splitlines()[0] if text else "")
-            yield pd.DataFrame({"path": batch["path"], "header": lines})
+            yield pd.DataFrame({"path": batch["path"], "header": [first_line(p) for p in batch["path"]]})
 
     return files.mapInPandas(first_lines, "path string, header string")
 
