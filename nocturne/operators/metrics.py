@@ -175,10 +175,18 @@ def meets_targets(report: DataFrame) -> DataFrame:
     return report.select(*keep, F.explode(F.array(*items)).alias("item")).select(*keep, "item.*")
 
 
+def side_by_side(*parts: DataFrame) -> DataFrame:
+    """One-row tables as one row, without a join that has no key."""
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    return stacked.agg(*[F.max(f"`{c}`").alias(c) for c in stacked.columns])
+
+
 def clinical_report(joined: DataFrame, n_iter: int = 1000, seed: int = 42) -> DataFrame:
     """The one-row report: counts, measures, AUC and two intervals."""
-    report = clinical_metrics(joined)
-    single = [
+    report = side_by_side(
+        clinical_metrics(joined),
         roc_auc(joined),
         bootstrap_ci(joined, SENSITIVITY_SQL, n_iter=n_iter, seed=seed).select(
             F.col("ci_low").alias("Sensitivity_low"), F.col("ci_high").alias("Sensitivity_high")
@@ -186,11 +194,7 @@ def clinical_report(joined: DataFrame, n_iter: int = 1000, seed: int = 42) -> Da
         bootstrap_ci(joined, SPECIFICITY_SQL, n_iter=n_iter, seed=seed + 1).select(
             F.col("ci_low").alias("Specificity_low"), F.col("ci_high").alias("Specificity_high")
         ),
-    ]
-    report = report.withColumn("_one", F.lit(1))
-    for part in single:
-        # Both sides are single rows.
-        report = report.join(part.withColumn("_one", F.lit(1)), "_one", "left")
+    )
     rounded = ["Sensitivity", "Specificity", "PPV", "NPV", "AUC_ROC", "Cohen_Kappa"]
     return report.select(
         F.col("n").alias("N"),

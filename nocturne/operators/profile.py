@@ -158,7 +158,8 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
     if low == high:
         low, high = low - 0.5, high + 0.5
     width = (high - low) / bins
-    place = F.least(F.floor((cell - low) / width), F.lit(bins - 1))
+    # least() alone would put missing cells into the last bin.
+    place = F.when(cell.isNotNull(), F.least(F.floor((cell - low) / width), F.lit(bins - 1)))
     row = df.agg(*[F.count_if(place == b).alias(f"n{b}") for b in range(bins)])
     items = [
         F.struct(

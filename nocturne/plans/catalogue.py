@@ -163,7 +163,7 @@ def corr_matrix(spark, sf):
 
 
 def histogram(spark, sf):
-    return profile.histogram(participants(spark, sf), "BMI")
+    return profile.histogram(participants(spark, sf), "AHI")
 
 
 def class_counts(spark, sf):
@@ -207,9 +207,8 @@ def roc_auc(spark, sf):
 
 def targets_met(spark, sf):
     joined = judged(spark, sf)
-    report = metrics.clinical_metrics(joined).withColumn("_one", F.lit(1))
-    area = metrics.roc_auc(joined).withColumn("_one", F.lit(1))
-    measured = report.join(area, "_one").select("n", "Sensitivity", "Specificity", "AUC_ROC", "Cohen_Kappa")
+    report = metrics.side_by_side(metrics.clinical_metrics(joined), metrics.roc_auc(joined))
+    measured = report.select("n", "Sensitivity", "Specificity", "AUC_ROC", "Cohen_Kappa")
     return rounded(metrics.meets_targets(measured), ["value"])
 
 

@@ -66,7 +66,7 @@ def train(spark: SparkSession, table: str, out: str, **options) -> Trained:
     )
     nested = trained.leaderboard.agg(F.collect_list(F.struct("*")).alias("leaderboard"))
     sinks.write_training(
-        trained.leaderboard, summary.withColumn("_one", F.lit(1)).join(nested.withColumn("_one", F.lit(1)), "_one").drop("_one"), out
+        trained.leaderboard, metrics.side_by_side(summary, nested), out
     )
     save_bundle(spark, trained, f"{out.rstrip('/')}/bundle")
     return trained

@@ -389,9 +389,9 @@ ORACLES = {
     "describe_numeric": _with(PEOPLE) + _describe_numeric(["AGE", "BMI", "OAHI", "AHI", "Mean_SaO2", "Arousal Index"], "people"),
     "describe_text": _with(PEOPLE) + _describe_text(["GENDER", "MEDICAL_HISTORY", "Sleep_Disorders"], "people"),
     "corr_matrix": _with(READINGS, FEATURES, PEOPLE, TABLE) + _corr(PROFILE_COLUMNS, "feature_table"),
-    "histogram": _with(PEOPLE) + """, ends AS (SELECT min("BMI") AS lo, max("BMI") AS hi,
-        least(8, greatest(3, count(DISTINCT "BMI"))) AS bins FROM people),
-        spots AS (SELECT least(floor(("BMI" - lo) / ((hi - lo) / bins)), bins - 1) AS b FROM people, ends WHERE "BMI" IS NOT NULL)
+    "histogram": _with(PEOPLE) + """, ends AS (SELECT min("AHI") AS lo, max("AHI") AS hi,
+        least(8, greatest(3, count(DISTINCT "AHI"))) AS bins FROM people),
+        spots AS (SELECT least(floor(("AHI" - lo) / ((hi - lo) / bins)), bins - 1) AS b FROM people, ends WHERE "AHI" IS NOT NULL)
         SELECT g.bin::INT AS bin, lo + g.bin * ((hi - lo) / bins) AS bin_low, lo + (g.bin + 1) * ((hi - lo) / bins) AS bin_high,
           (SELECT count(*) FROM spots WHERE b = g.bin) AS n
         FROM ends, (SELECT unnest(range(8)) AS bin) g WHERE g.bin < bins""",
