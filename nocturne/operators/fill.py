@@ -11,7 +11,7 @@ from nocturne.operators.ordered import prefix_sums
 
 # Exact medians keep the distinct values of a column in memory; above this many
 # cells the values are counted and ranked across the cluster instead.
-IN_MEMORY_CELLS = 20_000_000
+IN_MEMORY_CELLS = 5_000_000
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

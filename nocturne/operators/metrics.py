@@ -63,8 +63,8 @@ def cohen_kappa():
     """Agreement beyond chance from the four counts; NULL when undefined."""
     tp, tn, fp, fn = (F.col(c).cast("double") for c in ("tp", "tn", "fp", "fn"))
     n = tp + tn + fp + fn
-    seen = (tp + tn) / n
-    chance = ((tp + fp) * (tp + fn) + (tn + fn) * (tn + fp)) / (n * n)
+    seen = F.try_divide(tp + tn, n)
+    chance = F.try_divide((tp + fp) * (tp + fn) + (tn + fn) * (tn + fp), n * n)
     return F.try_divide(seen - chance, 1.0 - chance)
 
 

@@ -73,19 +73,23 @@ def trend_change(
 
 
 def new_predictions(results: DataFrame, predictions: DataFrame, key: str = "session_id") -> DataFrame:
-    """Results for sessions that have no finished prediction yet."""
-    finished = predictions.filter(F.col("prediction").isNotNull()).select(key)
+    """Results for sessions that have no finished prediction yet.
+
+    The right side is made distinct first, so a session with very many
+    predictions is one row in the join.
+    """
+    finished = predictions.filter(F.col("prediction").isNotNull()).select(key).distinct()
     return results.join(finished, key, "left_anti")
 
 
 def reject_existing(new: DataFrame, current: DataFrame, key: str) -> DataFrame:
     """New rows whose key is free; one row per key."""
-    return new.join(current.select(key), key, "left_anti").dropDuplicates([key])
+    return new.dropDuplicates([key]).join(current.select(key).distinct(), key, "left_anti")
 
 
 def session_report(own: DataFrame, shared: DataFrame, key: str = "SID") -> DataFrame:
     """A session's own rows, else its rows in the shared table."""
-    return own.unionByName(shared.join(own.select(key), key, "left_anti"), allowMissingColumns=True)
+    return own.unionByName(shared.join(own.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
 
 
 def dashboard_sessions(

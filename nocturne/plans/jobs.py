@@ -22,22 +22,34 @@ def labelled_participants(participants: DataFrame) -> DataFrame:
 
 
 def build_features(readings: DataFrame, participants: DataFrame) -> DataFrame:
-    joined = features.join_participants(
+    return features.join_participants(
         features.recording_features(readings), labelled_participants(participants)
     )
-    return features.require_rows(joined, "no recording matches a participant: check the SIDs")
 
 
-def preprocess(spark: SparkSession, folder: str, participants: str, out: str) -> DataFrame:
-    """Recordings and participants to the raw and the filled feature table."""
+def features_from_tables(spark: SparkSession, readings: DataFrame, participants: DataFrame, out: str) -> DataFrame:
+    """The raw and the filled feature table of readings in our layout.
+
+    The raw table is written once and read back for the medians and the empty
+    check, so the readings are aggregated once.
+    """
     root = out.rstrip("/")
-    raw = build_features(recordings.read_readings(spark, folder), tables.read_participants(spark, participants))
-    sinks.write_features(raw, f"{root}/features_raw")
-    stored = tables.read_features(spark, f"{root}/features_raw")
+    sinks.write_features(build_features(readings, participants), f"{root}/features_raw")
+    stored = features.require_rows(
+        tables.read_features(spark, f"{root}/features_raw"),
+        "no recording matches a participant: check the SIDs",
+    )
     sinks.write_features(fill.apply_fill(stored, fill.fit_fill(stored)), f"{root}/features")
     return tables.read_features(spark, f"{root}/features")
 
 
+def preprocess(spark: SparkSession, folder: str, participants: str, out: str) -> DataFrame:
+    """Recordings and participants to the raw and the filled feature table."""
+    return features_from_tables(
+        spark, recordings.read_readings(spark, folder), tables.read_participants(spark, participants), out
+    )
+
+
 def profile_tables(df: DataFrame) -> dict[str, DataFrame]:
     """Overview, missing cells, correlations, class counts and clinical histograms."""
     numeric = fill.numeric_columns(df)
@@ -156,21 +168,11 @@ def harmonise(spark: SparkSession, root: str, participants: str, out: str, in_ro
     }
 
 
-def features_from_tables(spark: SparkSession, readings: DataFrame, participants: DataFrame, out: str) -> DataFrame:
-    """The preprocess job over tables that are already in our layout."""
-    root = out.rstrip("/")
-    sinks.write_features(build_features(readings, participants), f"{root}/features_raw")
-    stored = tables.read_features(spark, f"{root}/features_raw")
-    sinks.write_features(fill.apply_fill(stored, fill.fit_fill(stored)), f"{root}/features")
-    return tables.read_features(spark, f"{root}/features")
-
-
 def clinical_report(predictions: DataFrame, truth: DataFrame, out: str, n_iter: int = 1000) -> DataFrame:
-    joined = features.require_rows(
-        metrics.join_truth(predictions, truth), "predictions and truth share no SID"
-    )
-    report = metrics.clinical_report(joined, n_iter)
-    sinks.write_report(report, out)
+    sinks.write_report(metrics.clinical_report(metrics.join_truth(predictions, truth), n_iter), out)
+    report = predictions.sparkSession.read.parquet(out)
+    if not report.first()["N"]:
+        raise ValueError("predictions and truth share no SID")
     return report
 
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from nocturne.functions.live import derived_channels, message_bpm
+from nocturne.runtime import cut_lineage
 from nocturne.schemas import CHANNELS
 
 MESSAGE = "topic string, value string, timestamp timestamp"
 IMPUTED = ("EDA", "TEMP", "BVP")
+BROADCAST_BINS = 100_000
 
 
 def read_live(spark: SparkSession, folder: str, schema: str = MESSAGE, **options: str) -> DataFrame:
@@ -57,15 +59,19 @@ def with_device(messages: DataFrame, name: str = "device") -> DataFrame:
 def fit_bins(readings: DataFrame, width: float) -> DataFrame:
     """Mean EDA, TEMP and BVP per heart-rate bin, from rows that have all four."""
     complete = readings.select("HR", *IMPUTED).dropna()
-    return complete.groupBy(F.floor(F.col("HR") / width).alias("hr_bin")).agg(
+    bins = complete.groupBy(F.floor(F.col("HR") / width).alias("hr_bin")).agg(
         *[F.avg(c).alias(f"bin_{c}") for c in IMPUTED]
     )
+    # A stream joins the bins in every trigger; they must not be fitted each time.
+    return cut_lineage(bins)
 
 
 def impute_live(rows: DataFrame, bins: DataFrame, width: float) -> DataFrame:
     """Replaces EDA, TEMP and BVP by the bin means; no bin or no pulse keeps them."""
     keyed = rows.withColumn("hr_bin", F.when(F.col("bpm") > 0, F.floor(F.col("bpm") / width)))
-    joined = keyed.join(bins, "hr_bin", "left")
+    # Heart rates crowd into few bins, so a shuffle on the bin would be skewed.
+    small = bins.count() <= BROADCAST_BINS
+    joined = keyed.join(F.broadcast(bins) if small else bins, "hr_bin", "left")
     return joined.withColumns(
         {
             "imputed": F.col(f"bin_{IMPUTED[0]}").isNotNull(),

@@ -115,7 +115,7 @@ def test_preprocess_and_profile(spark, folder):
 def test_unmatched_sids_raise(spark, folder):
     people = tables.read_participants(spark, str(folder / "participant_info.csv")).filter("SID = 'S006'")
     with pytest.raises(ValueError, match="SIDs"):
-        jobs.build_features(recordings.read_readings(spark, str(folder)), people)
+        jobs.features_from_tables(spark, recordings.read_readings(spark, str(folder)), people, str(folder / "none"))
 
 
 def test_duplicate_participants_fan_out(spark, folder):
