@@ -8,6 +8,8 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nocturne.learning.preprocess import sized
+
 TARGETS = ("EDA", "TEMP", "BVP")
 
 
@@ -27,7 +29,8 @@ def condensed(readings: DataFrame, batches: int = 64) -> DataFrame:
 
 def fit_imputer(readings: DataFrame, trees: int = 10, depth: int = 10, seed: int = 42) -> PipelineModel:
     """One forest per channel; only the four columns are read, once for all three."""
-    rows = condensed(readings).persist()
+    means = condensed(readings).persist()
+    rows = sized(means, means.count() * len(means.columns)).persist()
     stages = [VectorAssembler(inputCols=["HR"], outputCol="hr_vector", handleInvalid="skip")]
     for target in TARGETS:
         stages.append(
@@ -38,6 +41,7 @@ def fit_imputer(readings: DataFrame, trees: int = 10, depth: int = 10, seed: int
         )
     model = Pipeline(stages=stages).fit(rows)
     rows.unpersist()
+    means.unpersist()
     return model
 
 
