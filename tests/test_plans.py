@@ -3,7 +3,7 @@
 import re
 
 import __spark_entry__ as entry
-from nocturne.operators import features
+from nocturne.operators import features, sessions
 from nocturne.plans import adapters as a
 from nocturne.plans import catalogue as c
 
@@ -23,8 +23,11 @@ def test_scan_reads_only_what_is_used(spark, sf):
     assert "ts:" not in text.split("ReadSchema")[1]
 
 
-def test_owner_filter_reaches_the_scan(spark, sf):
-    assert "EqualTo(o_custkey,7)" in plan(c.scoped_listing(spark, sf)).split("PushedFilters")[1]
+def test_owner_filter_reaches_the_scan(spark, sf, tmp_path):
+    a.sessions(spark, sf).write.parquet(str(tmp_path / "s"))
+    own = sessions.scope_to_user(spark.read.parquet(str(tmp_path / "s")), 7, "patient")
+    assert "EqualTo(user_id,7)" in plan(own)
+    assert "EqualTo" not in plan(sessions.scope_to_user(spark.read.parquet(str(tmp_path / "s")), 7, "admin"))
 
 
 def test_newest_row_is_preselected_before_the_shuffle(spark, sf):
