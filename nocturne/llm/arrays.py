@@ -7,7 +7,6 @@ about ``BLOCK`` bytes, so the memory of a task does not follow the batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +24,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, at least ``n`` of each."""
-    return _powers(max(BLOCK, 1 << (n - 1).bit_length()) if n else BLOCK)
+    """Powers of the hash base and of its inverse, at least ``n`` of each; the last table is kept."""
+    n = max(BLOCK, 1 << max(n - 1, 0).bit_length())
+    if n in _POWERS:
+        return _POWERS[n]
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    _POWERS.clear()
+    _POWERS[n] = np.cumprod(up), np.cumprod(down)
+    return _POWERS[n]
 
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,8 +88,8 @@ def _cuts(data: np.ndarray, start: int, stop: int) -> Iterator[tuple[int, int]]:
         yield start, stop
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased, and its document's index."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased if asked, and its document's index."""
     hashes, owners = [], []
     first, last = int(offsets[0]), int(offsets[-1])
     for start, stop in _cuts(data, first, last):
@@ -101,7 +103,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         if not len(at):
             continue
         up, down = powers(len(block))
-        worth = (LOWER[block].astype(np.uint64) + np.uint64(1)) * up[: len(block)]
+        worth = ((LOWER[block] if lower else block).astype(np.uint64) + np.uint64(1)) * up[: len(block)]
         worth[~inside] = 0
         hashes.append(mix(np.add.reduceat(worth, at) * down[at]))
         owners.append(np.searchsorted(offsets, at + start, "right") - 1)

@@ -8,10 +8,13 @@ can fall any more. Registers are cut into bands; documents of equal bands are ca
 
 Documents of equal sets are one node (the smallest doc_id). In a bucket of a band every
 node is compared with one hub only, so a bucket of n nodes gives n - 1 pairs and not
-n * n / 2; other bands and later rounds take other hubs. When hub rounds are done, pairs
-of one bucket that were never compared and still lie in different components are compared
-too, so no link that could join two components is skipped. Each comparison is made on
-whole shingle sets.
+n * n / 2. Buckets whose nodes then lie in different components take their best linked
+node as reference and compare it with all. What is left are pairs of one bucket in
+different components, and of those only pairs that could reach the similarity: with
+``a`` shingles of a node in the reference and ``s`` shingles that any other such node
+has too, two nodes share at most ``min(a, a') + min(s - a, s' - a')`` shingles. So a
+large family of copies that differ too much from each other gives no pairs, and no
+link that could join two components is skipped. Each comparison is made on whole sets.
 
 Defined cases: null, empty or blank text: no shingles, linked with nothing. Fewer words
 than a shingle: the whole sequence is the one shingle. Null doc_id: counted, linked with
@@ -37,8 +40,6 @@ BAND = 4
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Rounds in which a bucket compares its nodes with one hub.
-HUB_ROUNDS = 2
 
 _STEP = np.uint64(0x632BE59BD9B4E019)
 _STEPS = np.arange(1, 257, dtype=np.uint64) * _STEP
@@ -142,27 +143,42 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(collect, f"doc_id {kind}, set_digest binary, members binary")
 
 
-def _linked(pairs: DataFrame, percent: int) -> DataFrame:
-    """``a, b, linked`` of pairs with both sets: the exact comparison."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b, common, linked``: shingles in common of each pair's whole sets, and the verdict."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, left, right = batch.columns
-            linked = []
+            common, linked = [], []
             for x, y in zip(left, right, strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
+                common.append(both)
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays(
+                [a, b, pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "common", "linked"]
+            )
 
+    left = sets.select(F.col("node").alias("a"), F.col("members").alias("left"))
+    right = sets.select(F.col("node").alias("b"), F.col("members").alias("right"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
     kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.select("a", "b", "left", "right").mapInArrow(compare, f"a {kind}, b {kind}, linked boolean")
+    return stored(both.mapInArrow(compare, f"a {kind}, b {kind}, common long, linked boolean"), "compared")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left = sets.select(F.col("node").alias("a"), F.col("members").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("members").alias("right"))
-    return stored(_linked(pairs.join(left, "a").join(right, "b"), percent), "compared")
+def _shared_shingles(sets: DataFrame) -> DataFrame:
+    """``node, alone``: how many shingles no other of these nodes has."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, members in zip(*batch.columns, strict=True):
+                held = np.frombuffer(members.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(held), node.type), pa.array(held)], names=["node", "shingle"])
+
+    kind = sets.schema["node"].dataType.simpleString()
+    spread_out = sets.select("node", "members").mapInArrow(spread, f"node {kind}, shingle long")
+    once = spread_out.groupBy("shingle").agg(F.count("*").alias("held"), F.min("node").alias("node")).filter("held = 1")
+    return once.groupBy("node").agg(F.count("*").alias("alone"))
 
 
 def _ordered(pairs: DataFrame, percent: int) -> DataFrame:
@@ -175,13 +191,21 @@ def _ordered(pairs: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets whose nodes lie in different components, with their labels."""
+    held = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = held.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    return stored(held.join(mixed.select("bucket"), "bucket"), "mixed")
+
+
+def _ends(compared: DataFrame) -> DataFrame:
+    return compared.select(F.col("a").alias("node"), F.col("b").alias("other"), "common", "linked").unionByName(
+        compared.select(F.col("b").alias("node"), F.col("a").alias("other"), "common", "linked")
+    )
+
+
 def near_duplicates(
-    docs: DataFrame,
-    percent: int = PERCENT,
-    registers: int = REGISTERS,
-    band: int = BAND,
-    shingle: int = SHINGLE,
-    hub_rounds: int = HUB_ROUNDS,
+    docs: DataFrame, percent: int = PERCENT, registers: int = REGISTERS, band: int = BAND, shingle: int = SHINGLE
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
 
@@ -197,45 +221,58 @@ def near_duplicates(
         "nodes",
     )
     banded = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("held")).filter("held > 1").select("bucket")
-    buckets = stored(banded.join(shared, "bucket"), "buckets")
+    hubs = banded.groupBy("bucket").agg(F.count("*").alias("held"), F.min(F.struct("node", "n")).alias("hub")).filter("held > 1")
+    hubs = hubs.select("bucket", F.col("hub.node").alias("other"), F.col("hub.n").alias("other_n"))
+    buckets = stored(banded.join(hubs, "bucket"), "buckets")
 
     candidates = buckets.select(F.col("node").alias("doc_id")).distinct()
     texts = docs.join(candidates.hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = _sets(texts, shingle).join(
-        nodes.select("set_digest", "node"), "set_digest"
-    ).filter("doc_id = node").select("node", "members").dropDuplicates(["node"])
-    sets = stored(sets, "sets")
-
-    compared, labels, round_ = None, None, 0
-    while True:
-        held = buckets.withColumn("label", F.col("node"))
-        if labels is not None:
-            held = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if round_ < hub_rounds:
-            turn = F.xxhash64("node", F.lit(round_)) if round_ else F.col("node")
-            order = F.struct(turn.alias("turn"), "node", "n", "label")
-            hubs = held.groupBy("bucket").agg(F.min(order).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
-            hubs = hubs.filter("low <> high").select(
-                "bucket", F.col("hub.node").alias("other"), F.col("hub.n").alias("other_n"), F.col("hub.label").alias("other_label")
-            )
-            pairs = held.join(hubs, "bucket")
-        else:
-            mixed = held.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-            split = held.join(mixed.select("bucket"), "bucket")
-            others = split.select(
-                "bucket", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label")
-            )
-            pairs = split.join(others, "bucket").filter("label < other_label")
-        pairs = _ordered(pairs.filter("label <> other_label"), percent)
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        fresh = _verified(pairs, sets, percent)
-        compared = fresh if compared is None else compared.unionByName(fresh)
-        labels = components(compared.filter("linked").select("a", "b"))
-        round_ += 1
-        if round_ > hub_rounds:
-            break
+    sets = _sets(texts, shingle).join(nodes.select("set_digest", "node"), "set_digest").filter("doc_id = node")
+    sets = stored(sets.select("node", "members").dropDuplicates(["node"]), "sets")
+
+    compared = _verified(_ordered(buckets, percent), sets, percent)
+    labels = components(compared.filter("linked").select("a", "b"))
+
+    # a well linked reference for buckets that fall apart
+    mixed = _mixed(buckets.select("bucket", "node", "n"), labels)
+    degrees = _ends(compared).filter("linked").groupBy("node").agg(F.count("*").alias("degree"))
+    ranked = mixed.join(degrees, "node", "left").select(
+        "bucket", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), (-F.col("node")).alias("turn"), "n").alias("place")
+    )
+    references = ranked.groupBy("bucket").agg(F.max("place").alias("best"))
+    references = references.select("bucket", (-F.col("best.turn")).alias("other"), F.col("best.n").alias("other_n"))
+    referred = stored(mixed.select("bucket", "node", "n").join(references, "bucket"), "referred")
+    fresh = _ordered(referred, percent).join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    compared = compared.unionByName(_verified(fresh, sets, percent))
+    labels = components(compared.filter("linked").select("a", "b"))
+
+    # pairs of one bucket in different components that may still reach the similarity
+    mixed = _mixed(referred, labels)
+    alone = _shared_shingles(sets.join(mixed.select("node").distinct(), "node", "left_semi"))
+    common = _ends(compared).select("node", "other", "common")
+    bounded = mixed.join(common, ["node", "other"], "left").join(alone, "node", "left").select(
+        "bucket",
+        "node",
+        "n",
+        "label",
+        F.when(F.col("node") == F.col("other"), F.col("n")).otherwise(F.col("common")).alias("common"),
+        (F.col("n") - F.coalesce("alone", F.lit(0))).alias("known"),
+    )
+    # a pair never compared, for its sizes, has no known common part: only the sum binds
+    bounded = stored(
+        bounded.withColumn("inside", F.coalesce(F.least("common", "known"), "known")).withColumn(
+            "outside", F.coalesce(F.col("known") - F.least("common", "known"), "known")
+        ),
+        "bounded",
+    )
+    x, y = bounded.alias("x"), bounded.alias("y")
+    at_most = F.least("x.inside", "y.inside") + F.least("x.outside", "y.outside")
+    possible = (100 + percent) * at_most >= percent * (F.col("x.n") + F.col("y.n"))
+    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & possible)
+    rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    fresh = rest.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    compared = compared.unionByName(_verified(fresh, sets, percent))
+    labels = components(compared.filter("linked").select("a", "b"))
 
     classes = nodes.select("set_digest", "node").join(labels, "node", "left").select(
         "set_digest", F.coalesce("label", "node").alias("of_set")

@@ -3,9 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from nocturne.llm import langid, quality
 from nocturne.llm.neardup import near_duplicates
-from nocturne.llm.tables import read
+from nocturne.llm.tables import held_out, read, stored
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("held_out", held_out())
+    model = langid.train(docs.filter(~F.col("held_out")))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = stored(quality.measures(read(spark, sf_dir, "documents", "doc_id", "text")), "measures")
+    return quality.judge(measured).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
+    )
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,5 +28,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_langid": op8_langid,
+    "op9_quality": op9_quality,
     "op10_minhash": op10_minhash,
 }
