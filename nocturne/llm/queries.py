@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nocturne.llm import langid, quality
+from nocturne.llm import langid, quality, repeats
+from nocturne.llm.decontaminate import decontaminate
 from nocturne.llm.neardup import near_duplicates
 from nocturne.llm.tables import held_out, read, stored
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.deduplicate(read(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("held_out", held_out())
     model = langid.train(docs.filter(~F.col("held_out")))
@@ -28,6 +37,8 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_decontaminate": op5_decontaminate,
+    "op6_repeats": op6_repeats,
     "op8_langid": op8_langid,
     "op9_quality": op9_quality,
     "op10_minhash": op10_minhash,
