@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nocturne.llm import langid, quality, repeats
+from nocturne.llm import langid, mixing, quality, repeats, toxicity, warc
 from nocturne.llm.decontaminate import decontaminate
 from nocturne.llm.neardup import near_duplicates
 from nocturne.llm.tables import held_out, read, stored
 
 
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents", "doc_id", "source"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    labels = read(spark, sf_dir, "labels", "doc_id", "toxic").filter(~held_out())
+    lexicon = toxicity.learn(docs.join(labels, "doc_id"))
+    scored = toxicity.score(docs, lexicon)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
 
@@ -19,6 +31,12 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.deduplicate(read(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.with_revisits(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+    chunks = warc.read_archives(warc.write_archives(records), with_data=False)
+    return warc.payloads(chunks).drop("intact")
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("held_out", held_out())
     model = langid.train(docs.filter(~F.col("held_out")))
@@ -37,8 +55,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mix": op1_mix,
+    "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
     "op6_repeats": op6_repeats,
+    "op7_warc": op7_warc,
     "op8_langid": op8_langid,
     "op9_quality": op9_quality,
     "op10_minhash": op10_minhash,
