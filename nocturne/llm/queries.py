@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nocturne.llm import langid, mixing, quality, repeats, toxicity, urls, warc
+from nocturne.llm import langid, mixing, quality, repeats, secrets, toxicity, urls, warc
 from nocturne.llm.decontaminate import decontaminate
 from nocturne.llm.neardup import near_duplicates
 from nocturne.llm.tables import held_out, read, stored
@@ -15,6 +15,13 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents", "doc_id", "source"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = secrets.scan(read(spark, sf_dir, "documents", "doc_id", "text"))
+    counts = [secrets.count("known_spans", kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    known = F.sha2(secrets.span_list("known_spans"), 256).alias("base_sha256")
+    return scanned.select("doc_id", *counts, known, secrets.span_list("spans").alias("spans"))
+
+
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages", "page_id", "url")).drop("score")
 
@@ -60,6 +67,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op2_secrets": op2_secrets,
     "op3_urls": op3_urls,
     "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
