@@ -36,8 +36,9 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; the model learns from all that carry a language."""
     model = langid.train(docs)
-    judged = langid.identify(docs, model)
-    return judged.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LANGUAGE_SCORE)).select(*docs.columns)
+    judged = langid.identify(docs, model, "stage_pred", "stage_score")
+    told = (F.col("stage_pred") != langid.UNDETERMINED) & (F.col("stage_score") >= LANGUAGE_SCORE)
+    return judged.filter(told).drop("stage_pred", "stage_score")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

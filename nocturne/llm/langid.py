@@ -97,10 +97,10 @@ def train(docs: DataFrame, smoothing: float = 0.5, max_langs: int = MAX_LANGS) -
     )
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` from its column ``text``; columns of these names are replaced."""
+def identify(docs: DataFrame, model: LanguageModel, pred: str = "lang_pred", score_column: str = "score") -> DataFrame:
+    """``docs`` with the language and its score, from its column ``text``; columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_prior, model.log_prob))
-    kept = docs.drop("lang_pred", "score")
+    kept = docs.drop(pred, score_column)
     columns = kept.columns
     at = columns.index("text")
 
@@ -128,8 +128,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     scores.append(float(1 / np.exp(logit - logit[best]).sum()))
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                    names=[*columns, "lang_pred", "score"],
+                    names=[*columns, pred, score_column],
                 )
 
-    schema = T.StructType([*kept.schema.fields]).add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*kept.schema.fields]).add(pred, "string").add(score_column, "double")
     return kept.mapInArrow(score, schema)

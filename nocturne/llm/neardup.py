@@ -9,7 +9,7 @@ can fall any more. Registers are cut into bands; documents of equal bands are ca
 Documents of equal sets are one node (the smallest doc_id). In a bucket of a band every
 node is compared with one hub only, so a bucket of n nodes gives n - 1 pairs and not
 n * n / 2. Buckets whose nodes then lie in different components take their best linked
-node as reference and compare it with all. What is left are pairs of one bucket in
+node as reference and compare it with all. What is left are nodes of one reference in
 different components, and of those only pairs that could reach the similarity: with
 ``a`` shingles of a node in the reference and ``s`` shingles that any other such node
 has too, two nodes share at most ``min(a, a') + min(s - a, s' - a')`` shingles. So a
@@ -246,18 +246,19 @@ def near_duplicates(
     compared = compared.unionByName(_verified(fresh, sets, percent))
     labels = components(compared.filter("linked").select("a", "b"))
 
-    # pairs of one bucket in different components that may still reach the similarity
-    mixed = _mixed(referred, labels)
+    # nodes of one reference in different components that may still reach the similarity
+    mixed = _mixed(referred, labels).drop("bucket").distinct()
     alone = _shared_shingles(sets.join(mixed.select("node").distinct(), "node", "left_semi"))
     common = _ends(compared).select("node", "other", "common")
     bounded = mixed.join(common, ["node", "other"], "left").join(alone, "node", "left").select(
-        "bucket",
+        "other",
         "node",
         "n",
         "label",
         F.when(F.col("node") == F.col("other"), F.col("n")).otherwise(F.col("common")).alias("common"),
         (F.col("n") - F.coalesce("alone", F.lit(0))).alias("known"),
     )
+    bounded = bounded.filter(100 * F.col("known") >= percent * F.col("n"))
     # a pair never compared, for its sizes, has no known common part: only the sum binds
     bounded = stored(
         bounded.withColumn("inside", F.coalesce(F.least("common", "known"), "known")).withColumn(
@@ -268,7 +269,7 @@ def near_duplicates(
     x, y = bounded.alias("x"), bounded.alias("y")
     at_most = F.least("x.inside", "y.inside") + F.least("x.outside", "y.outside")
     possible = (100 + percent) * at_most >= percent * (F.col("x.n") + F.col("y.n"))
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & possible)
+    rest = x.join(y, (F.col("x.other") == F.col("y.other")) & (F.col("x.label") < F.col("y.label")) & possible)
     rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     fresh = rest.join(compared.select("a", "b"), ["a", "b"], "left_anti")
     compared = compared.unionByName(_verified(fresh, sets, percent))

@@ -207,6 +207,7 @@ def span_list(spans: str) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``[kind]``; overlapping spans become one, of the first kind."""
     columns = docs.columns
+    scanned = scan(docs.select(F.struct("*").alias("row"), "text"))
 
     def step(state: Column, span: Column) -> Column:
         fresh = span["start"] >= state["at"]
@@ -217,4 +218,4 @@ def redact(docs: DataFrame) -> DataFrame:
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text")))
     clean = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(F.col("text"))
-    return scan(docs).withColumn("text", clean).select(*columns)
+    return scanned.select(*(clean.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in columns))
