@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from nocturne.llm import langid, mixing, secrets
 from nocturne.llm.decontaminate import decontaminate
 from nocturne.llm.neardup import near_duplicates
-from nocturne.llm.tables import counted_broadcast, read, stored
+from nocturne.llm.tables import counted_broadcast, read, stored, unused
 
 #: Least language score of a document that stays.
 LANGUAGE_SCORE = 0.5
@@ -29,16 +29,18 @@ ORACLE_SQL = None
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` less the rows whose doc_id (null included) is in ``dropped``."""
-    gone = stored(dropped.select(F.col("doc_id").alias("gone_id")).distinct(), "dropped")
-    return docs.join(counted_broadcast(gone), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    gone_id = unused(docs, "gone_id")
+    gone = stored(dropped.select(F.col("doc_id").alias(gone_id)).distinct(), "dropped")
+    return docs.join(counted_broadcast(gone), F.col("doc_id").eqNullSafe(F.col(gone_id)), "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; the model learns from all that carry a language."""
     model = langid.train(docs)
-    judged = langid.identify(docs, model, "stage_pred", "stage_score")
-    told = (F.col("stage_pred") != langid.UNDETERMINED) & (F.col("stage_score") >= LANGUAGE_SCORE)
-    return judged.filter(told).drop("stage_pred", "stage_score")
+    pred, score = unused(docs, "lang_pred"), unused(docs, "score")
+    judged = langid.identify(docs, model, pred, score)
+    told = (F.col(pred) != langid.UNDETERMINED) & (F.col(score) >= LANGUAGE_SCORE)
+    return judged.filter(told).drop(pred, score)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -131,8 +131,11 @@ def mix(
     """
     kept = docs.drop(*ADDED)
     key = F.coalesce(F.md5(F.col(id_column).cast("string").cast("binary")), F.lit("0" * 32))
-    keyed = kept.withColumns(
-        {"mix_source": F.coalesce(F.col(source_column), F.lit(NO_SOURCE)), "mix_key": key, "mix_tie": F.xxhash64(*kept.columns)}
+    keyed = kept.select(
+        F.struct(*kept.columns).alias("row"),  # no input column meets one of this module's
+        F.coalesce(F.col(source_column), F.lit(NO_SOURCE)).alias("mix_source"),
+        key.alias("mix_key"),
+        F.xxhash64(*kept.columns).alias("mix_tie"),
     )
     counts = stored(keyed.groupBy("mix_source").agg(F.count("*").alias("n")), "mix-counts")
     n_sources = counts.count()
@@ -155,7 +158,7 @@ def mix(
     )
     slot = F.floor(F.col("block") / F.col("weight")) * F.col("cycle") + F.col("at")
     return placed.withColumn("slot", slot).select(
-        *kept.columns,
+        "row.*",
         "source_rank",
         "block",
         F.floor(F.col("block") * F.col("cycle") / F.col("weight")).alias("release"),

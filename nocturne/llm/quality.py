@@ -165,7 +165,7 @@ def judge(measured: DataFrame, threshold: float = 0.5) -> DataFrame:
     """
     voted = measured.withColumn("pattern", F.concat_ws(",", *(v.cast("string") for v in rules().values())))
     held = voted.groupBy("pattern").count().toPandas().sort_values("pattern")
-    patterns = np.array([[int(x) for x in p.split(",")] for p in held["pattern"]]).reshape(len(held), -1)
+    patterns = np.array([[int(x) for x in p.split(",")] for p in held["pattern"]]).reshape(len(held), len(rules()))
     posterior = estimate(patterns, held["count"].to_numpy(float))
     spark = measured.sparkSession
     known = spark.createDataFrame(

@@ -149,10 +149,14 @@ class _Stream:
         self.raw = b"" if self.member.eof else self.member.unconsumed_tail
         return True
 
-    def block(self, most: int) -> bytes:
-        """Up to ``most`` bytes, at least one unless the archive has ended."""
+    def ended(self) -> bool:
         while not self.held and self._more():
             pass
+        return not self.held
+
+    def block(self, most: int) -> bytes:
+        """Up to ``most`` bytes, at least one unless the archive has ended."""
+        self.ended()
         out, self.held = self.held[:most], self.held[most:]
         return out
 
@@ -192,9 +196,7 @@ def read_archives(manifest: DataFrame, with_data: bool = True) -> DataFrame:
         return int(digits) if digits else None
 
     def records(stream: _Stream) -> Iterator[tuple]:
-        while stream.held or stream.block(0) or stream._more():
-            if not stream.held:
-                continue
+        while not stream.ended():
             head = _fields(stream.lines())
             left = int(head["content-length"])
             before = stream.lines()

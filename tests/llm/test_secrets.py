@@ -41,7 +41,7 @@ def test_known_shapes_are_exact(spark):
     assert len(out) == len(TEXTS) + 1
     for row in out:
         assert row["k"] == ",".join(known(row["text"]))
-        assert set(row["k"].split(",")) <= set(row["s"].split(","))
+        assert set(filter(None, row["k"].split(","))) <= set(row["s"].split(","))
 
 
 def test_entropy_adds_random_runs_and_allows_identifiers(spark):
@@ -76,7 +76,7 @@ def test_redaction_keeps_rows_and_columns(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, spans string, row int")
     out = {r["doc_id"]: r for r in secrets.redact(table).collect()}
     assert len(out) == len(TEXTS) and out[1]["spans"] == "own" and out[0]["text"] is None
-    assert out[2]["text"] == TEXTS[2] and out[3]["text"] == "[assign] and [assign]"
+    assert out[2]["text"] == TEXTS[2] and out[3]["text"] == "[assign] and [assign]'"
     assert out[6]["text"] == "key [access] end AKIA12 [hex]"
     assert secrets.redact(table.limit(0)).columns == table.columns
 
