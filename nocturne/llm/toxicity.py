@@ -37,10 +37,10 @@ from nocturne.llm.tables import stored
 #: Documents of each label from which lexicon, exceptions and curve are learned: a bound on the
 #: fitting sample, taken by hash of the text.
 SAMPLE = 4000
-#: An entry needs as many toxic sample documents, and odds as high, and its z-score.
-LEAST_DOCS = 8
+#: An entry needs as many toxic sample documents, log odds as high, and a likelihood ratio as high.
+LEAST_DOCS = 5
 LEAST_LOG_ODDS = 2.0
-LEAST_Z = 4.0
+LEAST_RATIO = 18.0
 #: Bound on the entries, heaviest evidence first; they are held by the driver and each task.
 MAX_ENTRIES = 5000
 BEGINNINGS = (4, 5, 6, 7)
@@ -170,15 +170,19 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Lexicon:
 
     a, b = F.col("toxic") + 0.5, F.col("plain") + 0.5
     odds = F.log(a / (n_toxic + 1 - a)) - F.log(b / (n_plain + 1 - b))
-    spread = F.sqrt(1 / a + 1 / b)
+    held, share = F.col("toxic") + F.col("plain"), n_toxic / (n_toxic + n_plain)
+
+    def part(seen: str, of: float):
+        return F.when(F.col(seen) > 0, F.col(seen) * F.log(F.col(seen) / (held * of))).otherwise(0.0)
+
     strong = (
         _counted(taken, _words_and_beginnings)
         .filter(F.col("toxic") >= LEAST_DOCS)
         .withColumn("odds", odds)
-        .withColumn("z", F.col("odds") / spread)
-        .filter((F.col("odds") >= LEAST_LOG_ODDS) & (F.col("z") >= LEAST_Z))
+        .withColumn("ratio", 2 * (part("toxic", share) + part("plain", 1 - share)))
+        .filter((F.col("odds") >= LEAST_LOG_ODDS) & (F.col("ratio") >= LEAST_RATIO))
     )
-    weights = {r["term"]: r["odds"] for r in strong.orderBy(F.desc("z"), "term").limit(MAX_ENTRIES).collect()}
+    weights = {r["term"]: r["odds"] for r in strong.orderBy(F.desc("ratio"), "term").limit(MAX_ENTRIES).collect()}
 
     built: list = []
 
