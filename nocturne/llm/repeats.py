@@ -14,7 +14,8 @@ their prefixes be shuffled; so the work follows difference-cover blockwise const
    is sorted alone and tells each chunk which prefixes start in a smaller document.
 3. Each chunk marks the bytes that its removable suffixes cover.
 
-A chunk is about ``CHUNK`` bytes of whole documents held as one compressed row. Equal keys
+Whole texts that equal one of a smaller doc_id are settled first, by their digest: all their
+bytes go, and no other document needs them. A chunk is about ``CHUNK`` bytes of whole documents held as one compressed row. Equal keys
 of a chunk are sent once, so a passage that lies in a third of all documents costs a bucket
 one entry a chunk. Lists are sorted, difference-coded and compressed. The number of buckets
 follows the corpus, so a bucket's size does not; the chunk rows are shuffled once.
@@ -41,8 +42,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nocturne.llm.arrays import BLOCK, mix, powers, text_buffer
-from nocturne.llm.tables import stored
+from nocturne.llm.arrays import mix, powers, text_buffer
+from nocturne.llm.tables import counted_broadcast, stored
 
 LENGTH = 50
 #: A perfect difference cover: every difference modulo 31 occurs among these offsets.
@@ -52,6 +53,9 @@ CHUNK = 8 << 20
 #: Corpus bytes for which a bucket of cover keys, or of suffix keys, is opened.
 BUCKET_BYTES = 16 << 20
 
+#: Bytes worked on at a time inside a chunk.
+BLOCK = 1 << 18
+
 _KEY = LENGTH - PERIOD + 1
 
 
@@ -135,14 +139,14 @@ def _unpack(blob: bytes, ends: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarra
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
-    """``chunk, ids, ends, data, n_bytes`` rows of about ``CHUNK`` bytes of whole documents."""
+    """``chunk, ids, ends, data`` rows of about ``CHUNK`` bytes of whole documents."""
 
     def row(chunk: int, ids: list, texts: list) -> pa.RecordBatch:
         data = b"".join(texts)
         ends = np.cumsum([len(x) for x in texts], dtype=np.int64)
-        held = [[chunk], [np.array(ids, np.int64).tobytes()], [ends.tobytes()], [zstandard.ZstdCompressor(level=6).compress(data)], [len(data)]]
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(held, kinds, strict=True)], names=["chunk", "ids", "ends", "data", "n_bytes"])
+        held = [[chunk], [np.array(ids, np.int64).tobytes()], [ends.tobytes()], [zstandard.ZstdCompressor(level=6).compress(data)]]
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(held, kinds, strict=True)], names=["chunk", "ids", "ends", "data"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
@@ -159,7 +163,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
         if ids:
             yield row(number, ids, texts)
 
-    return docs.mapInArrow(pack, "chunk long, ids binary, ends binary, data binary, n_bytes long")
+    return docs.mapInArrow(pack, "chunk long, ids binary, ends binary, data binary")
 
 
 _LISTS = "bucket int, chunk long, n int, keys binary, owners binary, ids binary"
@@ -271,22 +275,26 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     ``kept`` holds the remaining bytes. ``n_spans`` counts maximal removed runs.
     """
-    docs = docs.select("doc_id", "text")
-    chunks = stored(_chunks(docs.filter("doc_id is not null")), "chunks")
-    total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
+    body = F.coalesce("text", F.lit("")).cast("binary")
+    rows = docs.select("doc_id", "text", F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("n_bytes"))
+    groups = rows.filter(F.col("n_bytes") >= LENGTH).groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("held"))
+    firsts = stored(groups.filter("held > 1").select("digest", "first_id"), "equal-texts")
+    known = counted_broadcast(firsts)
+    marked = rows.join(known, "digest", "left")
+    copies = F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))
+    own = marked.filter(F.col("doc_id").isNotNull() & ~copies).select("doc_id", "text")
+    if known is firsts:  # rows come out of a shuffle: in an order that a lost task would not repeat
+        own = own.sortWithinPartitions("doc_id", "text")
+    texts = _chunks(own).groupBy("chunk")
+    total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
     bits = min(64, max(8, 10 + math.ceil(math.log2(max(total, 2) * len(COVER) / PERIOD))))
 
-    def cover_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                chunk, ids, ends, blob = (batch.column(k)[row].as_py() for k in range(4))
-                data, ends, ids = _unpack(blob, ends, ids)
-                _, owners, hashes = _samples(data, ends)
-                yield _lists(chunk, _Keys(hashes >> np.uint64(64 - bits), owners, ids), bits, buckets, None)
-
-    held = chunks.select("chunk", "ids", "ends", "data")
-    first = stored(_answers(held.mapInArrow(cover_lists, _LISTS), 1), "cover")
+    def cover_lists(text: pa.Table) -> pa.Table:
+        data, ends, ids = _unpack(*(text.column(c)[0].as_py() for c in ("data", "ends", "ids")))
+        _, owners, hashes = _samples(data, ends)
+        keys = _Keys(hashes >> np.uint64(64 - bits), owners, ids)
+        return pa.Table.from_batches([_lists(text.column("chunk")[0].as_py(), keys, bits, buckets, None)])
 
     def suffix_lists(text: pa.Table, replies: pa.Table) -> pa.Table:
         chunk = text.column("chunk")[0].as_py()
@@ -317,19 +325,23 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    texts = held.groupBy("chunk")
+    # one plan: the shuffle of the chunks, and that of the first answers, serve all its parts
+    first = _answers(texts.applyInArrow(cover_lists, _LISTS), 1).repartition("chunk")
     second = _answers(texts.cogroup(first.groupBy("chunk")).applyInArrow(suffix_lists, _LISTS), 2)
     replies = first.unionByName(second)
     judged = texts.cogroup(replies.groupBy("chunk")).applyInArrow(
         remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
-    body = F.coalesce("text", F.lit("")).cast("binary")
-    unordered = docs.filter("doc_id is null").select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.octet_length(body).cast("long").alias("n_bytes"),
-        F.lit(0).cast("long").alias("n_removed"),
-        F.lit(0).cast("long").alias("n_spans"),
-        F.sha2(body, 256).alias("kept_sha256"),
-        body.alias("kept"),
-    )
-    return judged.unionByName(unordered)
+    def settled(kept: DataFrame, removed, spans: int, left) -> DataFrame:
+        return kept.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            "n_bytes",
+            removed.cast("long").alias("n_removed"),
+            F.lit(spans).cast("long").alias("n_spans"),
+            F.sha2(left, 256).alias("kept_sha256"),
+            left.alias("kept"),
+        )
+
+    unordered = settled(rows.filter("doc_id is null"), F.lit(0), 0, body)
+    whole = settled(marked.filter(copies), F.col("n_bytes"), 1, F.lit("").cast("binary"))
+    return judged.unionByName(whole).unionByName(unordered)
