@@ -1,8 +1,9 @@
 """Streaming queries over the given tables.
 
 Each drains its source once (``availableNow``) into files under the shared
-folder, with a checkpoint, and returns what the sink holds. Append mode emits a
-window once the newest row has passed its end.
+folder, with a checkpoint, and returns what the sink holds. Windows are written in
+update mode, so those still open at the end are there too; session windows can only be
+appended once closed, and the open ones are added when the source has ended.
 """
 
 from __future__ import annotations
@@ -40,26 +41,38 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{home}/rows")
 
 
+#: How late a reading may come.
+DELAY = "2 days"
+
+
+def drain_windows(stream: DataFrame, label: str) -> DataFrame:
+    """Run a windowed stream to its end and read every window's last state."""
+    spark = stream.sparkSession
+    home = scratch_path(spark, label)
+    windows.write_updates(stream, f"{home}/rows", f"{home}/checkpoint", True).awaitTermination()
+    return windows.newest_windows(spark, f"{home}/rows", stream)
+
+
 def stream_features(spark, sf):
-    rows = windows.stream_features(a.readings_from(table_stream(spark, sf, "events")), "1 day", "0 seconds")
-    return rounded(drain(rows, "features").withColumns({"start": stamp("start"), "end": stamp("end")}), STDS)
+    rows = windows.stream_features(a.readings_from(table_stream(spark, sf, "events")), "1 day", DELAY)
+    return rounded(drain_windows(rows, "features").withColumns({"start": stamp("start"), "end": stamp("end")}), STDS)
 
 
 def live_vitals(spark, sf):
-    rows = windows.live_vitals(a.readings_from(table_stream(spark, sf, "events")), "1 minute", None, "0 seconds")
-    return drain(rows, "vitals").withColumns({"start": stamp("start"), "end": stamp("end")})
+    rows = windows.live_vitals(a.readings_from(table_stream(spark, sf, "events")), "1 minute", None, DELAY)
+    return drain_windows(rows, "vitals").withColumns({"start": stamp("start"), "end": stamp("end")})
 
 
 def live_vitals_sliding(spark, sf):
-    rows = windows.live_vitals(
-        a.readings_from(table_stream(spark, sf, "events")), "5 minutes", "1 minute", "0 seconds"
-    )
-    return drain(rows, "sliding").select("SID", stamp("start"), "n", "HR")
+    rows = windows.live_vitals(a.readings_from(table_stream(spark, sf, "events")), "5 minutes", "1 minute", DELAY)
+    return drain_windows(rows, "sliding").select("SID", stamp("start"), "n", *CHANNELS)
 
 
 def stream_sessions(spark, sf):
-    rows = windows.recordings(a.readings_from(table_stream(spark, sf, "events")), "12 hours", "0 seconds")
-    return drain(rows, "sessions").withColumns({"start": stamp("start"), "end": stamp("end")})
+    rows = windows.recordings(a.readings_from(table_stream(spark, sf, "events")), "12 hours", DELAY)
+    closed = drain(rows, "sessions")
+    out = closed.unionByName(windows.still_open(a.readings(spark, sf), closed, "12 hours"))
+    return out.withColumns({"start": stamp("start"), "end": stamp("end")})
 
 
 def stream_dedup(spark, sf):
@@ -70,14 +83,14 @@ def stream_dedup(spark, sf):
 
 
 def pivot_channels(spark, sf):
-    events = table_stream(spark, sf, "events")
+    events, kinds = table_stream(spark, sf, "events"), ["view", "click", "purchase", "signup", "error"]
     sent = events.select(
         F.concat(F.lit("sensor/S"), F.col("user_id"), F.lit("/"), F.col("event_type")).alias("topic"),
         "value",
         F.col("ts").cast("timestamp").alias("timestamp"),
     )
-    rows = windows.pivot_channels(sent, ["view", "click", "error"], "1 hour", "0 seconds")
-    return drain(rows, "pivot").select("SID", stamp("start"), "view", "click", "error")
+    rows = windows.pivot_channels(sent, kinds, "1 hour", DELAY)
+    return drain_windows(rows, "pivot").select("SID", stamp("start"), *kinds)
 
 
 def stream_recording(spark, sf):
@@ -90,7 +103,7 @@ def stream_recording(spark, sf):
     feed.write_recording(gated, f"{home}/rows", f"{home}/checkpoint", 8, True).awaitTermination()
     written = spark.read.parquet(f"{home}/rows")
     return written.groupBy("SID").agg(
-        F.count(F.lit(1)).alias("records"), *[F.round(F.avg(c), 6).alias(c) for c in CHANNELS if c != "IBI"]
+        F.count(F.lit(1)).alias("records"), *[F.round(F.avg(c), 6).alias(c) for c in CHANNELS]
     )
 
 
@@ -100,9 +113,9 @@ def stream_payload(spark, sf):
     home = scratch_path(spark, "payload")
     feed.write_live(gated, f"{home}/rows", f"{home}/checkpoint", True).awaitTermination()
     shown = spark.read.schema("SID string, payload string").json(f"{home}/rows")
-    parts = F.from_json("payload", "HR double, EDA double, ts string")
+    parts = F.from_json("payload", "HR double, EDA double, TEMP double, BVP double, ts string")
     return shown.select("SID", parts.alias("p")).select(
-        "SID", F.round("p.HR", 6).alias("HR"), F.round("p.EDA", 6).alias("EDA"), F.col("p.ts").alias("ts")
+        "SID", *[F.round(f"p.{c}", 6).alias(c) for c in ("HR", "EDA", "TEMP", "BVP")], F.col("p.ts").alias("ts")
     )
 
 

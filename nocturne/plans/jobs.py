@@ -85,16 +85,11 @@ def train(spark: SparkSession, table: str, out: str, **options) -> Trained:
 
 
 def attributed(df: DataFrame, model: PipelineModel, meta: dict) -> DataFrame:
-    """Adds ``top_features`` when the chosen model supports attribution."""
+    """Adds ``top_features`` of the chosen model, against the background kept in the bundle."""
     prepared, last = df, model.stages[-1]
     for stage in model.stages[:-1]:
         prepared = stage.transform(prepared)
-    try:
-        told = attribution.attribute(
-            prepared.select("SID", FEATURES), last, prepared.select(FEATURES), meta["feature_names"]
-        )
-    except TypeError:
-        return df.withColumn("top_features", F.array().cast("array<struct<feature:string,impact:double>>"))
+    told = attribution.attribute(prepared.select("SID", FEATURES), last, meta["centre"], meta["feature_names"])
     top = told.select("SID", scoring.top_features(F.col("impacts")).alias("top_features"))
     return df.join(top, "SID")
 

@@ -344,10 +344,6 @@ raw AS (
 )"""
 
 
-# What append mode has emitted when the source is drained: windows the newest row has passed.
-NEWEST_ROW = "(SELECT date_trunc('millisecond', max(ts)) FROM readings)"
-
-
 ORACLES = {
     "feature_table": _with(READINGS, FEATURES, PEOPLE, TABLE) + "SELECT * FROM feature_table",
     "channel_stats": _with(READINGS) + f'SELECT "SID", count(*) AS records, {STAT} FROM readings GROUP BY 1',
@@ -549,36 +545,36 @@ ORACLES = {
         strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts FROM live""",
     "stream_features": _with(READINGS) + f"""SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d 00:00:00') AS start,
         strftime(CAST(ts AS DATE) + 1, '%Y-%m-%d 00:00:00') AS "end", "SID", count(*) AS records, {STAT}, {COUNTS}, {RATE}, {SHARES}
-        FROM readings GROUP BY "SID", CAST(ts AS DATE) HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= {NEWEST_ROW}""",
+        FROM readings GROUP BY "SID", CAST(ts AS DATE)""",
     "live_vitals": _with(READINGS) + """SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS start,
         strftime(date_trunc('minute', ts) + INTERVAL 1 MINUTE, '%Y-%m-%d %H:%M:%S') AS "end", "SID", count(*) AS n, """
     + ", ".join(f'avg("{c}") AS "{c}"' for c in CHANNELS)
-    + f""" FROM readings GROUP BY "SID", date_trunc('minute', ts)
-        HAVING date_trunc('minute', ts) + INTERVAL 1 MINUTE <= {NEWEST_ROW}""",
-    "live_vitals_sliding": _with(READINGS) + f"""SELECT "SID", strftime(opens, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, avg("HR") AS "HR"
-        FROM (SELECT "SID", "HR", unnest([date_trunc('minute', ts) - to_minutes(i) for i in range(5)]) AS opens FROM readings)
-        GROUP BY "SID", opens HAVING opens + INTERVAL 5 MINUTE <= {NEWEST_ROW}""",
-    "stream_sessions": _with(READINGS) + f""", marked AS (SELECT "SID", ts,
+    + """ FROM readings GROUP BY "SID", date_trunc('minute', ts)""",
+    "live_vitals_sliding": _with(READINGS) + """SELECT "SID", strftime(opens, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, """
+    + ", ".join(f'avg("{c}") AS "{c}"' for c in CHANNELS)
+    + """ FROM (SELECT *, unnest([date_trunc('minute', ts) - to_minutes(i) for i in range(5)]) AS opens FROM readings)
+        GROUP BY "SID", opens""",
+    "stream_sessions": _with(READINGS) + """, marked AS (SELECT "SID", ts,
           CASE WHEN ts < lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh
           FROM readings WINDOW w AS (PARTITION BY "SID" ORDER BY ts)),
         numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY "SID" ORDER BY ts) AS run FROM marked)
         SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 12 HOUR, '%Y-%m-%d %H:%M:%S') AS "end",
-          "SID", count(*) AS records FROM numbered GROUP BY "SID", run HAVING max(ts) + INTERVAL 12 HOUR <= {NEWEST_ROW}""",
+          "SID", count(*) AS records FROM numbered GROUP BY "SID", run""",
     "stream_dedup": "SELECT event_id, 'sensor/S' || user_id || '/hr' AS topic FROM events",
     "pivot_channels": _with(READINGS) + """SELECT 'S' || user_id AS "SID", strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start,
         max(value) FILTER (event_type = 'view') AS view, max(value) FILTER (event_type = 'click') AS click,
-        max(value) FILTER (event_type = 'error') AS error FROM events GROUP BY user_id, date_trunc('hour', ts)
-        HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= """ + NEWEST_ROW,
+        max(value) FILTER (event_type = 'purchase') AS purchase, max(value) FILTER (event_type = 'signup') AS signup,
+        max(value) FILTER (event_type = 'error') AS error FROM events GROUP BY user_id, date_trunc('hour', ts)""",
     "stream_recording": _with(READINGS, MESSAGES) + """, bins AS (SELECT floor("HR" / 5)::BIGINT AS b, avg("EDA") AS e, avg("TEMP") AS t,
         avg("BVP") AS v FROM readings WHERE "HR" IS NOT NULL AND "EDA" IS NOT NULL AND "TEMP" IS NOT NULL AND "BVP" IS NOT NULL GROUP BY 1)
         SELECT 'REC' || c_custkey AS "SID", count(*) AS records, round(avg(coalesce(v, "BVP")), 6) AS "BVP", avg("ACC_X") AS "ACC_X",
           avg("ACC_Y") AS "ACC_Y", avg("ACC_Z") AS "ACC_Z", round(avg(coalesce(t, "TEMP")), 6) AS "TEMP",
-          round(avg(coalesce(e, "EDA")), 6) AS "EDA", round(avg(bpm), 6) AS "HR"
+          round(avg(coalesce(e, "EDA")), 6) AS "EDA", round(avg(bpm), 6) AS "HR", round(avg("IBI"), 6) AS "IBI"
         FROM live JOIN customer ON c_custkey = user_id LEFT JOIN bins ON bpm > 0 AND b = floor(bpm / 5)::BIGINT
         WHERE ts >= TIMESTAMP '2024-01-01' + to_days((c_custkey % 20)::INT)
           AND (c_nationkey % 5 = 0 OR ts < TIMESTAMP '2024-01-11' + to_days((c_custkey % 20)::INT)) GROUP BY c_custkey""",
     "stream_payload": _with(MESSAGES) + """SELECT 'REC' || c_custkey AS "SID", round("HR", 6) AS "HR", round("EDA", 6) AS "EDA",
-        strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts FROM live JOIN customer ON c_custkey = user_id
+        round("TEMP", 6) AS "TEMP", round("BVP", 6) AS "BVP", strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts FROM live JOIN customer ON c_custkey = user_id
         WHERE ts >= TIMESTAMP '2024-01-01' + to_days((c_custkey % 20)::INT)
           AND (c_nationkey % 5 = 0 OR ts < TIMESTAMP '2024-01-11' + to_days((c_custkey % 20)::INT))""",
     "session_state": """WITH changes AS (SELECT 'S' || l_orderkey AS sid, CASE WHEN l_linenumber <= 2 THEN 'recording'

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from nocturne.operators.features import (
     channel_aggregates,
@@ -87,3 +89,35 @@ def stale(seen: DataFrame, now: str, limit_seconds: int) -> DataFrame:
     """Marks SIDs silent for longer than the limit at time ``now``."""
     age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("last_seen")
     return seen.withColumn("stale", age > limit_seconds)
+
+
+def write_updates(stream: DataFrame, out: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Writes every window that a trigger changed, open ones included.
+
+    Update mode; a trigger has its own folder, so a repeated trigger replaces what it
+    wrote. ``newest_windows`` reads the current state.
+    """
+
+    def put(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    writer = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def newest_windows(spark: SparkSession, out: str, stream: DataFrame, keys: tuple[str, ...] = ("SID", "start")) -> DataFrame:
+    """The last written row of each window."""
+    rest = [c for c in stream.columns if c not in keys]
+    written = spark.read.schema(T.StructType([*stream.schema.fields]).add("batch", "long")).parquet(out)
+    newest = written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("row"))
+    return newest.select(*[F.col(c) if c in keys else F.col("row")[c].alias(c) for c in stream.columns])
+
+
+def still_open(readings: DataFrame, closed: DataFrame, gap: str = "12 hours") -> DataFrame:
+    """Recordings of a source that has ended which append mode has not closed yet.
+
+    Readings at or after the end of a SID's last closed recording belong to them.
+    """
+    last = closed.groupBy("SID").agg(F.max("end").alias("closed_until"))
+    rest = readings.join(last, "SID", "left").filter(F.col("closed_until").isNull() | (F.col("ts") >= F.col("closed_until")))
+    return recordings(rest.drop("closed_until"), gap)
