@@ -8,7 +8,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nocturne.learning.preprocess import sized
+from nocturne.learning.preprocess import PARTITIONS
 
 TARGETS = ("EDA", "TEMP", "BVP")
 
@@ -27,10 +27,11 @@ def condensed(readings: DataFrame, batches: int = 64) -> DataFrame:
     )
 
 
-def fit_imputer(readings: DataFrame, trees: int = 10, depth: int = 10, seed: int = 42) -> PipelineModel:
+def fit_imputer(
+    readings: DataFrame, trees: int = 10, depth: int = 10, seed: int = 42, partitions: int = PARTITIONS
+) -> PipelineModel:
     """One forest per channel; only the four columns are read, once for all three."""
-    means = condensed(readings).persist()
-    rows = sized(means, means.count() * len(means.columns)).persist()
+    rows = condensed(readings).coalesce(partitions).persist()
     stages = [VectorAssembler(inputCols=["HR"], outputCol="hr_vector", handleInvalid="skip")]
     for target in TARGETS:
         stages.append(
@@ -41,7 +42,6 @@ def fit_imputer(readings: DataFrame, trees: int = 10, depth: int = 10, seed: int
         )
     model = Pipeline(stages=stages).fit(rows)
     rows.unpersist()
-    means.unpersist()
     return model
 
 

@@ -9,12 +9,11 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nocturne.learning.preprocess import sized, stratified_split
+from nocturne.learning.preprocess import PARTITIONS, stratified_split
 from nocturne.learning.training import with_probability
 from nocturne.operators.metrics import model_metrics
 from nocturne.schemas import LABEL, NIGHT_FEATURES
 
-SEQUENCE_CELLS = 7 * len(NIGHT_FEATURES)
 
 
 def flatten(sequences: DataFrame, features: tuple[str, ...] = NIGHT_FEATURES) -> DataFrame:
@@ -24,12 +23,12 @@ def flatten(sequences: DataFrame, features: tuple[str, ...] = NIGHT_FEATURES) ->
 
 
 def train_longitudinal(
-    sequences: DataFrame, classifier: Estimator | None = None, label: str = LABEL, seed: int = 42
+    sequences: DataFrame, classifier: Estimator | None = None, label: str = LABEL, seed: int = 42,
+    partitions: int = PARTITIONS,
 ) -> tuple[PipelineModel, DataFrame]:
     """The fitted pipeline and its one-row hold-out metrics."""
     rows = flatten(sequences).withColumn("_key", F.concat_ws("#", "SID", "night_index"))
-    drawn = stratified_split(rows, label, 0.2, seed, "_key").persist()
-    split = sized(drawn, drawn.count() * SEQUENCE_CELLS).persist()
+    split = stratified_split(rows, label, 0.2, seed, "_key").coalesce(partitions).persist()
     classifier = classifier or GBTClassifier(featuresCol="features", labelCol=label, maxIter=20, seed=seed)
     pipeline = Pipeline(
         stages=[StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True), classifier]

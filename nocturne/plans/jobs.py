@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from datetime import datetime, timezone
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,18 +100,25 @@ def attributed(df: DataFrame, model: PipelineModel, meta: dict) -> DataFrame:
 def predict(
     spark: SparkSession, readings: DataFrame, participants: DataFrame, requested: DataFrame, bundle: str, out: str
 ) -> DataFrame:
-    """Scores the requested SIDs, with bands, advice and attribution."""
+    """Scores the requested SIDs, with bands, advice and attribution.
+
+    Each run appends its rows under its own ``run_id``; earlier runs' rows stay, and
+    ``sinks.newest_by_sid`` tells the current one of a SID. Returns this run's rows.
+    """
     root = out.rstrip("/")
+    run_id, now = uuid.uuid4().hex, datetime.now(timezone.utc)
+    stamped = {"run_id": F.lit(run_id), "scored_at": F.lit(now).cast("timestamp")}
+    mine = F.col("run_id") == run_id
     model, meta = load_bundle(spark, bundle)
     wanted = requested.select("SID").distinct()
     rows = features.recording_features(lifecycle.pending_readings(readings, wanted))
     people = labelled_participants(participants)
     inference = fill.apply_fill(scoring.inference_rows(rows, people, wanted), meta["fill"])
-    sinks.write_by_sid(inference, f"{root}/inference")
-    stored = spark.read.parquet(f"{root}/inference").drop("sid_bucket")
+    sinks.write_by_sid(inference.withColumns(stamped), f"{root}/inference", "append")
+    stored = spark.read.parquet(f"{root}/inference").filter(mine).drop("sid_bucket", *stamped)
     scored = scoring.with_advice(attributed(score(stored, model, meta["fill"]), model, meta))
-    sinks.write_by_sid(scored, f"{root}/predictions")
-    return spark.read.parquet(f"{root}/predictions").drop("sid_bucket")
+    sinks.write_by_sid(scored.withColumns(stamped), f"{root}/predictions", "append")
+    return spark.read.parquet(f"{root}/predictions").filter(mine).drop("sid_bucket", *stamped)
 
 
 def score_finished(
@@ -119,20 +129,23 @@ def score_finished(
     bundle: str,
     out: str,
 ) -> DataFrame:
-    """New prediction rows for finished sessions that have none yet.
+    """New prediction rows for finished sessions that have none yet, as they were stored.
 
-    Set-based over all pending sessions and safe to repeat: a session that was
-    stored by an earlier run is left out.
+    Set-based over all pending sessions and safe to repeat: sessions with a prediction in
+    the service's table or in ``new_predictions`` of an earlier run are left out.
     """
+    folder, run_id = f"{out.rstrip('/')}/new_predictions", uuid.uuid4().hex
+    before = tables.read_if_present(spark, folder)
+    known = service["predictions"]
+    if before is not None:
+        known = known.select("session_id", "prediction").unionByName(before.select("session_id", "prediction"))
     finished = lifecycle.finished_sessions(service["sessions"])
-    pending = sessions.new_predictions(
-        finished.select(F.col("id").alias("session_id"), F.col("sid").alias("SID")), service["predictions"]
-    )
+    pending = sessions.new_predictions(finished.select(F.col("id").alias("session_id"), F.col("sid").alias("SID")), known)
     scored = predict(spark, readings, participants, pending, bundle, out)
     _, meta = load_bundle(spark, bundle)
-    rows = lifecycle.prediction_rows(scored, finished, service["predictions"], meta["best_model_name"])
-    rows.write.mode("append").parquet(f"{out.rstrip('/')}/new_predictions")
-    return rows
+    rows = lifecycle.prediction_rows(scored, finished, known, meta["best_model_name"])
+    rows.withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(folder)
+    return spark.read.parquet(folder).filter(F.col("run_id") == run_id).drop("run_id")
 
 
 def train_and_predict(
@@ -203,3 +216,26 @@ def live(
         feed.write_recording(gated, f"{root}/recording", f"{root}/checkpoints/recording", available_now=available_now),
         feed.write_live(gated, f"{root}/payload", f"{root}/checkpoints/payload", available_now=available_now),
     )
+
+
+def live_sessions(
+    spark: SparkSession,
+    messages: DataFrame,
+    device_sessions: Callable[[], DataFrame],
+    out: str,
+    bins: DataFrame | None = None,
+    width: float = 5.0,
+    available_now: bool = False,
+    completed: Callable[[], object] | None = None,
+):
+    """The live pipeline with sessions that come and end while it runs.
+
+    ``device_sessions`` is read anew in each trigger. ``completed`` is called when a trigger
+    is stored; give it ``score_finished`` on the tables as they are then, which scores
+    each finished session once. Returns the running query.
+    """
+    root = out.rstrip("/")
+    rows = feed.with_device(feed.derive_live(feed.parse_live(messages)))
+    if bins is not None:
+        rows = feed.impute_live(rows, bins, width)
+    return feed.write_gated(rows, device_sessions, root, f"{root}/checkpoints/live", available_now=available_now, after=completed)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,7 +20,6 @@ RECORDING_GLOB = "compressed_*_whole_df.csv"
 NAMED_SID = r"(?i)compressed_(.+?)_whole_df\.csv$"
 CODED_SID = r"(S\d{3})"
 NOT_RECORDINGS = ("participant_info.csv", "psg_labels.csv")
-HEADER_BYTES = 1 << 20
 
 
 def plain_file_name() -> Column:
@@ -57,9 +57,14 @@ def first_line(path: str) -> str:
         host, _, inner = rest.lstrip("/").partition("/")
         system, base = fs.FileSystem.from_uri(f"{scheme}://{host}/")
         inner = f"{base.rstrip('/')}/{inner}"
+    line = b""
     with system.open_input_stream(inner) as stream:
-        text = stream.read(HEADER_BYTES).decode("utf-8-sig", errors="replace")
-    return text.splitlines()[0] if text else ""
+        while part := stream.read(1 << 16):
+            line += part
+            if b"\n" in part or b"\r" in part:
+                break
+    # the reader's own line ends, and no others: a header may hold form feeds or U+2028
+    return re.split(rb"[\r\n]", line, maxsplit=1)[0].decode("utf-8-sig", errors="replace")
 
 
 def file_headers(spark: SparkSession, folder: str, pattern: str) -> DataFrame:

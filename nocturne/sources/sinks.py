@@ -55,6 +55,13 @@ def read_by_sid(spark: SparkSession, path: str, sid: str, buckets: int = BUCKETS
     return rows.filter((F.col("sid_bucket") == bucket) & (F.col("SID") == sid)).drop("sid_bucket")
 
 
+def newest_by_sid(rows: DataFrame) -> DataFrame:
+    """The last run's row of each SID, of rows that several runs appended."""
+    rest = [c for c in rows.columns if c != "SID"]
+    newest = rows.groupBy("SID").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct("scored_at", "run_id")).alias("_row"))
+    return newest.select("SID", "_row.*").select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def write_readings(df: DataFrame, out: str, sort: bool = True) -> None:
     """Readings as Parquet; sorting inside tasks lets a SID filter skip row groups.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,3 +86,13 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(
         *[F.col(c) if "CI" in c else to_number(F.col(c)).alias(c) for c in raw.columns]
     )
+
+
+def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None where nothing has been written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,7 +14,8 @@ from nocturne.schemas import CHANNELS
 
 MESSAGE = "topic string, value string, timestamp timestamp"
 IMPUTED = ("EDA", "TEMP", "BVP")
-BROADCAST_BINS = 100_000
+#: Heart rates with bins: bounds the number of bins, which are broadcast.
+TOP_RATE = 1000.0
 
 
 def read_live(spark: SparkSession, folder: str, schema: str = MESSAGE, **options: str) -> DataFrame:
@@ -57,8 +60,11 @@ def with_device(messages: DataFrame, name: str = "device") -> DataFrame:
 
 
 def fit_bins(readings: DataFrame, width: float) -> DataFrame:
-    """Mean EDA, TEMP and BVP per heart-rate bin, from rows that have all four."""
-    complete = readings.select("HR", *IMPUTED).dropna()
+    """Mean EDA, TEMP and BVP per heart-rate bin, from rows that have all four.
+
+    Rates outside 0 to ``TOP_RATE`` have no bin.
+    """
+    complete = readings.select("HR", *IMPUTED).dropna().filter(F.col("HR").between(0, TOP_RATE))
     bins = complete.groupBy(F.floor(F.col("HR") / width).alias("hr_bin")).agg(
         *[F.avg(c).alias(f"bin_{c}") for c in IMPUTED]
     )
@@ -69,9 +75,8 @@ def fit_bins(readings: DataFrame, width: float) -> DataFrame:
 def impute_live(rows: DataFrame, bins: DataFrame, width: float) -> DataFrame:
     """Replaces EDA, TEMP and BVP by the bin means; no bin or no pulse keeps them."""
     keyed = rows.withColumn("hr_bin", F.when(F.col("bpm") > 0, F.floor(F.col("bpm") / width)))
-    # Heart rates crowd into few bins, so a shuffle on the bin would be skewed.
-    small = bins.count() <= BROADCAST_BINS
-    joined = keyed.join(F.broadcast(bins) if small else bins, "hr_bin", "left")
+    # At most TOP_RATE / width bins; rates crowd into few, so a shuffle would be skewed.
+    joined = keyed.join(F.broadcast(bins), "hr_bin", "left")
     return joined.withColumns(
         {
             "imputed": F.col(f"bin_{IMPUTED[0]}").isNotNull(),
@@ -123,3 +128,34 @@ def write_live(stream: DataFrame, out: str, checkpoint: str, available_now: bool
     """Live payloads per SID as JSON lines."""
     rows = stream.select("SID", payload().alias("payload"))
     return _start(rows.writeStream.format("json").option("path", out), checkpoint, available_now)
+
+
+def write_gated(
+    rows: DataFrame,
+    sessions: Callable[[], DataFrame],
+    out: str,
+    checkpoint: str,
+    buckets: int = 64,
+    available_now: bool = False,
+    after: Callable[[], object] | None = None,
+) -> StreamingQuery:
+    """Gates every trigger by the sessions as they are then, records and shows what is inside.
+
+    ``sessions`` is asked anew in each trigger, so a recording that begins while the stream
+    runs is recorded. A trigger has its own folders; a repeated trigger replaces them.
+    ``after`` runs when a trigger is stored, e.g. to score sessions that have finished.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        inside = gate_active(batch, sessions()).persist()
+        kept = inside.select(
+            "SID", F.col("timestamp").alias("ts"), *CHANNELS, F.pmod(F.xxhash64("SID"), F.lit(buckets)).cast("int").alias("sid_bucket")
+        )
+        kept.write.mode("overwrite").partitionBy("sid_bucket").parquet(f"{out}/recording/batch={number}")
+        inside.select("SID", payload().alias("payload")).write.mode("overwrite").json(f"{out}/payload/batch={number}")
+        inside.unpersist()
+        if after is not None:
+            after()
+
+    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -7,7 +7,7 @@ from conftest import rows
 from nocturne.operators import sessions
 from nocturne.plans import jobs
 from nocturne.schemas import PREDICTIONS, SESSIONS
-from nocturne.sources import recordings, tables
+from nocturne.sources import recordings, sinks, tables
 
 
 def write_world(folder, people=24):
@@ -47,16 +47,29 @@ def test_train_predict_and_store(spark, tmp_path):
         "predictions": spark.createDataFrame([], PREDICTIONS).unionByName(stored, allowMissingColumns=True),
     }
     assert set(names) <= set(service["sessions"].columns)
+    readings, persons = recordings.read_readings(spark, str(tmp_path)), tables.read_participants(spark, people)
     done = jobs.score_finished(
-        spark, recordings.read_readings(spark, str(tmp_path)), tables.read_participants(spark, people), service,
+        spark, readings, persons, service,
         str(tmp_path / "art" / "t" / "bundle"), str(tmp_path / "scored"),
     )
     got = rows(done, "session_id")
     assert [r["session_id"] for r in got] == [1, 2]
     assert [r["prediction"] for r in got] == [0, 1]
     assert got[1]["label"] in ("MODERATE RISK", "HIGH RISK") and '"code"' in got[0]["recommendations_json"]
+    again = jobs.score_finished(
+        spark, readings, persons, service,
+        str(tmp_path / "art" / "t" / "bundle"), str(tmp_path / "scored"),
+    )
+    assert again.count() == 0
     kept = spark.read.parquet(str(tmp_path / "scored" / "new_predictions"))
-    assert kept.count() == 2
+    assert rows(kept.drop("run_id"), "session_id") == got
+    later = spark.createDataFrame([("S005",)], "SID string")
+    jobs.predict(
+        spark, readings, persons, later,
+        str(tmp_path / "art" / "t" / "bundle"), str(tmp_path / "scored"),
+    )
+    stored_now = sinks.newest_by_sid(spark.read.parquet(str(tmp_path / "scored" / "predictions")))
+    assert {r["SID"] for r in stored_now.collect()} == {"S000", "S001", "S005"}
     both = service["predictions"].unionByName(kept, allowMissingColumns=True)
     again = sessions.new_predictions(service["sessions"].select(F.col("id").alias("session_id")), both)
     assert [r["session_id"] for r in again.collect()] == [3]

@@ -89,3 +89,49 @@ def test_live_job(spark, tmp_path):
     assert payloads == [{"HR": 70.0, "EDA": 9.0, "TEMP": 30.0, "BVP": 1.0, "ts": "2024-01-01T22:00:20"}]
     rejected = feed.rejected_live(spark.createDataFrame(messages, "topic string, value string, timestamp string"))
     assert sorted(r["value"] for r in rejected.collect()) == ["notjson", '{"bpm":null}']
+
+
+def test_sessions_that_begin_while_the_stream_runs(spark, tmp_path):
+    from nocturne.plans import jobs
+    from nocturne.streaming import live as feed
+
+    sent = tmp_path / "sent"
+    sent.mkdir()
+    spans = {"now": [("d1", "A", "2024-01-01 00:00:00", None)]}
+    schema = "device string, SID string, started_at string, ended_at string"
+    current = lambda: spark.createDataFrame(spans["now"], schema).selectExpr(
+        "device", "SID", "cast(started_at as timestamp) started_at", "cast(ended_at as timestamp) ended_at"
+    )
+    calls = []
+
+    def run(name, lines):
+        (sent / name).write_text("\n".join(lines) + "\n")
+        stream = feed.read_live(spark, str(sent))
+        jobs.live_sessions(spark, stream, current, str(tmp_path / "out"), available_now=True, completed=lambda: calls.append(1)).awaitTermination()
+
+    line = lambda d, t: f'{{"topic": "sensor/{d}/hr", "value": "{{\\"bpm\\": 70}}", "timestamp": "2024-01-01T0{t}:00:00.000Z"}}'
+    run("1.json", [line("d1", 1), line("d2", 1)])
+    spans["now"].append(("d2", "B", "2024-01-01 02:00:00", None))
+    run("2.json", [line("d1", 3), line("d2", 3), line("d2", 1)])
+    out = spark.read.parquet(str(tmp_path / "out" / "recording"))
+    assert sorted((r["SID"], r["ts"].hour) for r in out.collect()) == [("A", 1), ("A", 3), ("B", 3)]
+    assert len(calls) == 2
+
+
+def test_late_files_reach_their_windows(spark, tmp_path):
+    from nocturne.streaming import windows
+
+    folder = tmp_path / "r"
+    folder.mkdir()
+    stream = spark.readStream.schema("SID string, ts timestamp, HR double").json(str(folder))
+    rows = windows.live_vitals(stream, "1 hour", None, "1 day")
+
+    def run(name, hours):
+        text = "".join(f'{{"SID": "A", "ts": "2024-01-02T{h:02d}:10:00.000Z", "HR": {h}}}\n' for h in hours)
+        (folder / name).write_text(text)
+        windows.write_updates(rows, str(tmp_path / "o"), str(tmp_path / "c"), True).awaitTermination()
+
+    run("a.json", [5, 9])
+    run("b.json", [5, 1])
+    out = windows.newest_windows(spark, str(tmp_path / "o"), rows)
+    assert {r["start"].hour: r["n"] for r in out.collect()} == {1: 1, 5: 2, 9: 1}
