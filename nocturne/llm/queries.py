@@ -29,7 +29,7 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     labels = read(spark, sf_dir, "labels", "doc_id", "toxic").filter(~held_out())
-    lexicon = toxicity.learn(docs.join(labels, "doc_id"))
+    lexicon = toxicity.learn(docs, labels)
     scored = toxicity.score(docs, lexicon)
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 

@@ -35,7 +35,7 @@ from nocturne.llm.arrays import slices
 from nocturne.llm.tables import stored
 
 #: Documents of each label from which lexicon, exceptions and curve are learned: a bound on the
-#: fitting sample, taken by hash of the text.
+#: fitting sample, drawn by hash of the id.
 SAMPLE = 4000
 #: An entry needs as many toxic sample documents, log odds as high, and a likelihood ratio as high.
 LEAST_DOCS = 5
@@ -149,23 +149,26 @@ def _words_and_beginnings(text: str) -> set[str]:
     return {w for w in words if len(w) > 2} | {f"^{w[:k]}" for w in words for k in BEGINNINGS if len(w) > k}
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE) -> Lexicon:
-    """Fit on ``labelled(text, toxic)``: at most ``sample`` distinct texts of each label."""
-    rows = labelled.select("text", F.col("toxic").cast("boolean").alias("toxic")).dropna()
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
+    """Fit on ``docs(doc_id, text)`` with ``labels(doc_id, toxic)``: at most ``sample`` ids of each label.
+
+    The ids are drawn from the labels alone, by hash, so only the drawn texts are read.
+    """
+    rows = labels.select("doc_id", F.col("toxic").cast("boolean").alias("toxic")).dropna()
     shares = {bool(r["toxic"]): r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_all = sum(shares.values())
-    if len(shares) < 2:
-        share = shares.get(True, 0) / n_all if n_all else 0.0
-        flat = math.log((share + 1e-9) / (1 - share + 1e-9))
-        return Lexicon({}, frozenset(), (flat, 0.0, 0.0, 0.0))
-    turn = F.xxhash64("text")
-    taken = None
-    for toxic in (True, False):
-        keys = rows.filter(F.col("toxic") == toxic).select(turn.alias("turn")).distinct().orderBy("turn").limit(sample)
-        some = rows.filter(F.col("toxic") == toxic).withColumn("turn", turn).join(F.broadcast(keys), "turn", "left_semi").dropDuplicates(["turn"])
-        taken = some if taken is None else taken.unionByName(some)
-    taken = stored(taken.select("text", "toxic"), "toxic-sample")
+    share = shares.get(True, 0) / n_all if n_all else 0.0
+    plain = math.log((share + 1e-9) / (1 - share + 1e-9))
+    drawn = [
+        rows.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for toxic in (True, False)
+    ]
+    # at most twice ``sample`` ids
+    chosen = F.broadcast(stored(drawn[0].unionByName(drawn[1]), "toxic-ids"))
+    taken = docs.select("doc_id", "text").filter("text is not null").join(chosen, "doc_id").select("text", "toxic").distinct()
+    taken = stored(taken, "toxic-sample")
     size = {bool(r["toxic"]): r["count"] for r in taken.groupBy("toxic").count().collect()}
+    if len(size) < 2:
+        return Lexicon({}, frozenset(), (plain, 0.0, 0.0, 0.0))
     n_toxic, n_plain = size[True], size[False]
 
     a, b = F.col("toxic") + 0.5, F.col("plain") + 0.5

@@ -26,7 +26,8 @@ def planted(n):
 
 def test_learned_terms_and_exceptions(spark):
     rows = planted(400)
-    lexicon = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.learn(table, table)
     assert "grobian" in lexicon.weights
     tests = [(1, "w1 w2 gr0bian"), (2, "w1 w2 w3"), (3, None), (4, ""), (None, "GROBIAN " * 3000), (2, "w1 w2 w3")]
     out = toxicity.score(spark.createDataFrame([(*t, 9) for t in tests], "doc_id long, text string, score int"), lexicon).collect()
@@ -34,7 +35,8 @@ def test_learned_terms_and_exceptions(spark):
 
 
 def test_without_labels(spark):
-    empty = toxicity.learn(spark.createDataFrame([], "text string, toxic int"))
+    table = spark.createDataFrame([], "doc_id long, text string, toxic int")
+    empty = toxicity.learn(table, table)
     assert toxicity.score(spark.createDataFrame([(1, "x")], "doc_id long, text string"), empty).first()["predicted"] == 0
 
 
