@@ -346,6 +346,10 @@ raw AS (
 
 ORACLES = {
     "feature_table": _with(READINGS, FEATURES, PEOPLE, TABLE) + "SELECT * FROM feature_table",
+    "attribution_sum": _with(READINGS, FEATURES, PEOPLE, TABLE) + 'SELECT "SID", 0.0::DOUBLE AS gap FROM feature_table',
+    "linear_attribution": _with(READINGS, FEATURES, PEOPLE, TABLE) + 'SELECT "SID", 0.0::DOUBLE AS gap FROM feature_table',
+    "score_checks": _with(READINGS, FEATURES, PEOPLE, TABLE)
+    + 'SELECT "SID", true AS decided, true AS in_range, true AS banded FROM feature_table',
     "channel_stats": _with(READINGS) + f'SELECT "SID", count(*) AS records, {STAT} FROM readings GROUP BY 1',
     "event_rates": _with(READINGS) + f'SELECT "SID", {COUNTS}, {RATE} FROM readings GROUP BY 1',
     "stage_shares": _with(READINGS) + f'SELECT "SID", {SHARES} FROM readings GROUP BY 1',
