@@ -51,7 +51,7 @@ PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 CHUNK = 8 << 20
 #: Corpus bytes for which a bucket of cover keys, or of suffix keys, is opened.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 
 #: Bytes worked on at a time inside a chunk.
 BLOCK = 1 << 18
