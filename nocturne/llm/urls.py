@@ -62,8 +62,8 @@ def ruling(rules: Sequence[tuple[str, str]]) -> Column:
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
 
 
-def _windows(order: int) -> Column:
-    """All runs of ``order + 1`` characters of the padded text, one for each of its characters."""
+def _windows(order: int) -> tuple[Column, Column]:
+    """The padded text's characters, and all runs of ``order + 1`` of them (column ``chars``)."""
     padded = F.concat(F.lit(_START * order), "host", "path", F.lit(_END))
     chars = F.regexp_extract_all(padded, F.lit("(?s)(.)"), F.lit(1))
     last = F.size("chars") - order
