@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nocturne.functions.numeric import to_number
-from nocturne.schemas import EVENTS, HOURS, LABEL, PROBABILITY, STAGE
+from nocturne.schemas import EVENTS, HOURS, LABEL, STAGE
 
 # Names as foreign files spell them.
 CANONICAL = {"acc_x": "ACC_X", "acc_y": "ACC_Y", "acc_z": "ACC_Z", "timestamp": "TIMESTAMP"}
@@ -30,7 +30,6 @@ SYNONYMS = {
     "Sleep_Disorders": (("Sleep_Disorders", "sleep_disorders", "diagnosis"), ""),
 }
 NOT_FEATURES = (LABEL, HOURS)
-NOT_EXPLAINED = ("SID", LABEL, HOURS, "prediction", PROBABILITY, "prediction_label")
 
 
 def canonical_name(name: str) -> str:

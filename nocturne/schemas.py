@@ -34,13 +34,6 @@ NA_TOKENS = (
     "nan", "null",
 )
 
-READINGS = T.StructType(
-    [T.StructField("SID", T.StringType())]
-    + [T.StructField("ts", T.TimestampType())]
-    + [T.StructField(c, T.DoubleType()) for c in CHANNELS]
-    + [T.StructField(STAGE, T.StringType())]
-    + [T.StructField(c, T.StringType()) for c in EVENTS]
-)
 USERS = T.StructType(
     [
         T.StructField("id", T.LongType()),
