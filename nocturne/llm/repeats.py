@@ -49,7 +49,7 @@ LENGTH = 50
 #: A perfect difference cover: every difference modulo 31 occurs among these offsets.
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Corpus bytes for which a bucket of cover keys, or of suffix keys, is opened.
 BUCKET_BYTES = 8 << 20
 
@@ -120,8 +120,9 @@ class _Keys:
         fresh[1:] = ranked[1:] != ranked[:-1]
         at = np.flatnonzero(fresh)
         self.values = ranked[at]
-        self.index = np.empty(len(ranked), np.int64)
-        self.index[order] = np.cumsum(fresh) - 1
+        self.index = np.empty(len(ranked), np.int32)
+        self.index[order] = np.cumsum(fresh, dtype=np.int32) - 1
+        del ranked, fresh
         held = ids[owners[order]]
         self.least = np.minimum.reduceat(held, at) if len(at) else np.zeros(0, np.int64)
         self.most = np.maximum.reduceat(held, at) if len(at) else np.zeros(0, np.int64)
@@ -247,9 +248,12 @@ def _flags(replies: pa.Table, step: int, n: int) -> np.ndarray:
 def _suffixes(data: np.ndarray, ends: np.ndarray, ids: np.ndarray, replies: pa.Table, bits: int) -> tuple[np.ndarray, _Keys]:
     """Places and keys of the suffixes with a cover sample that lies in several documents."""
     places, owners, hashes = _samples(data, ends)
-    samples = _Keys(hashes >> np.uint64(64 - bits), owners, ids)
+    hashes >>= np.uint64(64 - bits)
+    samples = _Keys(hashes, owners, ids)
+    del hashes, owners
     shared = _flags(replies, 1, len(samples.values)) | (samples.least < samples.most)
     repeated = places[shared[samples.index]].astype(np.int64)
+    del samples, shared, places
     reach = PERIOD - 1
     found, keys = [], []
     for low in range(0, len(data), BLOCK):
