@@ -5,8 +5,9 @@ corpus whose term occurs in a benchmark item (no other token can take part in a
 benchmark window is looked up from its rarest terms: their postings, less the term's offset
 in the item, give diagonals (document, item, shift); diagonals that enough rare terms agree
 on are intersected with the postings of all terms of the item, and runs of neighbouring
-positions are the exact phrase matches. Proximity matches use the same postings: all words
-of a window inside a span of the document, in any order.
+positions are the exact phrase matches. Proximity matches use the same kind of postings: all
+distinct words of any window of an item inside a span of the document, in any order. They are
+a report of their own (``proximity``); ``contaminated`` means phrases.
 
 Everything is DataFrame operations; a side is broadcast only after its stored rows were
 counted (``BROADCAST_ROWS``), else joins shuffle.
@@ -117,19 +118,80 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     return runs.filter("n >= need").join(names, "item").select("doc", "item", "item_id", "start", "stop")
 
 
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, span: int = 20, window: int = WINDOW) -> DataFrame:
-    """``doc, item, start``: blocks of ``span`` positions (half overlapping) that hold every distinct
-    term of an item's first window, in any order. A looser report than ``phrase_matches``."""
-    items = _items(benchmark, window).withColumn("term", F.xxhash64("word")).filter("pos < need")
-    items = stored(items.select("item", "term", "word").distinct(), "near-items")
+def _near_sets(items: DataFrame) -> DataFrame:
+    """``item, first, term, size``: the distinct terms of every window of every item, and their number."""
+    first = F.explode(
+        F.sequence(F.greatest(F.lit(0), F.col("pos") - F.col("need") + 1), F.least("pos", F.col("size") - F.col("need")))
+    )
+    sets = items.select("item", "term", first.alias("first")).distinct()
+    return sets.withColumn("size", F.count("*").over(Window.partitionBy("item", "first")))
+
+
+def proximity_matches(
+    docs: DataFrame, benchmark: DataFrame, span: int = 20, window: int = WINDOW, rare: int = RARE_TERMS
+) -> DataFrame:
+    """``doc, item, item_id, stop``: ends (exclusive) of spans that hold a window of an item in any order.
+
+    A match ends at a document word of the window when all distinct terms of the window, any
+    window of the item, lie in the ``span`` positions up to it. ``docs`` and positions as in
+    ``phrase_matches``. A span lies in two neighbouring blocks of ``span`` positions; where
+    those hold the rarest terms of a window, the terms of the item in both are swept in
+    order: a term is live from where it stands until it comes again, or ``span`` positions on.
+    """
+    items = stored(_items(benchmark, window).withColumn("term", F.xxhash64("word")), "near-items")
     vocabulary = stored(items.select("word", "term").distinct(), "near-vocabulary")
-    index = postings(docs.select(_row_key("doc_id").alias("doc"), "text"), counted_broadcast(vocabulary))
-    half = span // 2
-    block = F.explode(F.array(F.floor(F.col("pos") / half), F.floor(F.col("pos") / half) - 1))
-    held = index.select("doc", "term", block.alias("block")).distinct().join(counted_broadcast(items.select("item", "term")), "term")
-    sizes = items.groupBy("item").agg(F.count("*").alias("size"))
-    counted = held.groupBy("doc", "item", "block").agg(F.count("*").alias("met")).join(sizes, "item")
-    return counted.filter("met = size").select("doc", "item", (F.col("block") * half).alias("start"))
+    index = postings(docs.select(_row_key("doc_id").alias("doc"), "text").distinct(), counted_broadcast(vocabulary))
+    index = index.withColumn("block", F.floor(F.col("pos") / span))
+    frequencies = stored(index.groupBy("term").agg(F.count("*").alias("held")), "near-frequencies")
+
+    sets = stored(_near_sets(items), "near-sets")
+    known = sets.join(frequencies, "term", "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    same = Window.partitionBy("item", "first")
+    ranked = known.withColumn("turn", F.row_number().over(same.orderBy("held", "term"))).withColumn("least", F.min("held").over(same))
+    rarest = ranked.filter((F.col("turn") <= rare) & (F.col("least") > 0)).groupBy("item", "first").agg(
+        F.array_sort(F.collect_list("term")).alias("terms")
+    )
+    rarest = rarest.select("item", "terms").distinct()  # neighbouring windows mostly share their rarest terms
+    anchors = rarest.select("item", F.xxhash64("terms").alias("rarest"), F.size("terms").alias("agree"), F.explode("terms").alias("term"))
+    anchors = stored(anchors, "near-anchors")
+    found = index.join(counted_broadcast(anchors), "term").select(
+        "doc", "item", "rarest", "agree", "term", F.explode(F.array(F.col("block") - 1, "block")).alias("block")
+    )
+    blocks = found.groupBy("doc", "item", "rarest", "agree", "block").agg(F.count_distinct("term").alias("met"))
+    blocks = blocks.filter("met = agree").select("doc", "item", F.explode(F.array("block", F.col("block") + 1)).alias("block"))
+    blocks = stored(blocks.distinct(), "near-blocks")
+
+    terms = stored(sets.select("item", "term").distinct(), "near-terms")
+    places = index.join(counted_broadcast(blocks), ["doc", "block"]).join(counted_broadcast(terms), ["item", "term"])
+    again = F.lead("pos").over(Window.partitionBy("doc", "item", "term").orderBy("pos"))
+    until = F.least(F.coalesce(again, F.col("pos") + span), F.col("pos") + span)
+    places = stored(places.select("doc", "item", "term", "pos", until.alias("until")), "near-places")
+    lives = places.join(counted_broadcast(sets), ["item", "term"])
+    # windows of which a term is missing altogether need no sweep
+    whole = lives.groupBy("doc", "item", "first", "size").agg(F.count_distinct("term").alias("met")).filter("met = size")
+    lives = lives.join(whole.select("doc", "item", "first"), ["doc", "item", "first"])
+    turns = F.explode(F.array(F.struct(F.col("pos").alias("at"), F.lit(1).alias("step")), F.struct(F.col("until").alias("at"), F.lit(-1).alias("step"))))
+    turns = lives.select("doc", "item", "first", "size", turns.alias("turn")).groupBy("doc", "item", "first", "size", "turn.at")
+    turns = turns.agg(F.sum("turn.step").alias("step"))
+    live = F.sum("step").over(Window.partitionBy("doc", "item", "first").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    ends = turns.withColumn("live", live).filter("live = size").select("doc", "item", (F.col("at") + 1).alias("stop")).distinct()
+    return ends.join(items.select("item", "item_id").distinct(), "item").select("doc", "item", "item_id", "stop")
+
+
+def proximity(docs: DataFrame, benchmark: DataFrame, span: int = 20, window: int = WINDOW) -> DataFrame:
+    """One row for each row of ``docs(doc_id, text)``: ``doc_id, n_near, n_near_items, near_sha256``."""
+    matches = stored(proximity_matches(docs, benchmark, span, window), "near-matches")
+    hits = matches.groupBy("doc").agg(
+        F.count_distinct("stop").cast("long").alias("n_near"),
+        F.count_distinct("item").cast("long").alias("n_near_items"),
+        F.array_join(F.array_sort(F.collect_set(F.col("item_id").cast("string"))), ",").alias("items"),
+    )
+    return docs.select("doc_id", _row_key("doc_id").alias("doc")).join(hits, "doc", "left").select(
+        "doc_id",
+        F.coalesce("n_near", F.lit(0)).alias("n_near"),
+        F.coalesce("n_near_items", F.lit(0)).alias("n_near_items"),
+        F.sha2(F.coalesce("items", F.lit("")), 256).alias("near_sha256"),
+    )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rare: int = RARE_TERMS) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nocturne.llm import langid, mixing, quality, repeats, secrets, toxicity, urls, warc
-from nocturne.llm.decontaminate import decontaminate
+from nocturne.llm.decontaminate import decontaminate, proximity
 from nocturne.llm.neardup import near_duplicates
 from nocturne.llm.tables import held_out, read, stored
 
@@ -38,6 +38,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op5_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proximity(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.deduplicate(read(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op3_urls": op3_urls,
     "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
+    "op5_proximity": op5_proximity,
     "op6_repeats": op6_repeats,
     "op7_warc": op7_warc,
     "op8_langid": op8_langid,

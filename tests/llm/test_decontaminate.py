@@ -67,3 +67,44 @@ def test_proximity_finds_reordered_words(spark):
     docs = spark.createDataFrame([(1, "x x d c b a x"), (2, "a " + "x " * 60 + "b c d"), (3, None)], "doc_id long, text string")
     items = spark.createDataFrame([(7, "a b c d")], "item_id long, text string")
     assert len({r["doc"] for r in d.proximity_matches(docs, items).collect()}) == 1
+
+
+def brute_near(docs, items, span=20, window=10):
+    out = set()
+    for doc_id, text in docs:
+        w = words(text)
+        for item_id, passage in items:
+            v = words(passage)
+            size = min(window, len(v))
+            for s in range(len(v) - size + 1) if v else ():
+                terms = set(v[s : s + size])
+                out |= {(doc_id, item_id, q + 1) for q in range(len(w)) if w[q] in terms and terms <= set(w[max(0, q - span + 1) : q + 1])}
+    return out
+
+
+def test_proximity_against_brute_force(spark):
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(12)]
+    item = lambda i, n: [rng.choice([f"t{i}x{k}", rng.choice(common)]) for k in range(n)]
+    passages = [item(i, n) for i, n in enumerate([1, 4, 10, 15, 23, 40])] + [["c1", "c2"] * 8]
+    items = [(i, " ".join(p)) for i, p in enumerate(passages)]
+    docs = [(0, None), (1, ""), (2, " ".join(common * 9))]
+    for i in range(3, 120):
+        p = passages[rng.randrange(2, 7)]
+        start = rng.randrange(max(1, len(p) - 9))  # any window, mostly not the first
+        held = p[start : start + 10]
+        rng.shuffle(held)
+        filled = []
+        for w in held:  # spread over about 10 to 25 positions
+            filled += [w] + ["f"] * (rng.random() < rng.choice([0.1, 0.8])) * rng.randrange(1, 3)
+        docs.append((i, " ".join(["h"] * rng.randrange(45) + filled + rng.choices(common, k=rng.randrange(40)))))
+    a = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for span, window in ((20, 10), (12, 10), (5, 4)):
+        expected = brute_near(docs, items, span, window)
+        keys = {r["doc"]: r["doc_id"] for r in a.select("doc_id", d._row_key("doc_id").alias("doc")).collect()}
+        got = {(keys[r["doc"]], r["item_id"], r["stop"]) for r in d.proximity_matches(a, b, span, window).collect()}
+        assert got == expected
+        rows = {r["doc_id"]: (r["n_near"], r["n_near_items"]) for r in d.proximity(a, b, span, window).collect()}
+        of = {i: [x for x in expected if x[0] == i] for i, _ in docs}
+        assert rows == {i: (len({x[2] for x in m}), len({x[1] for x in m})) for i, m in of.items()}
