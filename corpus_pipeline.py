@@ -4,8 +4,9 @@ Stages: language ID (undetermined or doubtful documents go), near-duplicates (on
 of each group stays), benchmark decontamination (documents that hold a benchmark passage
 go), secrets (found spans are replaced by their kind), mixing (every document gets its place).
 
-Rows that share a doc_id count as one document: they stay or go together. Null ids are
-never near-duplicates of anything. Empty tables give empty results.
+Verdicts hold for a row's id and text: rows that share an id (or have none) but differ in
+text are judged each by itself. Null ids are never near-duplicates of anything. Empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -27,11 +28,14 @@ LANGUAGE_SCORE = 0.5
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose doc_id (null included) is in ``dropped``."""
-    gone_id = unused(docs, "gone_id")
-    gone = stored(dropped.select(F.col("doc_id").alias(gone_id)).distinct(), "dropped")
-    return docs.join(counted_broadcast(gone), F.col("doc_id").eqNullSafe(F.col(gone_id)), "left_anti")
+def _without(docs: DataFrame, judge: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``docs`` less the rows that ``judge(docs, key)`` returns by doc_id (null included) and ``key``, a hash of the text."""
+    key, gone_id, gone_key = unused(docs, "text_key"), unused(docs, "gone_id"), unused(docs, "gone_key")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    dropped = judge(keyed, key).select(F.col("doc_id").alias(gone_id), F.col(key).alias(gone_key))
+    gone = stored(dropped.distinct(), "dropped")
+    same = F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_key))
+    return keyed.join(counted_broadcast(gone), same, "left_anti").drop(key)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,13 +49,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
-    return _without(docs, near_duplicates(docs).filter(~F.col("kept")))
+    return _without(docs, lambda keyed, key: near_duplicates(keyed, carried=[key]).filter(~F.col("kept")))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
-    found = decontaminate(docs, read(spark, sf_dir, "benchmark", "item_id", "text"))
-    return _without(docs, found.filter("contaminated"))
+    items = read(spark, sf_dir, "benchmark", "item_id", "text")
+    return _without(docs, lambda keyed, key: decontaminate(keyed, items, carried=[key]).filter("contaminated"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,8 @@ repeated items count once. Null ids are ids like any other; a null item_id is le
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,7 +52,8 @@ def _tokens(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def _row_key(id_column: str) -> Column:
-    return F.xxhash64(F.col(id_column).cast("string"), "text")
+    # a hash leaves nulls out: without the flags, a null id and a null text could take each other's place
+    return F.xxhash64(F.col(id_column).isNull(), F.col(id_column).cast("string"), F.col("text").isNull(), "text")
 
 
 def _word_count() -> Column:
@@ -194,8 +197,13 @@ def proximity(docs: DataFrame, benchmark: DataFrame, span: int = 20, window: int
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rare: int = RARE_TERMS) -> DataFrame:
-    """One row for each row of ``docs(doc_id, text)``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``."""
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rare: int = RARE_TERMS, carried: Sequence[str] = ()
+) -> DataFrame:
+    """One row for each row of ``docs(doc_id, text)``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
+
+    Columns named in ``carried`` are passed on.
+    """
     matches = stored(phrase_matches(docs, benchmark, window, rare), "matches")
     before = Window.partitionBy("doc").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce(F.max("stop").over(before), "start")))
@@ -204,7 +212,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
         F.count_distinct("item").cast("long").alias("n_items"),
         F.array_join(F.array_sort(F.collect_set(F.col("item_id").cast("string"))), ",").alias("items"),
     )
-    counted = docs.select("doc_id", _word_count().alias("n_words"), _row_key("doc_id").alias("doc"))
+    counted = docs.select("doc_id", _word_count().alias("n_words"), _row_key("doc_id").alias("doc"), *carried)
     n_hit, n_items = F.coalesce("n_hit", F.lit(0)), F.coalesce("n_items", F.lit(0))
     return counted.join(hits, "doc", "left").select(
         "doc_id",
@@ -213,4 +221,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
         n_items.alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
+        *carried,
     )

@@ -24,7 +24,7 @@ component of their set. Extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -96,8 +96,10 @@ def _list_column(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
 _SIGNED = "doc_id {}, n_shingles long, set_digest binary, bands array<long>"
 
 
-def signatures(docs: DataFrame, registers: int = REGISTERS, band: int = BAND, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, n_shingles, set_digest, bands`` of ``docs(doc_id, text)``, row by row."""
+def signatures(
+    docs: DataFrame, registers: int = REGISTERS, band: int = BAND, shingle: int = SHINGLE, carried: Sequence[str] = ()
+) -> DataFrame:
+    """``doc_id, n_shingles, set_digest, bands`` and ``carried`` of ``docs(doc_id, text)``, row by row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -113,12 +115,14 @@ def signatures(docs: DataFrame, registers: int = REGISTERS, band: int = BAND, sh
                         pa.array(sizes.astype(np.int64)),
                         pa.array([x.tobytes() for x in _digests(hashes, owner, n)], pa.binary()),
                         _list_column(bands[held], np.where(held, bands.shape[1], 0)),
+                        *part.columns[2:],
                     ],
-                    names=["doc_id", "n_shingles", "set_digest", "bands"],
+                    names=["doc_id", "n_shingles", "set_digest", "bands", *carried],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sign, _SIGNED.format(kind))
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    return docs.select("doc_id", "text", *carried).mapInArrow(sign, _SIGNED.format(kind) + more)
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -205,15 +209,21 @@ def _ends(compared: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = PERCENT, registers: int = REGISTERS, band: int = BAND, shingle: int = SHINGLE
+    docs: DataFrame,
+    percent: int = PERCENT,
+    registers: int = REGISTERS,
+    band: int = BAND,
+    shingle: int = SHINGLE,
+    carried: Sequence[str] = (),
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
 
     The defaults find a pair of similarity 0.75 with probability above 0.99999. A
     component's id is its smallest doc_id; ``kept`` marks the row that carries it.
+    Columns named in ``carried`` are passed on.
     """
+    signed = stored(signatures(docs, registers, band, shingle, carried), "signatures")
     docs = docs.select("doc_id", "text")
-    signed = stored(signatures(docs, registers, band, shingle), "signatures")
     nodes = stored(
         signed.filter("n_shingles > 0 and doc_id is not null")
         .groupBy("set_digest")
@@ -280,8 +290,8 @@ def near_duplicates(
     )
     own = F.when(F.col("doc_id").isNull(), None)
     return (
-        signed.select("doc_id", "n_shingles", "set_digest")
+        signed.select("doc_id", "n_shingles", "set_digest", *carried)
         .join(classes, "set_digest", "left")
-        .select("doc_id", "n_shingles", own.otherwise(F.coalesce("of_set", "doc_id")).alias("component_id"))
+        .select("doc_id", "n_shingles", *carried, own.otherwise(F.coalesce("of_set", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )

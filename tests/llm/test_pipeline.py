@@ -55,3 +55,18 @@ def test_odd_rows_pass_through(spark):
     assert {r["doc_id"] for r in docs.collect()} == {1, None, 5}
     for _, stage in pipeline.STAGES:
         assert stage(spark, spark.read.parquet(f"{SF}/documents.parquet").limit(0), SF).count() == 0
+
+
+def test_rows_are_dropped_by_id_and_text(spark):
+    """A copy or a contaminated row takes no other row of its id with it, null ids included."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    own = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(None, f"{own(1)} {item}"), (None, own(2)), (None, own(3)), (7, f"{own(4)} {item}"), (7, own(5)), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    named = dict(pipeline.STAGES)
+    left = named["benchmark"](spark, docs, SF)
+    assert left.columns == docs.columns
+    assert {tuple(r) for r in left.collect()} == {rows[1], rows[2], rows[4], rows[5]}
+    rows = [(1, own(1)), (2, own(1)), (2, own(2)), (None, own(1)), (None, own(3))]
+    left = named["near_duplicates"](spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([rows[0], *rows[2:]], key=str)
