@@ -24,9 +24,3 @@ def sf():
 def no_leftover_cache(spark):
     yield
     spark.catalog.clearCache()
-
-
-def rows(df, *order):
-    """Rows as dicts, sorted."""
-    out = [r.asDict(recursive=True) for r in df.collect()]
-    return sorted(out, key=lambda r: tuple(str(r[c]) for c in order)) if order else out

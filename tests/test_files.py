@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from nocturne.operators import columns, features, labels
 from nocturne.plans import jobs
 from nocturne.schemas import CHANNELS

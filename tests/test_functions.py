@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from nocturne.functions import bands, clinical, live, numeric, rules, sleep, text
 from nocturne.operators import scoring
 

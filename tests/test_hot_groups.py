@@ -5,7 +5,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from nocturne.learning.preprocess import stratified_split
 from nocturne.operators import fill, metrics, ordered, profile, sequences, series, sessions
 from nocturne.plans import adapters as a

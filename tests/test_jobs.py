@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from nocturne.operators import sessions
 from nocturne.plans import jobs
 from nocturne.schemas import PREDICTIONS, SESSIONS

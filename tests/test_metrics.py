@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from nocturne.operators import metrics, sites
 from nocturne.plans import jobs
 from nocturne.sources import sinks

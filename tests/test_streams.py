@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from nocturne.plans import adapters as a
 from nocturne.plans import jobs
 from nocturne.plans.catalogue_streams import table_stream
