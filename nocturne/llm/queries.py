@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nocturne.llm import langid, mixing, quality, repeats, secrets, toxicity, urls, warc
+from nocturne.llm import langid, mixing, quality, repeats, secrets, toxicity, urls, warc, whitening
 from nocturne.llm.decontaminate import decontaminate, proximity
 from nocturne.llm.neardup import near_duplicates
 from nocturne.llm.tables import held_out, read, stored
@@ -69,6 +69,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whitening.whiten(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return whitened.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_secrets": op2_secrets,
@@ -81,4 +86,5 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_quality": op9_quality,
     "op10_minhash": op10_minhash,
+    "op11_whitening": op11_whitening,
 }
