@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nocturne.llm import langid, mixing, quality, repeats, secrets, toxicity, urls, warc, whitening
+from nocturne.llm import langid, mixing, negatives, quality, repeats, secrets, toxicity, urls, warc, whitening
 from nocturne.llm.decontaminate import decontaminate, proximity
 from nocturne.llm.neardup import near_duplicates
 from nocturne.llm.tables import held_out, read, stored
@@ -74,6 +74,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened.withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_secrets": op2_secrets,
@@ -87,4 +93,5 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_minhash": op10_minhash,
     "op11_whitening": op11_whitening,
+    "op12_negatives": op12_negatives,
 }
