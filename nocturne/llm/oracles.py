@@ -194,7 +194,7 @@ FROM p LEFT JOIN g USING (h)
 """
 
 
-def _minhash() -> str:
+def _classes(percent: int, more: str = "") -> str:
     return f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_words(r"[\x20\x09-\x0D]+")} AS w FROM documents),
 g AS (
@@ -204,11 +204,11 @@ g AS (
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
 c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (
-  SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)
+  SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= {percent} * (x.n + y.n - shared)
 ),
 r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
 m AS (SELECT a, min(b) AS low FROM r GROUP BY 1)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, low) AS component_id, d.doc_id = least(d.doc_id, low) AS kept
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, low) AS component_id{more}
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = d.doc_id
 """
 
@@ -243,6 +243,7 @@ ORACLES: dict[str, str] = {
     "op3_urls": _urls(),
     "op5_decontaminate": _decontaminate(),
     "op7_warc": _WARC,
-    "op10_minhash": _minhash(),
+    "op10_minhash": _classes(75, ", d.doc_id = least(d.doc_id, low) AS kept"),
     "op12_negatives": _NEGATIVES,
+    "op13_jaccard": _classes(80),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nocturne.llm import langid, mixing, negatives, quality, repeats, secrets, toxicity, urls, warc, whitening
 from nocturne.llm.decontaminate import decontaminate, proximity
+from nocturne.llm.jaccard import jaccard_classes
 from nocturne.llm.neardup import near_duplicates
 from nocturne.llm.tables import held_out, read, stored
 
@@ -80,6 +81,10 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(rows.withColumn("label", moved))
 
 
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_secrets": op2_secrets,
@@ -94,4 +99,5 @@ QUERIES = {
     "op10_minhash": op10_minhash,
     "op11_whitening": op11_whitening,
     "op12_negatives": op12_negatives,
+    "op13_jaccard": op13_jaccard,
 }

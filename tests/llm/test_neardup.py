@@ -15,7 +15,7 @@ def shingles(text):
     return {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
 
 
-def brute(docs):
+def brute(docs, percent=75):
     sets = [shingles(t) for _, t in docs]
     parent = list(range(len(docs)))
 
@@ -27,7 +27,7 @@ def brute(docs):
     for a in range(len(docs)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and docs[a][0] is not None and docs[b][0] is not None and 100 * both >= 75 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and docs[a][0] is not None and docs[b][0] is not None and 100 * both >= percent * len(sets[a] | sets[b]):
                 parent[root(a)] = root(b)
     low = {}
     for k, (doc_id, _) in enumerate(docs):
