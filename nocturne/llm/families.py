@@ -106,6 +106,15 @@ def _alone(sets: DataFrame) -> DataFrame:
     return once.groupBy("node").agg(F.count("*").alias("alone"))
 
 
+def shared_buckets(rows: DataFrame) -> DataFrame:
+    """The rows of ``rows(bucket, node, ...)`` whose bucket has more than one node; of buckets with the same nodes, one."""
+    holders = rows.groupBy("bucket").agg(
+        F.count("*").alias("held"), *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    )
+    kept = holders.filter("held > 1").groupBy("held", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return rows.join(counted_broadcast(stored(kept, "bucket-keys")), "bucket")
+
+
 def settle(buckets: DataFrame, sets: DataFrame, percent: int, sifted: Filter | None = None) -> DataFrame:
     """``node, label`` of every linked node: the smallest node of its component.
 
@@ -131,8 +140,9 @@ def settle(buckets: DataFrame, sets: DataFrame, percent: int, sifted: Filter | N
     references = references.select("bucket", (-F.col("best.turn")).alias("other"), F.col("best.n").alias("other_n"))
     referred = mixed.select("bucket", "node", "n").join(counted_broadcast(stored(references, "references")), "bucket")
     referred = stored(referred.select("node", "n", "other", "other_n").distinct(), "referred")
-    known = _both_ways(done).select(F.col("node").alias("a"), F.col("other").alias("b"))
-    done = done.unionByName(compared(_ordered(referred, percent).join(known, ["a", "b"], "left_anti"), sets, percent, sifted))
+    known = _both_ways(done.filter("common is not null")).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    # what a node has in common with its reference is counted even if a filter tells that they cannot link
+    done = done.unionByName(compared(_ordered(referred, percent).join(known, ["a", "b"], "left_anti"), sets, percent))
     labels = components(done.filter("linked").select("a", "b"))
 
     # nodes of one reference in different components that may still reach the similarity

@@ -3,17 +3,17 @@
 A document's set is its distinct shingles of five lower-cased words, as 64-bit hashes. In any one
 order of all shingles, two sets that link share at least ``l`` of their first
 ``n - required + l`` shingles (``n`` the size of a set, ``required`` the least overlap a partner must have).
-Three orders are used: the hash values, and the same begun at a third and at two thirds of their range, so
-that the three prefixes of a set hardly overlap. Every order is a filter of its own, and
-what is compared has passed all of them:
+What is compared has passed the filters of several orders: the hash values from the
+beginning, from a third and from two thirds of their range (so that the prefixes of a set hardly overlap), and one
+that begins with rare shingles.
 
 1. Under the first order, a set stays if enough shingles of its prefix occur in the prefix of a different
-   set. Least and greatest holder of each shingle tell that, so frequent shingles are combined before the shuffle, and
-   copies of one set are one.
-2. The sets that stay are collected and filtered again under every order among themselves.
-3. The shingles of the shortest prefix that more than one set holds are buckets; shingles with the same
-   holders are one bucket. Inside buckets pairs are compared as :mod:`families` does, each with the
-   prefixes under every order first and the whole sets after that.
+   set. That takes one shuffle of the prefixes, where a frequent shingle is a row for each part of the input.
+2. The sets that stay are collected. Their shingles are counted on a fixed number of slots; the order by
+   those counts puts frequent shingles last (any function of a shingle is an order, so nothing rests on the counts).
+   The shingles of the shortest prefix under it that several sets hold are buckets.
+3. Inside buckets pairs are compared as :mod:`families` does, each with the
+   prefixes under the three hash orders first and the whole sets after that.
 
 Nothing is sampled: no link between two different texts that joins components is lost, but for chance meetings of
 64-bit hashes. The result is a class for each document; pairs inside a class are not listed.
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nocturne.llm.arrays import mix, shingle_sets, slices, text_buffer
-from nocturne.llm.families import component_ids, settle
+from nocturne.llm.families import component_ids, settle, shared_buckets
 from nocturne.llm.tables import counted_broadcast, stored
 
 SHINGLE = 5
@@ -42,8 +42,12 @@ SHINGLE = 5
 PERCENT = 80
 #: Where in the range of hashes each order begins.
 ORDERS = (0, (1 << 64) // 3, 2 * (1 << 64) // 3)
+#: Shingles that a task settles together.
+PART = 4_000_000
+#: Slots on which shingles are counted for the order by rarity, and the parts in which their sums are made.
+SLOTS, SEGMENTS = 1 << 20, 64
 #: A prefix is longer than the shortest by this share of the set; so many shared shingles it then must have.
-EXTRA = 10
+EXTRA = 5
 
 
 def spare(n: np.ndarray, percent: int) -> np.ndarray:
@@ -108,33 +112,91 @@ def _signed(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _long_prefixes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """``shingle, set_key``: the long prefix of every set under the first order; a task says each set once."""
+    """``shingle, set_key, held``: the long prefix of every set under the first order.
+
+    A task settles among ``PART`` shingles at a time what it can: a shingle that several sets there hold is one row
+    without a key, and so many of a set's shingles are one row without a shingle. A frequent
+    shingle is so a row a part, whatever the number of its holders.
+    """
+    names = ["shingle", "set_key", "held"]
+
+    def rows(shingles: np.ndarray, keys: np.ndarray, held: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(shingles.view(np.int64)), pa.array(keys, mask=held < 0), pa.array(np.abs(held))]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def settled(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        tokens, keys = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((keys, tokens))
+        tokens, keys = tokens[order], keys[order]
+        fresh = np.ones(len(tokens), bool)
+        fresh[1:] = (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1])  # a set that was met twice
+        tokens, keys = tokens[fresh], keys[fresh]
+        starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+        several = np.diff(np.r_[starts, len(tokens)]) > 1
+        alone = starts[~several]
+        yield rows(tokens[alone], keys[alone], np.zeros(len(alone), np.int64))
+        yield rows(tokens[starts[several]], np.zeros(several.sum(), np.int64), np.full(several.sum(), -1, np.int64))
+        counted, held = np.unique(keys[np.repeat(several, np.diff(np.r_[starts, len(tokens)]))], return_counts=True)
+        yield rows(mix(counted.view(np.uint64)), counted, held)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        said: set[int] = set()
+        parts, size = [], 0
         for whole in batches:
             for part in slices(whole, 1):
                 hashes, ends, sizes, digests = _sets_of(part.column(1), shingle)
-                keys = digests[:, 0].view(np.int64) if len(digests) else np.zeros(0, np.int64)
-                first = np.zeros(len(keys), bool)
-                for k in np.flatnonzero(sizes):
-                    first[k] = keys[k] not in said
-                    said.add(int(keys[k]))
-                if len(said) > 1 << 20:
-                    said.clear()
-                length = np.where(first, np.minimum(sizes, spare(sizes, percent) + extra(sizes)), 0)
+                length = np.minimum(sizes, spare(sizes, percent) + extra(sizes))
+                length[sizes == 0] = 0
                 at = np.repeat(ends[:-1] - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes[at].view(np.int64)), pa.array(np.repeat(keys, length))], names=["shingle", "set_key"]
-                )
+                parts.append((hashes[at], np.repeat(digests[:, 0].view(np.int64), length)))
+                size += len(at)
+                if size > PART:
+                    yield from settled(parts)
+                    parts, size = [], 0
+        if size:
+            yield from settled(parts)
+
+    return docs.select("doc_id", "text").mapInArrow(spread, "shingle long, set_key long, held long")
 
-    return docs.select("doc_id", "text").mapInArrow(spread, "shingle long, set_key long")
 
+def _held_by_others(prefixes: DataFrame) -> DataFrame:
+    """``set_key, held``: how many shingles of the prefix lie in the prefix of a different set.
 
-def _shared(postings: DataFrame, *keys: str, holder: str) -> DataFrame:
-    """``keys`` held by more than one holder."""
-    ends = postings.groupBy(*keys).agg(F.min(holder).alias("low"), F.max(holder).alias("high"))
-    return ends.filter("low <> high").select(*keys)
+    A set that lies in several parts is counted in each, so ``held`` may be too large, never too small. One shuffle, by shingle; a task reads its shingles in order and keeps the one it stands at.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        for batch in batches:
+            here = [batch.column(0).to_numpy(), batch.column(1).fill_null(0).to_numpy(), batch.column(2).to_numpy()]
+            here.append(np.asarray(batch.column(1).is_null().to_numpy(zero_copy_only=False)))
+            if last is not None:
+                here = [np.r_[a, b] for a, b in zip(last, here, strict=True)]
+            cut = int(np.searchsorted(here[0], here[0][-1])) if len(here[0]) else 0
+            told = [c[:cut] for c in here]
+            last = [c[cut:] for c in here]
+            if cut:
+                yield counted(*told)
+        if last is not None and len(last[0]):
+            yield counted(*last)
+
+    def counted(tokens: np.ndarray, keys: np.ndarray, held: np.ndarray, open_: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+        lengths = np.diff(np.r_[starts, len(tokens)])
+        posting = held == 0
+        several = np.maximum.reduceat(open_, starts)
+        low = np.minimum.reduceat(np.where(posting, keys, np.iinfo(np.int64).max), starts)
+        high = np.maximum.reduceat(np.where(posting, keys, np.iinfo(np.int64).min), starts)
+        shared = np.repeat(several | (low < high), lengths) & posting
+        one = np.where(posting, shared, held)
+        one[open_] = 0
+        some = one > 0
+        found, place = np.unique(keys[some], return_inverse=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(found), pa.array(np.bincount(place, one[some], len(found)).astype(np.int64))], names=["set_key", "held"]
+        )
+
+    dealt = prefixes.repartition("shingle").sortWithinPartitions("shingle")
+    return dealt.mapInArrow(scan, "set_key long, held long").groupBy("set_key").agg(F.sum("held").alias("held"))
 
 
 def _collected(texts: DataFrame, shingle: int) -> DataFrame:
@@ -151,30 +213,49 @@ def _collected(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(collect, "set_digest binary, members binary")
 
 
-def _all_prefixes(sets: DataFrame, percent: int, shortest: bool) -> DataFrame:
-    """``place, shingle, node``: the long prefix of every set under every order, or the shortest under the first."""
+def _load(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall on each of ``SLOTS`` slots; a fixed size, whatever the input."""
+    width = SLOTS // SEGMENTS
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for members in batch.column(0):
+                np.add.at(load, _slot(np.frombuffer(members.as_buffer(), np.uint64)), 1)
+        parts = [load[k * width : (k + 1) * width].tolist() for k in range(SEGMENTS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array(parts, pa.list_(pa.int64()))], names=["segment", "load"])
+
+    def total(table: pa.Table) -> pa.Table:
+        parts = np.sum([np.asarray(p, np.int64) for p in table.column("load").to_pylist()], axis=0)
+        return pa.table({"segment": table.column("segment")[:1], "load": pa.array([parts.tolist()], pa.list_(pa.int64()))})
+
+    kind = "segment int, load array<long>"
+    found = sets.select("members").mapInArrow(add, kind).groupBy("segment").applyInArrow(total, kind).collect()
+    out = np.zeros(SLOTS, np.int64)
+    for row in found:
+        out[row["segment"] * width : (row["segment"] + 1) * width] = row["load"]
+    return out
+
+
+def _slot(members: np.ndarray) -> np.ndarray:
+    return (mix(members) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """``bucket, node``: the shortest prefix of every set, shingles on rarely used slots first."""
+    shared = sets.sparkSession.sparkContext.broadcast(_load(sets))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load = shared.value
         for batch in batches:
             for node, members in zip(*batch.columns, strict=True):
                 held = np.frombuffer(members.as_buffer(), np.uint64)
-                length = int(spare(len(held), percent) + (1 if shortest else extra(len(held))))
-                for place, start in enumerate(ORDERS[:1] if shortest else ORDERS):
-                    taken = prefix(held, start, min(length, len(held)))
-                    columns = [np.full(len(taken), place, np.int32), taken.view(np.int64), np.full(len(taken), node.as_py())]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["place", "shingle", "node"])
-
-    return sets.select("node", "members").mapInArrow(spread, "place int, shingle long, node long")
+                order = np.lexsort((held, load[_slot(held)]))
+                taken = held[order[: int(spare(len(held), percent)) + 1]]
+                columns = [pa.array(taken.view(np.int64)), pa.array(np.full(len(taken), node.as_py()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "node"])
 
-
-def _buckets(prefixes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``bucket, node, n``: shared shingles of the shortest prefix; of those with the same holders, one."""
-    holders = prefixes.groupBy("shingle").agg(
-        F.count("*").alias("held"), *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in range(2)]
-    )
-    kept = holders.filter("held > 1").groupBy("held", "x0", "x1").agg(F.min("shingle").alias("shingle")).select("shingle")
-    kept = counted_broadcast(stored(kept, "bucket-keys"))
-    return prefixes.join(kept, "shingle").join(nodes, "node").select(F.col("shingle").alias("bucket"), "node", "n")
+    return sets.select("node", "members").mapInArrow(spread, "bucket long, node long")
 
 
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
@@ -187,9 +268,7 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     nodes = classes.agg(F.min("doc_id").alias("low_id"), F.first("n_shingles").alias("n"), F.first("set_key").alias("set_key"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
 
-    postings = stored(_long_prefixes(docs.filter("doc_id is not null"), shingle, percent), "jaccard-postings")
-    shared = _shared(postings, "shingle", holder="set_key")
-    held = postings.join(shared, "shingle").distinct().groupBy("set_key").agg(F.count("*").alias("held"))
+    held = _held_by_others(_long_prefixes(docs.filter("doc_id is not null"), shingle, percent))
     staying = nodes.join(held, "set_key").filter(F.col("held") >= needed("n", percent))
     staying = stored(staying.select("node", "set_digest", "low_id", "n"), "jaccard-staying")
 
@@ -198,14 +277,8 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     collected = _collected(texts, shingle).join(counted_broadcast(staying.select("set_digest", "node")), "set_digest")
     sets = stored(collected.select("node", "members").dropDuplicates(["node"]), "jaccard-sets")
 
-    prefixes = stored(_all_prefixes(sets, percent, False), "jaccard-prefixes")
-    twice = prefixes.join(_shared(prefixes, "place", "shingle", holder="node"), ["place", "shingle"])
-    counted = twice.groupBy("node", "place").agg(F.count("*").alias("held")).join(staying.select("node", "n"), "node")
-    enough = counted.filter(F.col("held") >= needed("n", percent)).groupBy("node", "n").agg(F.count("*").alias("places"))
-    left = stored(enough.filter(F.col("places") == len(ORDERS)).select("node", "n"), "jaccard-left")
-    sets = stored(sets.join(counted_broadcast(left.select("node")), "node"), "jaccard-sets")
-
-    buckets = stored(_buckets(_all_prefixes(sets, percent, True), left), "jaccard-buckets")
+    buckets = shared_buckets(stored(_rare_prefixes(sets, percent), "jaccard-prefixes"))
+    buckets = stored(buckets.join(staying.select("node", "n"), "node").select("bucket", "node", "n"), "jaccard-buckets")
     labels = settle(buckets, sets, percent, lambda x, y: passes(x, y, percent))
 
     ids = component_ids(nodes.select("node", "set_digest", "low_id"), labels)

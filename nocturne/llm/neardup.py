@@ -6,20 +6,14 @@ one register, so the registers of a document share the permutation ranks, which
 the variance against independent hashes, and a document stops as soon as no register
 can fall any more. Registers are cut into bands; documents of equal bands are candidates.
 
-Documents of equal sets are one node (the smallest doc_id). In a bucket of a band every
-node is compared with one hub only, so a bucket of n nodes gives n - 1 pairs and not
-n * n / 2. Buckets whose nodes then lie in different components take their best linked
-node as reference and compare it with all. What is left are nodes of one reference in
-different components, and of those only pairs that could reach the similarity: with
-``a`` shingles of a node in the reference and ``s`` shingles that any other such node
-has too, two nodes share at most ``min(a, a') + min(s - a, s' - a')`` shingles. So a
-large family of copies that differ too much from each other gives no pairs, and no
-link that could join two components is skipped. Each comparison is made on whole sets.
+Documents of equal sets are one node, named by a number of its own and not by an id. Bands
+with the same nodes are one bucket. Inside buckets :mod:`families` finds every link that
+can join two components, without all pairs of a bucket; each comparison is made on whole sets.
 
 Defined cases: null, empty or blank text: no shingles, linked with nothing. Fewer words
 than a shingle: the whole sequence is the one shingle. Null doc_id: counted, linked with
-nothing, component null, kept. Repeated rows and rows that share an id: one row each, the
-component of their set. Extra columns are not read.
+nothing, component null, kept. Repeated rows and rows that share an id, of one text or
+several: one row each, the component of their set. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nocturne.llm.arrays import mix, shingle_sets, slices, text_buffer
-from nocturne.llm.components import components
-from nocturne.llm.tables import stored
+from nocturne.llm.families import component_ids, settle, shared_buckets
+from nocturne.llm.tables import counted_broadcast, stored
 
 REGISTERS = 128
 BAND = 4
@@ -126,7 +120,7 @@ def signatures(
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, set_digest, members``: each document's whole set, sorted, 8 bytes a shingle."""
+    """``set_digest, members``: each document's whole set, sorted, 8 bytes a shingle."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -136,76 +130,13 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
                 ends = np.searchsorted(owner, np.arange(n + 1))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0),
                         pa.array([x.tobytes() for x in _digests(hashes, owner, n)], pa.binary()),
                         pa.array([hashes[ends[i] : ends[i + 1]].tobytes() for i in range(n)], pa.binary()),
                     ],
-                    names=["doc_id", "set_digest", "members"],
+                    names=["set_digest", "members"],
                 )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(collect, f"doc_id {kind}, set_digest binary, members binary")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b, common, linked``: shingles in common of each pair's whole sets, and the verdict."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, left, right = batch.columns
-            common, linked = [], []
-            for x, y in zip(left, right, strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                common.append(both)
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(
-                [a, b, pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "common", "linked"]
-            )
-
-    left = sets.select(F.col("node").alias("a"), F.col("members").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("members").alias("right"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    kind = pairs.schema["a"].dataType.simpleString()
-    return stored(both.mapInArrow(compare, f"a {kind}, b {kind}, common long, linked boolean"), "compared")
-
-
-def _shared_shingles(sets: DataFrame) -> DataFrame:
-    """``node, alone``: how many shingles no other of these nodes has."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, members in zip(*batch.columns, strict=True):
-                held = np.frombuffer(members.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(held), node.type), pa.array(held)], names=["node", "shingle"])
-
-    kind = sets.schema["node"].dataType.simpleString()
-    spread_out = sets.select("node", "members").mapInArrow(spread, f"node {kind}, shingle long")
-    once = spread_out.groupBy("shingle").agg(F.count("*").alias("held"), F.min("node").alias("node")).filter("held = 1")
-    return once.groupBy("node").agg(F.count("*").alias("alone"))
-
-
-def _ordered(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs, the smaller node first, whose sizes allow the similarity at all."""
-    small, large = F.least("n", "other_n"), F.greatest("n", "other_n")
-    return (
-        pairs.filter((F.col("node") != F.col("other")) & (100 * small >= percent * large))
-        .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        .distinct()
-    )
-
-
-def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of buckets whose nodes lie in different components, with their labels."""
-    held = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = held.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    return stored(held.join(mixed.select("bucket"), "bucket"), "mixed")
-
-
-def _ends(compared: DataFrame) -> DataFrame:
-    return compared.select(F.col("a").alias("node"), F.col("b").alias("other"), "common", "linked").unionByName(
-        compared.select(F.col("b").alias("node"), F.col("a").alias("other"), "common", "linked")
-    )
+    return docs.mapInArrow(collect, "set_digest binary, members binary")
 
 
 def near_duplicates(
@@ -224,70 +155,18 @@ def near_duplicates(
     """
     signed = stored(signatures(docs, registers, band, shingle, carried), "signatures")
     docs = docs.select("doc_id", "text")
-    nodes = stored(
-        signed.filter("n_shingles > 0 and doc_id is not null")
-        .groupBy("set_digest")
-        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands")),
-        "nodes",
-    )
-    banded = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    hubs = banded.groupBy("bucket").agg(F.count("*").alias("held"), F.min(F.struct("node", "n")).alias("hub")).filter("held > 1")
-    hubs = hubs.select("bucket", F.col("hub.node").alias("other"), F.col("hub.n").alias("other_n"))
-    buckets = stored(banded.join(hubs, "bucket"), "buckets")
-
-    candidates = buckets.select(F.col("node").alias("doc_id")).distinct()
-    texts = docs.join(candidates.hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = _sets(texts, shingle).join(nodes.select("set_digest", "node"), "set_digest").filter("doc_id = node")
+    classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_digest")
+    nodes = classes.agg(F.min("doc_id").alias("low_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    buckets = stored(shared_buckets(nodes.select(F.explode("bands").alias("bucket"), "node", "n")), "buckets")
+
+    named = nodes.select("node", "set_digest", "low_id")
+    met = stored(named.join(buckets.select("node").distinct(), "node", "left_semi"), "met")
+    texts = docs.join(counted_broadcast(met.select(F.col("low_id").alias("doc_id"))), "doc_id", "left_semi")
+    sets = _sets(texts, shingle).join(counted_broadcast(met.select("set_digest", "node")), "set_digest")
     sets = stored(sets.select("node", "members").dropDuplicates(["node"]), "sets")
+    classes = component_ids(named, settle(buckets, sets, percent))
 
-    compared = _verified(_ordered(buckets, percent), sets, percent)
-    labels = components(compared.filter("linked").select("a", "b"))
-
-    # a well linked reference for buckets that fall apart
-    mixed = _mixed(buckets.select("bucket", "node", "n"), labels)
-    degrees = _ends(compared).filter("linked").groupBy("node").agg(F.count("*").alias("degree"))
-    ranked = mixed.join(degrees, "node", "left").select(
-        "bucket", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), (-F.col("node")).alias("turn"), "n").alias("place")
-    )
-    references = ranked.groupBy("bucket").agg(F.max("place").alias("best"))
-    references = references.select("bucket", (-F.col("best.turn")).alias("other"), F.col("best.n").alias("other_n"))
-    referred = stored(mixed.select("bucket", "node", "n").join(references, "bucket"), "referred")
-    fresh = _ordered(referred, percent).join(compared.select("a", "b"), ["a", "b"], "left_anti")
-    compared = compared.unionByName(_verified(fresh, sets, percent))
-    labels = components(compared.filter("linked").select("a", "b"))
-
-    # nodes of one reference in different components that may still reach the similarity
-    mixed = _mixed(referred, labels).drop("bucket").distinct()
-    alone = _shared_shingles(sets.join(mixed.select("node").distinct(), "node", "left_semi"))
-    common = _ends(compared).select("node", "other", "common")
-    bounded = mixed.join(common, ["node", "other"], "left").join(alone, "node", "left").select(
-        "other",
-        "node",
-        "n",
-        "label",
-        F.when(F.col("node") == F.col("other"), F.col("n")).otherwise(F.col("common")).alias("common"),
-        (F.col("n") - F.coalesce("alone", F.lit(0))).alias("known"),
-    )
-    bounded = bounded.filter(100 * F.col("known") >= percent * F.col("n"))
-    # a pair never compared, for its sizes, has no known common part: only the sum binds
-    bounded = stored(
-        bounded.withColumn("inside", F.coalesce(F.least("common", "known"), "known")).withColumn(
-            "outside", F.coalesce(F.col("known") - F.least("common", "known"), "known")
-        ),
-        "bounded",
-    )
-    x, y = bounded.alias("x"), bounded.alias("y")
-    at_most = F.least("x.inside", "y.inside") + F.least("x.outside", "y.outside")
-    possible = (100 + percent) * at_most >= percent * (F.col("x.n") + F.col("y.n"))
-    rest = x.join(y, (F.col("x.other") == F.col("y.other")) & (F.col("x.label") < F.col("y.label")) & possible)
-    rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    fresh = rest.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-    compared = compared.unionByName(_verified(fresh, sets, percent))
-    labels = components(compared.filter("linked").select("a", "b"))
-
-    classes = nodes.select("set_digest", "node").join(labels, "node", "left").select(
-        "set_digest", F.coalesce("label", "node").alias("of_set")
-    )
     own = F.when(F.col("doc_id").isNull(), None)
     return (
         signed.select("doc_id", "n_shingles", "set_digest", *carried)

@@ -63,6 +63,8 @@ def test_families_copies_and_odd_texts(spark):
     docs = [(i, t.upper() if i % 5 == 0 else t) for i, t in enumerate(rng.sample(texts, len(texts)))]
     docs += [(900, None), (901, ""), (902, " \n"), (903, "a b"), (904, "A  b"), (905, "b a"), (None, "a b"), (None, None), (906, "é è " * 3)]
     docs += [(-3, "x y z x y z " * 4000), (907, "x y z x y z " * 4000)]
+    docs += [(908, texts[3]), (908, texts[70]), (908, texts[3])]  # one id, two texts
+    docs += [(1, " ".join(base(90))), (1, lone := " ".join(base(90))), (930, lone + " more")]  # the second text's link must hold
     assert run(spark, docs) == brute(docs)
 
 
