@@ -9,7 +9,7 @@ that begins with rare shingles.
 
 1. Under the first order, a set stays if enough shingles of its prefix occur in the prefix of a different
    set. That takes one shuffle of the prefixes, where a frequent shingle is a row for each part of the input.
-2. The sets that stay are collected. Their shingles are counted on a fixed number of slots; the order by
+2. The sets that stay are collected, and those go whose shingles no other of them has make a link impossible. The shingles of the rest are counted on a fixed number of slots; the order by
    those counts puts frequent shingles last (any function of a shingle is an order, so nothing rests on the counts).
    The shingles of the shortest prefix under it that several sets hold are buckets.
 3. Inside buckets pairs are compared as :mod:`families` does, each with the
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nocturne.llm.arrays import mix, shingle_sets, slices, text_buffer
-from nocturne.llm.families import component_ids, settle, shared_buckets
+from nocturne.llm.families import alone, component_ids, settle, shared_buckets
 from nocturne.llm.tables import counted_broadcast, stored
 
 SHINGLE = 5
@@ -275,11 +275,18 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     wanted = counted_broadcast(staying.select(F.col("low_id").alias("doc_id")))
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
     collected = _collected(texts, shingle).join(counted_broadcast(staying.select("set_digest", "node")), "set_digest")
-    sets = stored(collected.select("node", "members").dropDuplicates(["node"]), "jaccard-sets")
+    sets = stored(collected.select("node", "members"), "jaccard-sets")
+    if not sets.groupBy("node").count().filter("count > 1").isEmpty():  # a row that repeats
+        sets = stored(sets.dropDuplicates(["node"]), "jaccard-sets")
+
+    unshared = stored(alone(sets), "jaccard-alone")
+    enough = 100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n")
+    left = stored(staying.join(unshared, "node", "left").filter(enough).select("node", "n"), "jaccard-left")
+    sets = stored(sets.join(counted_broadcast(left.select("node")), "node"), "jaccard-sets")
 
     buckets = shared_buckets(stored(_rare_prefixes(sets, percent), "jaccard-prefixes"))
-    buckets = stored(buckets.join(staying.select("node", "n"), "node").select("bucket", "node", "n"), "jaccard-buckets")
-    labels = settle(buckets, sets, percent, lambda x, y: passes(x, y, percent))
+    buckets = stored(buckets.join(left, "node").select("bucket", "node", "n"), "jaccard-buckets")
+    labels = settle(buckets, sets, percent, lambda x, y: passes(x, y, percent), unshared)
 
     ids = component_ids(nodes.select("node", "set_digest", "low_id"), labels)
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_set", "doc_id"))
