@@ -85,13 +85,16 @@ def onehot_to_stage(df: DataFrame, unknown_on_zero: bool = False) -> DataFrame:
         c: F.coalesce(F.col(c).cast("double") if numeric[c] else to_number(F.col(c)), F.lit(0.0))
         for c in present
     }
+    return df.withColumn(STAGE, largest_stage(cells, unknown_on_zero))
+
+
+def largest_stage(cells: dict[str, Column], unknown_on_zero: bool = False) -> Column:
+    """The stage of the largest of one-hot cells by column name; NULL cells take no part."""
     top = F.greatest(*cells.values())
     stage = F.lit(None).cast("string")
-    for c in reversed(present):
+    for c in reversed(list(cells)):
         stage = F.when(cells[c] == top, ONE_HOT[c]).otherwise(stage)
-    if unknown_on_zero:
-        stage = F.when(top > 0, stage).otherwise("Unknown")
-    return df.withColumn(STAGE, stage)
+    return F.when(top > 0, stage).otherwise("Unknown") if unknown_on_zero else stage
 
 
 def ensure_columns(df: DataFrame, columns: tuple[str, ...] = EVENTS) -> DataFrame:

@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nocturne.functions.numeric import no_nan
-from nocturne.operators.ordered import prefix_sums
-
-# Exact medians keep the distinct values of a column in memory; above this many
-# cells the values are counted and ranked across the cluster instead.
-IN_MEMORY_CELLS = 5_000_000
+from nocturne.operators.select import quantiles
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -48,55 +44,11 @@ def value_counts(df: DataFrame, columns: list[str], value_type: str = "double")
     )
 
 
-def quantiles_from_counts(counts: DataFrame, points: list[float]) -> DataFrame:
-    """Exact linear-interpolated quantiles per column from (column, value, n).
-
-    Running counts place every distinct value; each quantile then needs the two
-    values that cover its neighbouring ranks.
-    """
-    running = prefix_sums(counts, ["column"], [F.col("value")], {"upto": F.col("n")})
-    totals = counts.groupBy(F.col("column").alias("of")).agg(F.sum("n").alias("total"))
-    placed = running.join(totals, running["column"] == totals["of"]).drop("of")
-    picks = []
-    for i, p in enumerate(points):
-        spot = (F.col("total") - 1) * F.lit(p)
-        low, high = F.floor(spot), F.ceil(spot)
-        at = lambda rank: F.max(
-            F.when((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n")), F.col("value"))
-        )
-        picks += [
-            at(low).alias(f"_low{i}"),
-            at(high).alias(f"_high{i}"),
-            F.max(spot - low).alias(f"_part{i}"),
-        ]
-    out = placed.groupBy("column").agg(*picks)
-    return out.select(
-        "column",
-        *[
-            (F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_part{i}")).alias(
-                f"q{i}"
-            )
-            for i in range(len(points))
-        ],
-    )
-
-
-def fit_medians(
-    df: DataFrame, columns: list[str] | None = None, in_memory_cells: int = IN_MEMORY_CELLS
-) -> dict[str, float]:
+def fit_medians(df: DataFrame, columns: list[str] | None = None) -> dict[str, float]:
     """Exact median of each column, missing cells ignored; one number per column."""
     columns = numeric_columns(df) if columns is None else columns
-    if not columns:
-        return {}
-    if df.count() * len(columns) <= in_memory_cells:
-        row = df.agg(
-            *[F.median(no_nan(F.col(f"`{c}`").cast("double"))).alias(c) for c in columns]
-        ).first()
-        found = row.asDict()
-    else:
-        rows = quantiles_from_counts(value_counts(df, columns), [0.5]).collect()
-        found = {r["column"]: r["q0"] for r in rows}
-    return {c: found[c] for c in columns if found.get(c) is not None}
+    found = quantiles(df, columns, [0.5])
+    return {c: found[c][0] for c in columns if found[c][0] is not None}
 
 
 def fit_fill(df: DataFrame) -> dict:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from nocturne.functions import clinical
 from nocturne.functions.numeric import percent_number
 from nocturne.operators.fill import fit_medians
-from nocturne.operators.ordered import HOT_ROWS, with_position
+from nocturne.operators.select import pick_ranks
 from nocturne.schemas import CLINICAL_NUMBERS, HOURS, LABEL, NA_TOKENS, TRUTH
 
 
@@ -53,20 +53,28 @@ def with_severity(df: DataFrame, name: str = "severity") -> DataFrame:
     return df.withColumn(name, score)
 
 
-def severity_label(df: DataFrame, name: str = LABEL, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The most severe half is positive; ties by SID.
+def severity_label(df: DataFrame, name: str = LABEL) -> DataFrame:
+    """The most severe half is positive; ties by SID, rows without a severity last.
 
-    The rank is global. For a large table it is found range by range, so the
-    table never passes through one task.
+    The cut is found by counting, first among the severities and then among the SIDs that tie there, so the
+    table is never ordered. Rows equal in both get the same label.
     """
     total = df.count()
     positives = min(max(1, total // 2), total - 1)
     scored = with_severity(df, "_severity")
-    order = [F.col("_severity").desc_nulls_last(), F.col("SID").asc()]
-    ranked = with_position(scored, [], order, "_rank", hot_rows)
-    return ranked.withColumn(name, (F.col("_rank") <= positives).cast("int")).drop(
-        "_rank", "_severity"
-    )
+    severity, sid = F.col("_severity"), F.coalesce(F.col("SID").cast("string"), F.lit(""))
+    if positives < 1:
+        return scored.withColumn(name, F.lit(0)).drop("_severity")
+    cells = scored.filter(severity.isNotNull()).select(F.lit(0).alias("search"), (-severity).alias("value"))
+    found = pick_ranks(cells, {0: positives - 1})
+    if found:
+        above, level = severity > F.lit(-found[0]), severity == F.lit(-found[0])
+    else:
+        above, level = severity.isNotNull(), severity.isNull()
+    left = positives - scored.filter(above).count()
+    last = pick_ranks(scored.filter(level).select(F.lit(0).alias("search"), sid.alias("value")), {0: left - 1}) if left else {}
+    chosen = above | (level & (sid <= F.lit(last[0]))) if last else above
+    return scored.withColumn(name, F.coalesce(chosen, F.lit(False)).cast("int")).drop("_severity")
 
 
 def deprivation_label(df: DataFrame, name: str = LABEL) -> DataFrame:

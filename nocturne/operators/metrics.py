@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nocturne.functions.numeric import ratio
-from nocturne.operators.ordered import HOT_ROWS, largest_group, prefix_sums
+from nocturne.operators.ordered import running_sums
 from nocturne.schemas import LABEL, PROBABILITY, TRUTH
 
 # Study minimum and target of each measure.
@@ -92,7 +94,6 @@ def roc_auc(
     keys: tuple[str, ...] = (),
     truth: str = TRUTH,
     score: str = PROBABILITY,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Area under the ROC curve, ties counted half; NULL for a single class.
 
@@ -104,16 +105,44 @@ def roc_auc(
         .groupBy(*keys, F.col(score).alias("_score"))
         .agg(F.count_if(y == 1).alias("_pos"), F.count_if(y == 0).alias("_neg"))
     )
-    if largest_group(ties, list(keys)) <= hot_rows:
-        upto = Window.partitionBy(*keys).orderBy("_score").rowsBetween(Window.unboundedPreceding, 0)
-        running = ties.withColumn("_upto", F.sum("_neg").over(upto))
-    else:
-        running = prefix_sums(ties, list(keys), [F.col("_score")], {"_upto": F.col("_neg")})
+    running = running_sums(ties, list(keys), [F.col("_score")], {"_upto": F.col("_neg")}, F.floor(F.col("_score") * 4096))
     wins = F.sum(F.col("_pos") * (F.col("_upto") - F.col("_neg") / 2))
     pairs = F.sum("_pos").cast("double") * F.sum("_neg").cast("double")
     return running.groupBy(*keys).agg(F.try_divide(wins, pairs).alias("AUC_ROC"))
 
 
+def uniform_draw(seed: int, replicate: int, turn: int) -> float:
+    """A number from 0 to 1 by what it counts, so that any engine can draw it again."""
+    return int(hashlib.md5(f"{seed}#{replicate}#{turn}".encode()).hexdigest()[:13], 16) / (1 << 52)
+
+
+def binomial_quantile(n: int, share: float, u: float) -> int:
+    """The least number of successes of ``n`` whose probability, with all smaller ones, is above ``u``.
+
+    Probabilities are built up from ratios of neighbours, over the numbers that are not too rare to add anything.
+    """
+    if n <= 0 or share <= 0:
+        return 0
+    if share >= 1:
+        return n
+    spread = 12 * math.sqrt(n * share * (1 - share)) + 60
+    low, high = max(0, math.floor(n * share - spread)), min(n, math.ceil(n * share + spread))
+    k = np.arange(low + 1, high + 1, dtype=float)
+    weight = np.r_[0.0, np.cumsum(np.log((n - k + 1) / k) + math.log(share / (1 - share)))]
+    upto = np.cumsum(np.exp(weight - weight.max()))
+    return low + int(np.searchsorted(upto / upto[-1], u, "right"))
+
+
+def resampled(cells: list[int], replicate: int, seed: int) -> list[int]:
+    """One multinomial draw: each count binomial among what the counts before it left."""
+    out, left, rest = [], sum(cells), sum(cells)
+    for turn, n in enumerate(cells[:-1]):
+        drawn = binomial_quantile(left, n / rest if rest else 0.0, uniform_draw(seed, replicate, turn))
+        out.append(drawn)
+        left, rest = left - drawn, rest - n
+    return [*out, left]
+
+
 def bootstrap_ci(
     df: DataFrame,
     metric: str = SENSITIVITY_SQL,
@@ -127,7 +156,8 @@ def bootstrap_ci(
     """Percentile interval of a metric given as SQL over tp, tn, fp, fn.
 
     Resampling rows only changes the four counts, and those follow one
-    multinomial draw, so a replicate costs the same for any number of rows.
+    multinomial draw, so a replicate costs about the root of the number of rows. The draws are
+    hashes of seed and replicate: the interval is the same in every run, and SQL can repeat it.
     """
     counts = confusion(df, keys, truth, predicted)
     draws = counts.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1)))).repartition(
@@ -139,9 +169,7 @@ def bootstrap_ci(
         for batch in batches:
             cells = batch[names].to_numpy()
             for row, replicate in enumerate(batch["replicate"].to_numpy()):
-                total = cells[row].sum()
-                rng = np.random.default_rng([seed, int(replicate)])
-                cells[row] = rng.multinomial(total, cells[row] / total) if total else cells[row]
+                cells[row] = resampled(cells[row].tolist(), int(replicate), seed)
             batch[names] = cells
             yield batch
 

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nocturne.functions.numeric import no_nan
-from nocturne.operators.fill import (
-    IN_MEMORY_CELLS,
-    most_frequent,
-    numeric_columns,
-    quantiles_from_counts,
-    text_columns,
-    value_counts,
-)
+from nocturne.operators.fill import most_frequent, numeric_columns, text_columns, value_counts
+from nocturne.operators.select import quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -52,9 +50,7 @@ def missing_profile(df: DataFrame) -> DataFrame:
     return long.orderBy(F.desc("missing_percent"), F.asc("column"))
 
 
-def describe_numeric(
-    df: DataFrame, columns: list[str] | None = None, in_memory_cells: int = IN_MEMORY_CELLS
-) -> DataFrame:
+def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """count, mean, std, min, quartiles and max, one row per column."""
     columns = numeric_columns(df) if columns is None else columns
     cells = {i: no_nan(F.col(f"`{c}`").cast("double")) for i, c in enumerate(columns)}
@@ -68,18 +64,12 @@ def describe_numeric(
             F.min(cell).alias(f"lo{i}"),
             F.max(cell).alias(f"hi{i}"),
         ]
-    order = ["column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"]
-    if df.count() * len(columns) <= in_memory_cells:
-        for i, cell in cells.items():
-            aggregates.append(F.percentile(cell, QUARTILES).alias(f"q{i}"))
-        long = _long(df.agg(*aggregates), columns, {**fields, "q": "q"})
-        quarters = {f"q{int(p * 100)}": F.col("q")[j] for j, p in enumerate(QUARTILES)}
-        return long.withColumns(quarters).select(*order)
-    long = _long(df.agg(*aggregates), columns, fields)
-    quarters = quantiles_from_counts(value_counts(df, columns), QUARTILES).toDF(
-        "column", "q25", "q50", "q75"
-    )
-    return long.join(quarters, "column", "left").select(*order)
+    found = quantiles(df, columns, QUARTILES)
+    known = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(found[c]).cast("array<double>"))])
+    long = _long(df.agg(*aggregates), columns, fields).withColumn("_q", known[F.col("column")])
+    names = [f"q{int(p * 100)}" for p in QUARTILES]
+    quarters = {name: F.get("_q", F.lit(j)) for j, name in enumerate(names)}
+    return long.withColumns(quarters).select("column", "count", "mean", "std", "min", *names, "max")
 
 
 def describe_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -106,38 +96,50 @@ def describe_all(df: DataFrame) -> DataFrame:
     return out.select(*[c for c in order if c in out.columns])
 
 
+def _pair_sums(df: DataFrame, columns: list[str], shift: list[float]) -> DataFrame:
+    """``i, j, n, x, xx, xy``: over the rows that have both cells, with the cells moved by ``shift``.
+
+    A batch is one matrix of cells, noughts for the missing, and one of their presence; four
+    products of these give the sums of every pair. A task sends one row a pair.
+    """
+    width = len(columns)
+    kinds = [("i", "int"), ("j", "int"), *[(c, "double") for c in ("n", "x", "xx", "xy")]]
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, width, width))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            there = ~np.isnan(cells)
+            cells, mask = np.where(there, cells - shift, 0.0), there.astype(float)
+            sums += np.stack([mask.T @ mask, cells.T @ mask, (cells * cells).T @ mask, cells.T @ cells])
+        at = np.indices((width, width)).reshape(2, -1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*at, *sums.reshape(4, -1))], names=[c for c, _ in kinds])
+
+    rows = df.select(*[no_nan(F.col(f"`{c}`").cast("double")).alias(f"c{k}") for k, c in enumerate(columns)])
+    parts = rows.mapInArrow(multiply, ", ".join(f"{c} {kind}" for c, kind in kinds))
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c, _ in kinds[2:]])
+
+
 def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every column pair over the rows that have both.
 
-    Constant columns give NULL. The pairs are columns of one row, so the data
-    is read once and each pair keeps a fixed-size partial aggregate.
+    Columns without variation there give NULL. The rows are read twice: for a value near the middle of each
+    column, and for the sums of all pairs around it.
     """
-    cells = F.array(*[no_nan(F.col(f"`{c}`").cast("double")) for c in columns])
-    last = F.lit(len(columns) - 1)
-    paired = (
-        df.select(cells.alias("v"))
-        .select("v", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-        .select("v", "i", F.explode(F.sequence(F.col("i"), last)).alias("j"))
-        .select("i", "j", F.get("v", F.col("i")).alias("x"), F.get("v", F.col("j")).alias("y"))
-    )
-    both = paired.groupBy("i", "j").agg(
-        F.regr_sxy("y", "x").alias("xy"),
-        F.regr_sxx("y", "x").alias("xx"),
-        F.regr_syy("y", "x").alias("yy"),
-    )
+    cells = [no_nan(F.col(f"`{c}`").cast("double")) for c in columns]
+    middle = df.agg(*[F.percentile_approx(x, 0.5, 100) for x in cells]).first()
+    sums = _pair_sums(df, columns, [m or 0.0 for m in middle])
+    x = sums.select("i", "j", "n", "x", "xx", "xy")
+    y = sums.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("x").alias("y"), F.col("xx").alias("yy"))
+    spread = lambda square, total: F.when(square - total * total / F.col("n") > 1e-12 * square, square - total * total / F.col("n"))
+    both = spread(F.col("xx"), F.col("x")) * spread(F.col("yy"), F.col("y"))
+    r = (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.sqrt(both)
     names = F.array(*[F.lit(c) for c in columns])
-    r = F.col("xy") / F.sqrt(F.nullif(F.col("xx") * F.col("yy"), F.lit(0.0)))
-    upper = both.select(
+    return x.filter("n > 0").join(y, ["i", "j"]).select(
         F.get(names, F.col("i")).alias("column_a"), F.get(names, F.col("j")).alias("column_b"), r.alias("r")
     )
-    sides = F.array(
-        F.struct(F.col("column_a").alias("a"), F.col("column_b").alias("b")),
-        F.struct(F.col("column_b").alias("a"), F.col("column_a").alias("b")),
-    )
-    once = F.when(F.col("column_a") == F.col("column_b"), F.slice(sides, 1, 1)).otherwise(sides)
-    return upper.select(F.explode(once).alias("side"), "r").select(
-        F.col("side.a").alias("column_a"), F.col("side.b").alias("column_b"), "r"
-    )
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:

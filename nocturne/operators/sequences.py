@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nocturne.operators.features import recording_features
-from nocturne.operators.ordered import HOT_ROWS, in_chunks
+from nocturne.operators.ordered import in_chunks, slot_of
 from nocturne.schemas import LABEL, NIGHT_FEATURES
 
 
@@ -28,7 +28,6 @@ def night_sequences(
     order: str = "night_index",
     label: str = LABEL,
     features: tuple[str, ...] = NIGHT_FEATURES,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(owner, night, sequence, label): the ``window`` nights before each night.
 
@@ -36,7 +35,7 @@ def night_sequences(
     full look-back give no sequence.
     """
     complete = nights.dropna(subset=[*features, label])
-    rows, parts = in_chunks(complete, [owner], [F.col(order)], window, hot_rows)
+    rows, parts = in_chunks(complete, [owner], [F.col(order)], slot_of(complete, order), window)
     frame = Window.partitionBy(*parts).orderBy(order).rowsBetween(-window, -1)
     built = rows.withColumn("sequence", F.collect_list(F.struct(*features)).over(frame))
     kept = built.filter((F.size("sequence") == window) & ~F.col("_halo"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nocturne.operators.ordered import HOT_ROWS, with_position
+from nocturne.operators.ordered import slot_of, with_position
 from nocturne.schemas import CHANNELS, STAGE, STAGE_CODES
 
 
@@ -56,9 +56,7 @@ def stage_runs(epochs: DataFrame, keys: tuple[str, ...] = ("SID",)) -> DataFrame
     ).drop("_run")
 
 
-def downsample(
-    df: DataFrame, n: int, keys: list[str], order: list[str], hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def downsample(df: DataFrame, n: int, keys: list[str], order: list[str]) -> DataFrame:
     """Every ``n``-th row of each series, the first one included."""
-    placed = with_position(df, keys, [F.asc(c) for c in order], "_position", hot_rows)
+    placed = with_position(df, keys, [F.asc(c) for c in order], slot_of(df, order[0]), "_position")
     return placed.filter((F.col("_position") - 1) % n == 0).drop("_position")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nocturne.functions import bands, sleep, text
 from nocturne.functions.numeric import clamp, half_up, leading_number
-from nocturne.operators.ordered import HOT_ROWS, in_chunks
+from nocturne.operators.ordered import in_chunks, slot_of
 from nocturne.schemas import ADVICE, IMPACTS
 
 PRIVILEGED = ("clinician", "admin")
@@ -58,11 +58,10 @@ def trend_change(
     oldest: list[str],
     n: int = 7,
     owner: str = "user_id",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Mean of the last ``n`` rows and its change against the ``n`` rows before."""
     order = [F.asc(c) for c in oldest]
-    rows, parts = in_chunks(df, [owner], order, 2 * n - 1, hot_rows)
+    rows, parts = in_chunks(df, [owner], order, slot_of(df, oldest[0]), 2 * n - 1)
     window = Window.partitionBy(*parts).orderBy(*order)
     now = F.avg(value).over(window.rowsBetween(1 - n, 0))
     before = F.avg(value).over(window.rowsBetween(1 - 2 * n, -n))

@@ -21,6 +21,7 @@ from nocturne.operators import (
 )
 from nocturne.plans import adapters as a
 from nocturne.schemas import CHANNELS, EVENTS, HOURS, LABEL, NIGHT_FEATURES, PROFILE_COLUMNS, STAGES
+from nocturne.streaming import lifecycle
 from nocturne.streaming import live as feed
 
 STDS = [f"{c}_std" for c in CHANNELS]
@@ -375,10 +376,10 @@ def session_report(spark, sf):
 
 
 def inference_rows(spark, sf):
-    rows = features.recording_features(a.readings(spark, sf))
     wanted = a.table(spark, sf, "events").filter("event_type = 'purchase'").select(
         F.concat(F.lit("S"), "user_id").alias("SID")
-    )
+    ).distinct()
+    rows = features.recording_features(lifecycle.pending_readings(a.readings(spark, sf), wanted))
     out = scoring.inference_rows(rows, participants(spark, sf), wanted)
     return out.select("SID", "records", "HR_mean", "AGE", "BMI", "Arousal Index")
 
@@ -398,8 +399,8 @@ def top_features(spark, sf):
     parsed = a.predictions(spark, sf).select(
         "session_id", text.safe_json(F.col("shap_features"), "array<struct<feature:string,impact:double>>").alias("i")
     )
-    best = parsed.select("session_id", F.posexplode(scoring.top_features(F.col("i"), 1)).alias("pos", "e"))
-    return best.groupBy("e.feature").agg(
+    best = parsed.select("session_id", F.posexplode(scoring.top_features(F.col("i"), 3)).alias("pos", "e"))
+    return best.groupBy("pos", "e.feature").agg(
         F.count(F.lit(1)).alias("n"), F.max("e.impact").alias("largest"), F.sum("e.impact").alias("total")
     )
 
@@ -515,10 +516,14 @@ def live_impute_bins(spark, sf):
 
 
 def device_sessions(spark, sf) -> DataFrame:
+    return device_sessions_from(a.table(spark, sf, "customer"))
+
+
+def device_sessions_from(customers: DataFrame) -> DataFrame:
     """One recording per device: ten days, or open ended."""
     key = F.col("c_custkey")
     start = F.date_add(F.to_date(F.lit("2024-01-01")), (key % 20).cast("int"))
-    return a.table(spark, sf, "customer").select(
+    return customers.select(
         F.concat(F.lit("S"), key).alias("device"),
         F.concat(F.lit("REC"), key).alias("SID"),
         start.cast("timestamp").alias("started_at"),

@@ -2,20 +2,23 @@
 
 Each drains its source once (``availableNow``) into files under the shared
 folder, with a checkpoint, and returns what the sink holds. Windows are written in
-update mode, so those still open at the end are there too; session windows can only be
-appended once closed, and the open ones are added when the source has ended.
+update mode, so those still open at the end are there too, as are stretches with timers.
 """
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nocturne.learning.training import save_bundle, train_and_select
 from nocturne.plans import adapters as a
-from nocturne.plans.catalogue import STDS, device_sessions, rounded, stamp
+from nocturne.plans import jobs
+from nocturne.plans.catalogue import STDS, device_sessions, device_sessions_from, feature_rows, participants, rounded, stamp
 from nocturne.runtime import scratch_path
-from nocturne.schemas import CHANNELS
-from nocturne.streaming import lifecycle, windows
+from nocturne.schemas import CHANNELS, IMPACTS
+from nocturne.streaming import lifecycle, timers, windows
 from nocturne.streaming import live as feed
 
 
@@ -68,11 +71,75 @@ def live_vitals_sliding(spark, sf):
     return drain_windows(rows, "sliding").select("SID", stamp("start"), "n", *CHANNELS)
 
 
+def _written(stream: DataFrame, label: str) -> DataFrame:
+    """All rows that a stream with state sent out."""
+    spark = timers.with_state_store(stream.sparkSession)
+    home = scratch_path(spark, label)
+    windows.write_updates(stream, f"{home}/rows", f"{home}/checkpoint", True).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{home}/rows/*")
+
+
 def stream_sessions(spark, sf):
-    rows = windows.recordings(a.readings_from(table_stream(spark, sf, "events")), "12 hours", DELAY)
-    closed = drain(rows, "sessions")
-    out = closed.unionByName(windows.still_open(a.readings(spark, sf), closed, "12 hours"))
-    return out.withColumns({"start": stamp("start"), "end": stamp("end")})
+    rows = timers.stretches(a.readings_from(table_stream(spark, sf, "events")), timedelta(hours=12), DELAY)
+    out = timers.current(_written(rows, "sessions"), "SID", "start").filter("records > 0")
+    return out.select("SID", stamp("start"), stamp("end"), "records")
+
+
+def stream_stale(spark, sf):
+    """The last word on each SID: silent for five days as far as the stream's time tells, or not."""
+    rows = timers.watch(a.readings_from(table_stream(spark, sf, "events")), timedelta(days=5), "0 seconds")
+    return timers.current(_written(rows, "stale"), "SID").select("SID", stamp("last_seen"), "stale")
+
+
+#: Sent at the end of a source, so that its time passes all that came before.
+HEARTBEAT = "2100-01-01 00:00:00"
+
+
+def _heartbeat(spark: SparkSession, rows: DataFrame, values: dict[str, str]) -> DataFrame:
+    """A stream of one row like ``rows``: NULL but for ``values``."""
+    folder = scratch_path(spark, "heartbeat")
+    cells = [F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+    spark.range(1).select(*cells).write.parquet(folder)
+    return spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+
+
+def stream_gated(spark, sf):
+    """Readings inside recordings, judged by a stream of status messages."""
+    sent = a.messages_from(table_stream(spark, sf, "events"))
+    sent = sent.unionByName(_heartbeat(spark, sent, {"topic": "sensor/none/hr", "value": '{"bpm":0}', "timestamp": HEARTBEAT}))
+    spans = device_sessions_from(table_stream(spark, sf, "customer"))
+    ends = F.array(F.struct(F.lit("recording").alias("status"), F.col("started_at").alias("at")),
+                   F.struct(F.lit("complete").alias("status"), F.col("ended_at").alias("at")))
+    changes = spans.select("device", "SID", F.explode(ends).alias("e")).select("device", "SID", "e.status", "e.at").filter("at IS NOT NULL")
+    changes = changes.unionByName(_heartbeat(spark, changes, {"device": "none", "status": "heartbeat", "at": HEARTBEAT}))
+    rows = feed.with_device(feed.derive_live(feed.parse_live(sent)))
+    gated = timers.held_gate(rows, changes, "400 days", "2 days", terminal=lifecycle.TERMINAL)
+    return drain(gated.select("SID", "event_id", "HR"), "gated").select("SID", "event_id", F.round("HR", 6).alias("HR"))
+
+
+def stream_completion(spark, sf):
+    """The live pipeline, scoring finished sessions once while it runs; every second session is scored already."""
+    home = scratch_path(spark, "completion")
+    trained = train_and_select(feature_rows(spark, sf), only=["logistic_regression"])
+    save_bundle(spark, trained, f"{home}/bundle")
+    known = a.predictions(spark, sf).filter("session_id % 2 = 0").select("session_id", "prediction")
+    service = {"sessions": a.sessions(spark, sf), "predictions": known}
+
+    def completed() -> DataFrame:
+        return jobs.score_finished(spark, a.readings(spark, sf), participants(spark, sf), service, f"{home}/bundle", f"{home}/scored")
+
+    query = jobs.live_sessions(
+        a.messages_from(table_stream(spark, sf, "events")), lambda: device_sessions(spark, sf), f"{home}/live",
+        available_now=True, completed=completed,
+    )
+    query.awaitTermination()
+    again = completed().count()
+    rows = spark.read.parquet(f"{home}/scored/new_predictions")
+    return rows.groupBy("session_id").agg(
+        (F.count(F.lit(1)) + again).alias("scored"),
+        F.bool_and((F.col("prediction") == (F.col("probability") >= 0.5).cast("int")) & F.col("label").isNotNull()).alias("decided"),
+        F.max(F.size(F.from_json("shap_features", IMPACTS))).alias("impacts"),
+    )
 
 
 def stream_dedup(spark, sf):
@@ -147,6 +214,6 @@ STREAMS = {
     f.__name__: f
     for f in (
         stream_features, live_vitals, live_vitals_sliding, stream_sessions, stream_dedup, pivot_channels,
-        stream_recording, stream_payload, session_state, last_seen,
+        stream_recording, stream_payload, session_state, last_seen, stream_stale, stream_gated, stream_completion,
     )
 }

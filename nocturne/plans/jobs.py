@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from nocturne.learning.longitudinal import train_longitudinal
 from nocturne.learning.preprocess import FEATURES
 from nocturne.learning.training import Trained, load_bundle, save_bundle, score, train_and_select
 from nocturne.operators import features, fill, labels, metrics, profile, scoring, sequences, sessions
-from nocturne.schemas import CLINICAL_NUMBERS, HOURS, LABEL, PROFILE_COLUMNS, TRUTH
+from nocturne.schemas import CLINICAL_NUMBERS, HOURS, LABEL, NEW_PREDICTIONS, PROFILE_COLUMNS, TRUTH
 from nocturne.sources import recordings, sinks, tables
 from nocturne.streaming import lifecycle
 from nocturne.streaming import live as feed
@@ -105,11 +106,17 @@ def predict(
     Each run appends its rows under its own ``run_id``; earlier runs' rows stay, and
     ``sinks.newest_by_sid`` tells the current one of a SID. Returns this run's rows.
     """
+    return _predict(spark, readings, participants, requested, load_bundle(spark, bundle), out)
+
+
+def _predict(
+    spark: SparkSession, readings: DataFrame, participants: DataFrame, requested: DataFrame, loaded: tuple[PipelineModel, dict], out: str
+) -> DataFrame:
     root = out.rstrip("/")
     run_id, now = uuid.uuid4().hex, datetime.now(timezone.utc)
     stamped = {"run_id": F.lit(run_id), "scored_at": F.lit(now).cast("timestamp")}
     mine = F.col("run_id") == run_id
-    model, meta = load_bundle(spark, bundle)
+    model, meta = loaded
     wanted = requested.select("SID").distinct()
     rows = features.recording_features(lifecycle.pending_readings(readings, wanted))
     people = labelled_participants(participants)
@@ -132,7 +139,8 @@ def score_finished(
     """New prediction rows for finished sessions that have none yet, as they were stored.
 
     Set-based over all pending sessions and safe to repeat: sessions with a prediction in
-    the service's table or in ``new_predictions`` of an earlier run are left out.
+    the service's table or in ``new_predictions`` of an earlier run are left out. With nothing
+    pending no reading is read, no model loaded and nothing written.
     """
     folder, run_id = f"{out.rstrip('/')}/new_predictions", uuid.uuid4().hex
     before = tables.read_if_present(spark, folder)
@@ -141,9 +149,11 @@ def score_finished(
         known = known.select("session_id", "prediction").unionByName(before.select("session_id", "prediction"))
     finished = lifecycle.finished_sessions(service["sessions"])
     pending = sessions.new_predictions(finished.select(F.col("id").alias("session_id"), F.col("sid").alias("SID")), known)
-    scored = predict(spark, readings, participants, pending, bundle, out)
-    _, meta = load_bundle(spark, bundle)
-    rows = lifecycle.prediction_rows(scored, finished, known, meta["best_model_name"])
+    if pending.isEmpty():
+        return spark.createDataFrame([], NEW_PREDICTIONS)
+    loaded = load_bundle(spark, bundle)
+    scored = _predict(spark, readings, participants, pending, loaded, out)
+    rows = lifecycle.prediction_rows(scored, finished, known, loaded[1]["best_model_name"])
     rows.withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(folder)
     return spark.read.parquet(folder).filter(F.col("run_id") == run_id).drop("run_id")
 

@@ -495,9 +495,11 @@ ORACLES = {
           ELSE 'No strong sleep deprivation signal' END AS prediction_label,
         CASE WHEN n_chars < 1500 THEN 'LOW RISK' WHEN n_chars < 3250 THEN 'MODERATE RISK' ELSE 'HIGH RISK' END AS risk
         FROM documents""",
-    "top_features": _with(PREDICTIONS) + """SELECT CASE WHEN hr_impact > eda_impact THEN 'HR_mean' ELSE 'EDA_std' END AS feature,
-        count(*) AS n, max(greatest(hr_impact, eda_impact))::DOUBLE AS largest, sum(greatest(hr_impact, eda_impact))::DOUBLE AS total
-        FROM predictions WHERE hr_impact IS NOT NULL GROUP BY 1""",
+    "top_features": _with(PREDICTIONS) + """SELECT pos, feature, count(*) AS n, max(impact)::DOUBLE AS largest, sum(impact)::DOUBLE AS total FROM (
+          SELECT feature, impact, (row_number() OVER (PARTITION BY row ORDER BY impact DESC, feature) - 1)::INT AS pos FROM (
+            SELECT row, unnest(['HR_mean', 'EDA_std']) AS feature, unnest([hr_impact, eda_impact]) AS impact
+            FROM (SELECT *, row_number() OVER () AS row FROM predictions) WHERE hr_impact IS NOT NULL))
+        GROUP BY 1, 2""",
     "importance": _with(PREDICTIONS) + """SELECT 'HR_mean' AS feature, round(avg(hr_impact), 6) AS mean_abs_impact FROM predictions
         UNION ALL SELECT 'EDA_std', round(avg(eda_impact), 6) FROM predictions""",
     "downsample": _with(READINGS) + """SELECT "SID", reading_id, "HR", "EDA" FROM readings
@@ -588,6 +590,11 @@ ORACLES = {
           strftime(max(moment) FILTER (status = 'recording'), '%Y-%m-%d %H:%M:%S') AS started_at,
           strftime(max(moment) FILTER (status IN ('complete', 'failed')), '%Y-%m-%d %H:%M:%S') AS ended_at,
           count(*) AS changes FROM changes GROUP BY 1""",
+    "stream_stale": """SELECT 'S' || user_id AS "SID", strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen,
+        epoch_ms(max(ts)) + 432000000 <= (SELECT epoch_ms(max(ts)) FROM events) AS stale FROM events GROUP BY 1""",
+    "stream_completion": _with(READINGS, PEOPLE, SESSIONS) + """SELECT id AS session_id, 1::BIGINT AS scored, true AS decided, 3::INT AS impacts
+        FROM sessions WHERE status = 'complete' AND id % 2 <> 0
+          AND sid IN (SELECT "SID" FROM readings) AND sid IN (SELECT "SID" FROM people)""",
     "last_seen": """SELECT 'S' || user_id AS "SID", strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen,
         floor(epoch(max(ts))) < epoch(TIMESTAMP '2024-01-31') - 86400 AS stale FROM events GROUP BY 1""",
     "stratified_split": _with(PEOPLE) + """, drawn AS (SELECT "SID", sleep_deprivation_label, md5("SID" || '#42') AS draw FROM labelled)
@@ -595,3 +602,41 @@ ORACLES = {
           row_number() OVER (PARTITION BY sleep_deprivation_label ORDER BY draw, "SID")
           <= floor(count(*) OVER (PARTITION BY sleep_deprivation_label) * 0.4::DOUBLE + 0.5) AS is_test FROM drawn""",
 }
+
+
+def _drawn(turn: int, count: str, rest: str, seed: int) -> str:
+    """Adds ``b<turn>``: the binomial draw of ``count`` of ``rest`` in what the draws before left (``left_n``)."""
+    before = "cells" if turn == 0 else f"drawn{turn - 1}"
+    u = f"('0x' || substr(md5('{seed}#' || replicate || '#{turn}'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+    return f"""
+asked{turn} AS (SELECT *, CASE WHEN {rest} > 0 THEN {count}::DOUBLE / ({rest}) ELSE 0 END AS p, {u} AS u FROM {before}),
+steps{turn} AS (SELECT segment, replicate, u, k, sum(CASE WHEN k = 0 THEN 0 ELSE ln((left_n - k + 1)::DOUBLE / k) + ln(p / (1 - p)) END)
+  OVER (PARTITION BY segment, replicate ORDER BY k) AS w
+  FROM (SELECT segment, replicate, left_n, p, u, unnest(range(0, left_n + 1)) AS k FROM asked{turn} WHERE p > 0 AND p < 1 AND left_n > 0)),
+found{turn} AS (SELECT segment, replicate, count(*) FILTER (upto / total <= u) AS b FROM (
+  SELECT segment, replicate, u, sum(x) OVER (PARTITION BY segment, replicate ORDER BY k) AS upto, sum(x) OVER (PARTITION BY segment, replicate) AS total
+  FROM (SELECT *, exp(w - max(w) OVER (PARTITION BY segment, replicate)) AS x FROM steps{turn})) GROUP BY 1, 2),
+drawn{turn} AS (SELECT * EXCLUDE (p, u, b, left_n), b AS b{turn}, left_n - b AS left_n FROM (
+  SELECT a.*, CASE WHEN left_n = 0 OR p <= 0 THEN 0 WHEN p >= 1 THEN left_n ELSE f.b END AS b
+  FROM asked{turn} a LEFT JOIN found{turn} f USING (segment, replicate)))"""
+
+
+def _bootstrap(segment: str, seed: int, top: str, other: str) -> str:
+    """The interval of ``top`` among ``top`` and ``other``, both of b0 (tp), b1 (tn), b2 (fp), left_n (fn)."""
+    return f""", cells AS (SELECT *, n AS left_n, unnest(range(0, 1000)) AS replicate FROM (SELECT {segment} AS segment, {CELLS} FROM judged GROUP BY 1)),
+{_drawn(0, "tp", "n", seed)},{_drawn(1, "tn", "n - tp", seed)},{_drawn(2, "fp", "n - tp - tn", seed)},
+scores AS (SELECT segment, CASE WHEN {top} + {other} = 0 THEN 0.0::DOUBLE ELSE ({top})::DOUBLE / ({top} + {other}) END AS score FROM drawn2),
+ends AS (SELECT segment, count(*) AS replicates, round(quantile_cont(score, 0.025), 4) AS ci_low, round(quantile_cont(score, 0.975), 4) AS ci_high
+  FROM scores GROUP BY 1)
+"""
+
+
+ORACLES["bootstrap_ci"] = _with(SCORED) + _bootstrap("segment", 42, "b0", "left_n") + "SELECT * FROM ends"
+ORACLES["clinical_report"] = f"""SELECT n AS "N", tp AS "TP", tn AS "TN", fp AS "FP", fn AS "FN",
+  round_even({_share("tp", "tp + fn")}, 4) AS "Sensitivity", round_even({_share("tn", "tn + fp")}, 4) AS "Specificity",
+  round_even({_share("tp", "tp + fp")}, 4) AS "PPV", round_even({_share("tn", "tn + fn")}, 4) AS "NPV",
+  round_even(auc, 4) AS "AUC_ROC", round_even({KAPPA}, 4) AS "Cohen_Kappa", se.ci_low AS "Sensitivity_low", se.ci_high AS "Sensitivity_high",
+  sp.ci_low AS "Specificity_low", sp.ci_high AS "Specificity_high"
+FROM ({_with(SCORED)} SELECT {CELLS} FROM judged) c, ({_with(SCORED)} SELECT auc FROM ({_auc("judged", "", "y", "score")})) a,
+  ({_with(SCORED)}{_bootstrap("1", 42, "b0", "left_n")} SELECT * FROM ends) se, ({_with(SCORED)}{_bootstrap("1", 43, "b1", "b2")} SELECT * FROM ends) sp"""
+ORACLES["stream_gated"] = ORACLES["gated_live"]

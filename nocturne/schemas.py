@@ -71,6 +71,10 @@ PREDICTIONS = T.StructType(
         T.StructField("created_at", T.TimestampType()),
     ]
 )
+NEW_PREDICTIONS = (
+    "session_id long, model_name string, prediction int, probability double, label string, "
+    "recommendations_json string, shap_features string, created_at timestamp"
+)
 LEADERBOARD = T.StructType(
     [T.StructField("model_name", T.StringType())]
     + [

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from nocturne.functions.numeric import to_number
 from nocturne.operators import columns as naming
 from nocturne.operators.features import coerce_channels
 from nocturne.operators.labels import null_tokens
+from nocturne.runtime import cut_lineage
 from nocturne.schemas import CHANNELS, EVENTS, STAGE
 
 # How recording files are named, and files that are none.
@@ -67,30 +70,20 @@ def first_line(path: str) -> str:
     return re.split(rb"[\r\n]", line, maxsplit=1)[0].decode("utf-8-sig", errors="replace")
 
 
-def file_headers(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """(path, header) of each file; tasks read the first line only."""
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
-    )
-
-    def first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"path": batch["path"], "header": [first_line(p) for p in batch["path"]]})
+def listed(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """``path, name, opened`` of a folder's files: as scans name them, as on disk, and as readers open them."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return files.select(F.col("_metadata.file_path").alias("path"), plain_file_name().alias("name"), F.col("path").alias("opened"))
 
-    return files.mapInPandas(first_lines, "path string, header string")
 
+def with_headers(files: DataFrame) -> DataFrame:
+    """Adds ``header``; tasks read the first line of their files only."""
 
-def header_groups(spark: SparkSession, folder: str, pattern: str, skip: tuple[str, ...] = ()) -> dict[str, list[str]]:
-    """Header line to the files that have it.
+    def first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(header=[first_line(p) for p in batch["opened"]])
 
-    The driver holds the file names, as the scan's own file listing does; it
-    never sees the rows.
-    """
-    found: dict[str, list[str]] = {}
-    for row in file_headers(spark, folder, pattern).sort("path").toLocalIterator():
-        if row["path"].rsplit("/", 1)[-1].lower() not in skip:
-            found.setdefault(row["header"], []).append(row["path"])
-    return found
+    return files.mapInPandas(first_lines, "path string, name string, opened string, header string")
 
 
 def split_header(header: str) -> list[str]:
@@ -104,75 +97,127 @@ def split_header(header: str) -> list[str]:
     return names
 
 
-def read_group(spark: SparkSession, header: str, paths: list[str]) -> DataFrame:
-    """Files of one header as text columns, plus the file's name."""
+class Layout(NamedTuple):
+    """Where a header has the wanted columns; None where it lacks them."""
+
+    header: str
+    width: int
+    time: int | None
+    cells: list[int | None]
+    one_hot: list[int | None]
+    missing: list[str]
+
+
+#: Text columns that readings take from a file.
+WANTED = (*CHANNELS, STAGE, *EVENTS)
+
+
+def layout(header: str, foreign: bool = False) -> Layout:
+    """The layout of a header line; a foreign one has its names normalised and may code stages one-hot."""
     names = split_header(header)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    raw = spark.read.schema(schema).option("header", True).csv(paths)
-    return raw.select(
-        *[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], plain_file_name().alias("_file")
-    )
+    width = len(names)
+    if foreign:
+        names = [naming.canonical_name(c) for c in names]
+    place = lambda c: names.index(c) if c in names else None
+    coded = [place(c) for c in naming.ONE_HOT] if foreign else []
+    if STAGE in names or sum(k is not None for k in coded) < 2:
+        coded = []
+    have = [*names, *EVENTS, *([STAGE] if coded else [])]
+    missing = naming.missing_columns(have) if foreign else []
+    time = next((place(c) for c in ("ts", "TIMESTAMP") if c in names), None)
+    return Layout(header, width, time, [place(c) for c in WANTED], coded, missing)
+
+
+_LAYOUT = "header string, width int, time int, cells array<int>, one_hot array<int>, missing array<string>"
+
 
+def bound_files(spark: SparkSession, folder: str, pattern: str, skip: tuple[str, ...] = (), foreign: bool = False) -> tuple[DataFrame, int]:
+    """The files of a folder with their layouts, and the widest header.
 
-def bind_columns(df: DataFrame, sid: Column) -> DataFrame:
-    """Wanted columns by name; absent ones are missing, others are ignored."""
-    have = df.columns
-    text = lambda c: (F.col(f"`{c}`") if c in have else F.lit(None).cast("string")).alias(c)
-    time = next((c for c in ("ts", "TIMESTAMP") if c in have), None)
-    bound = df.select(
+    The driver sees each distinct header once, no file names and no rows.
+    """
+    wanted = listed(spark, folder, pattern).filter(~F.lower("name").isin(*skip)) if skip else listed(spark, folder, pattern)
+    files = cut_lineage(with_headers(wanted))
+    layouts = [layout(r["header"], foreign) for r in files.select("header").distinct().collect()]
+    if not layouts:
+        raise FileNotFoundError(f"no files like {pattern} in {folder}")
+    known = spark.createDataFrame(layouts, _LAYOUT)
+    return files.join(known, "header"), max(x.width for x in layouts)
+
+
+#: Files whose layouts are sent to every task; with more, lines and layouts are joined by path.
+BROADCAST_FILES = 200_000
+
+
+def read_bound(spark: SparkSession, folder: str, pattern: str, files: DataFrame, width: int, sid: Column) -> DataFrame:
+    """All lines of ``files`` in one scan, every line cut by its own file's layout.
+
+    A line that repeats its file's header in the first block of the file is no row.
+    """
+    lines = spark.read.option("pathGlobFilter", pattern).text(folder).select(
+        "value", F.col("_metadata.file_path").alias("path"), (F.col("_metadata.file_block_start") == 0).alias("first")
+    )
+    known = files.select("path", F.col("name").alias("_file"), "header", "time", "cells", "one_hot")
+    if files.count() <= BROADCAST_FILES:
+        known = F.broadcast(known)
+    rows = lines.filter(F.col("value").rlike(r"[^\x00-\x20]")).join(known, "path")
+    rows = rows.filter(~(F.col("first") & (F.regexp_replace("value", "^\ufeff", "") == F.col("header"))))
+    names = [f"c{i}" for i in range(width)]
+    parsed = F.from_csv("value", ", ".join(f"{n} string" for n in names))
+    rows = rows.withColumn("row", parsed).withColumn("row", F.array(*[F.col(f"row.{n}") for n in names]))
+    cell = lambda at: F.get("row", at)
+    stage = WANTED.index(STAGE)
+    coded = {c: F.get("one_hot", F.lit(k)) for k, c in enumerate(naming.ONE_HOT)}
+    folded = naming.largest_stage(
+        {c: F.when(at.isNotNull(), F.coalesce(to_number(cell(at)), F.lit(0.0))) for c, at in coded.items()}
+    )
+    has_coded = F.size("one_hot") > 0
+    columns = [cell(F.get("cells", F.lit(k))).alias(c) for k, c in enumerate(WANTED)]
+    columns[stage] = F.when(has_coded, folded).otherwise(cell(F.get("cells", F.lit(stage)))).alias(STAGE)
+    bound = rows.select(
         sid.alias("SID"),
-        "_file",
-        (F.col(time).try_cast("timestamp") if time else F.lit(None).cast("timestamp")).alias("ts"),
-        *[text(c) for c in (*CHANNELS, STAGE, *EVENTS)],
-        F.lit(STAGE in have).alias("stage_present"),
+        cell(F.col("time")).try_cast("timestamp").alias("ts"),
+        *columns,
+        (has_coded | F.get("cells", F.lit(stage)).isNotNull()).alias("stage_present"),
     )
     return coerce_channels(null_tokens(bound, [STAGE, *EVENTS]))
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 def read_readings(spark: SparkSession, folder: str, pattern: str = RECORDING_GLOB) -> DataFrame:
-    """All recordings of a folder, columns bound by header name.
+    """All recordings of a folder in one scan, columns bound by each file's own header.
 
-    One scan per distinct header: a single CSV scan over different headers
-    would bind later files by position. Files without a SID raise when read.
+    A CSV scan would bind all files by position. Files without a SID raise when read.
     """
-    groups = header_groups(spark, folder, pattern)
-    if not groups:
-        raise FileNotFoundError(f"no files like {pattern} in {folder}")
+    files, width = bound_files(spark, folder, pattern)
     name = F.col("_file")
     sid = F.coalesce(
         sid_of(name), F.raise_error(F.concat(F.lit("no SID in file name "), name)).cast("string")
     )
-    return _union([bind_columns(read_group(spark, h, p), sid) for h, p in groups.items()]).drop("_file")
+    return read_bound(spark, folder, pattern, files, width, sid)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
 
 
 def read_external(spark: SparkSession, root: str, in_root: bool = False) -> tuple[DataFrame, DataFrame]:
     """A foreign dataset folder as (accepted readings, rejected files).
 
-    Column names are normalised, one-hot stages folded, absent event columns
+    The files lie in ``data_64Hz``, or in the folder itself where there is no such folder or
+    ``in_root`` says so. Column names are normalised, one-hot stages folded, absent event columns
     added; files that still lack a required column are rejected, not an error.
     """
-    folder = root if in_root else f"{root.rstrip('/')}/data_64Hz"
-    groups = header_groups(spark, folder, "*.csv", NOT_RECORDINGS)
-    if not groups:
-        raise FileNotFoundError(f"no recordings in {folder}")
-    accepted, rejected = [], []
-    for header, paths in groups.items():
-        group = read_group(spark, header, paths)
-        named = naming.normalise_columns(group)
-        staged = naming.ensure_columns(naming.onehot_to_stage(named))
-        lacking = naming.missing_columns(staged.columns)
-        if lacking:
-            rejected += [(path, lacking) for path in paths]
-        else:
-            accepted.append(bind_columns(staged, external_sid(F.col("_file"))))
-    if not accepted:
+    inner = f"{root.rstrip('/')}/data_64Hz"
+    folder = root if in_root or not is_folder(spark, inner) else inner
+    files, width = bound_files(spark, folder, "*.csv", NOT_RECORDINGS, foreign=True)
+    accepted = files.filter(F.size("missing") == 0)
+    if accepted.isEmpty():
         raise ValueError(f"no file in {folder} has the required columns")
-    refused = spark.createDataFrame(rejected, "path string, missing array<string>")
-    return _union(accepted).drop("_file"), refused
+    refused = files.filter(F.size("missing") > 0).select(F.col("opened").alias("path"), "missing")
+    return read_bound(spark, folder, "*.csv", accepted, width, external_sid(F.col("_file"))), refused
