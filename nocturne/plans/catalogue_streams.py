@@ -113,7 +113,8 @@ def stream_gated(spark, sf):
     changes = spans.select("device", "SID", F.explode(ends).alias("e")).select("device", "SID", "e.status", "e.at").filter("at IS NOT NULL")
     changes = changes.unionByName(_heartbeat(spark, changes, {"device": "none", "status": "heartbeat", "at": HEARTBEAT}))
     rows = feed.with_device(feed.derive_live(feed.parse_live(sent)))
-    gated = timers.held_gate(rows, changes, "400 days", "2 days", terminal=lifecycle.TERMINAL)
+    timers.with_state_store(spark)
+    gated = timers.held_gate(rows, changes, lifecycle.TERMINAL, "2 days")
     return drain(gated.select("SID", "event_id", "HR"), "gated").select("SID", "event_id", F.round("HR", 6).alias("HR"))
 
 
@@ -129,7 +130,7 @@ def stream_completion(spark, sf):
         return jobs.score_finished(spark, a.readings(spark, sf), participants(spark, sf), service, f"{home}/bundle", f"{home}/scored")
 
     query = jobs.live_sessions(
-        a.messages_from(table_stream(spark, sf, "events")), lambda: device_sessions(spark, sf), f"{home}/live",
+        spark, a.messages_from(table_stream(spark, sf, "events")), lambda: device_sessions(spark, sf), f"{home}/live",
         available_now=True, completed=completed,
     )
     query.awaitTermination()

@@ -178,29 +178,81 @@ def current(rows: DataFrame, *keys: str) -> DataFrame:
     return newest.select(*keys, "row.*")
 
 
-def held_gate(
-    readings: DataFrame, changes: DataFrame, longest: str = "1 day", delay: str = "10 minutes", at: str = "timestamp", terminal: tuple[str, ...] = ()
-) -> DataFrame:
-    """Readings inside a recording of their device, judged by a second stream of status messages.
-
-    ``changes(device, SID, status, at)``: ``recording`` begins a recording, a ``terminal`` status ends it. Both streams
-    carry a watermark: a reading that comes before its session's message waits for it, and one after the end
-    is known to be so once the messages up to its time are in. A recording lasts ``longest`` at most. Batches work too.
+class _Gate(StatefulProcessor):
+    """A device's readings, held until the watermark has passed them and with it all messages up to their time."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.spans = handle.getListState("spans", "SID string, begun long, ended long")
+        self.waiting = handle.getListState("waiting", "at long, row string")
+
+    def _told(self, changes: pd.DataFrame) -> None:
+        """The device's recordings, with the new messages in."""
+        spans = {sid: [begun, ended] for sid, begun, ended in self.spans.get()} if self.spans.exists() else {}
+        for sid, at, opens in zip(changes["SID"], changes["at"], changes["opens"], strict=True):
+            begun, ended = spans.get(sid, [None, None])
+            at = int(at)
+            if opens:
+                begun = at if begun is None else min(begun, at)
+            else:
+                ended = at if ended is None else min(ended, at)
+            spans[sid] = [begun, ended]
+        self.spans.put([(sid, *span) for sid, span in spans.items()])
+
+    @staticmethod
+    def _keep(state, rows: list[tuple]) -> None:
+        state.put(rows) if rows else state.clear()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        parts = pd.concat(list(rows))
+        changes, readings = parts[parts["SID"].notna()], parts[parts["row"].notna()]
+        if len(changes):
+            self._told(changes)
+        if len(readings):
+            held = [(int(at), row) for at, row in zip(readings["at"], readings["row"], strict=True)]
+            self.waiting.appendList(held)
+            self.handle.registerTimer(min(at for at, _ in held) // 1000 + 1)
+        yield pd.DataFrame({"SID": pd.Series([], dtype=str), "row": pd.Series([], dtype=str)})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        spans = list(self.spans.get()) if self.spans.exists() else []
+        out = [
+            (sid, row) for at, row in held if at < passed for sid, begun, ended in spans
+            if begun is not None and begun <= at and (ended is None or at < ended)
+        ]
+        left = [(at, row) for at, row in held if at >= passed]
+        self._keep(self.waiting, left)
+        if left:
+            self.handle.registerTimer(min(at for at, _ in left) // 1000 + 1)
+        self._keep(self.spans, [span for span in spans if span[2] is None or span[2] >= passed])  # the rest is over for all that may come
+        yield pd.DataFrame(out, columns=["SID", "row"], dtype=str)
+
+    def close(self) -> None:
+        pass
+
+
+_MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+def held_gate(readings: DataFrame, changes: DataFrame, terminal: tuple[str, ...], delay: str = "10 minutes", at: str = "timestamp") -> DataFrame:
+    """Readings inside a recording of their ``device``, judged by a second stream of status messages.
+
+    ``changes(device, SID, status, at)``: ``recording`` begins a recording, a ``terminal`` status ends it, others tell only the
+    time. Both streams carry a watermark and the slower one counts: a reading that comes before its session's message
+    waits for it, and goes out when all messages up to its time are in.
     """
-    rows = readings.withWatermark(at, delay)
-    told = changes.withWatermark("at", delay)
-    starts = told.filter(F.col("status") == "recording").select(
-        F.col("device").alias("_device"), "SID", F.col("at").alias("_begun")
+    kept = readings.columns
+    rows = readings.withWatermark(at, delay).select(
+        "device", F.lit(None).cast("string").alias("SID"), F.lit(None).cast("boolean").alias("opens"),
+        F.col(at).alias("when"), F.to_json(F.struct(*kept), _MICROS).alias("row"),
     )
-    begun = rows.join(
-        starts,
-        (F.col("device") == F.col("_device")) & (F.col(at) >= F.col("_begun")) & (F.col(at) < F.col("_begun") + F.expr(f"INTERVAL {longest}")),
-    ).drop("_device")
-    ends = told.filter(F.col("status").isin(*terminal)).select(F.col("SID").alias("_SID"), F.col("at").alias("_ended"))
-    over = (
-        (F.col("SID") == F.col("_SID"))
-        & (F.col("_ended") <= F.col(at))
-        & (F.col("_ended") > F.col(at) - F.expr(f"INTERVAL {longest}"))
-        & (F.col("_ended") >= F.col("_begun"))
+    opens = F.when(F.col("status") == "recording", True).when(F.col("status").isin(*terminal), False)
+    told = changes.withWatermark("at", delay).select(
+        "device", F.when(opens.isNotNull(), F.col("SID")).alias("SID"), opens.alias("opens"), F.col("at").alias("when"), F.lit(None).cast("string").alias("row"),
     )
-    return begun.join(ends, over, "left_outer").filter(F.col("_ended").isNull()).drop("_SID", "_ended", "_begun")
+    both = rows.unionByName(told).withColumn("at", F.unix_micros("when")).groupBy("device")
+    out = both.transformWithStateInPandas(_Gate(), "SID string, row string", "Append", "EventTime")
+    parsed = F.from_json("row", readings.schema, _MICROS)
+    return out.select("SID", parsed.alias("row")).select("SID", "row.*")

@@ -1,6 +1,7 @@
 """Streams give what the batch gives; the live job writes each accepted row once."""
 
 import json
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -8,7 +9,7 @@ from helpers import rows
 from nocturne.plans import adapters as a
 from nocturne.plans import jobs
 from nocturne.plans.catalogue_streams import table_stream
-from nocturne.streaming import lifecycle, windows
+from nocturne.streaming import lifecycle, timers, windows
 from nocturne.streaming import live as feed
 
 
@@ -135,3 +136,77 @@ def test_late_files_reach_their_windows(spark, tmp_path):
     run("b.json", [5, 1])
     out = windows.newest_windows(spark, str(tmp_path / "o"), rows)
     assert {r["start"].hour: r["n"] for r in out.collect()} == {1: 1, 5: 2, 9: 1}
+
+
+def write_readings(folder, name, rows):
+    text = "".join(f'{{"SID": "{sid}", "ts": "2024-01-02T{at}:00.000Z"}}\n' for sid, at in rows)
+    (folder / name).write_text(text)
+
+
+def test_stretches_are_sent_as_they_change(spark, tmp_path):
+    folder = tmp_path / "r"
+    folder.mkdir()
+    timers.with_state_store(spark)
+    stream = spark.readStream.schema("SID string, ts timestamp").json(str(folder))
+    rows_ = timers.stretches(stream, timedelta(hours=1), "2 hours")
+
+    def run(name, readings):
+        write_readings(folder, name, readings)
+        windows.write_updates(rows_, str(tmp_path / "o"), str(tmp_path / "c"), True).awaitTermination()
+        out = timers.current(spark.read.schema(rows_.schema).parquet(str(tmp_path / "o" / "*")), "SID", "start")
+        return [(r["SID"], r["start"].strftime("%H:%M"), r["end"].strftime("%H:%M"), r["records"], r["closed"])
+                for r in rows(out, "SID", "start") if r["records"]]
+
+    assert run("1.json", [("A", "01:00"), ("A", "01:30"), ("A", "03:00"), ("B", "02:00")]) == [
+        ("A", "01:00", "02:30", 2, False), ("A", "03:00", "04:00", 1, False), ("B", "02:00", "03:00", 1, False),
+    ]
+    # a late reading joins two stretches; the second goes
+    assert run("2.json", [("A", "02:15")]) == [("A", "01:00", "04:00", 4, False), ("B", "02:00", "03:00", 1, False)]
+    # time goes on: timers close them, what lies behind it does not count
+    assert run("3.json", [("B", "09:00")])[0] == ("A", "01:00", "04:00", 4, True)
+    assert run("4.json", [("A", "05:00"), ("B", "09:30")]) == [
+        ("A", "01:00", "04:00", 4, True), ("B", "02:00", "03:00", 1, True), ("B", "09:00", "10:30", 2, False),
+    ]
+
+
+def test_silence_is_told_by_a_timer(spark, tmp_path):
+    folder = tmp_path / "r"
+    folder.mkdir()
+    timers.with_state_store(spark)
+    stream = spark.readStream.schema("SID string, ts timestamp").json(str(folder))
+    rows_ = timers.watch(stream, timedelta(hours=2), "0 seconds")
+
+    def run(name, readings):
+        write_readings(folder, name, readings)
+        windows.write_updates(rows_, str(tmp_path / "o"), str(tmp_path / "c"), True).awaitTermination()
+        return {r["SID"]: r["stale"] for r in timers.current(spark.read.schema(rows_.schema).parquet(str(tmp_path / "o" / "*")), "SID").collect()}
+
+    assert run("1.json", [("A", "01:00"), ("B", "02:00")]) == {"A": False, "B": False}
+    assert run("2.json", [("B", "03:30")]) == {"A": True, "B": False}
+    assert run("3.json", [("A", "03:45")]) == {"A": False, "B": False}
+    written = spark.read.schema(rows_.schema).parquet(str(tmp_path / "o" / "*"))
+    assert written.filter("SID = 'A'").count() == 3  # heard, silent, heard again
+
+
+def test_a_reading_waits_for_its_status_message(spark, tmp_path):
+    """The message that begins a recording comes after its first readings, in a later trigger."""
+    sent, told = tmp_path / "sent", tmp_path / "told"
+    sent.mkdir()
+    told.mkdir()
+    readings = spark.readStream.schema("device string, timestamp timestamp, n int").json(str(sent))
+    changes = spark.readStream.schema("device string, SID string, status string, at timestamp").json(str(told))
+    gated = timers.held_gate(readings, changes, lifecycle.TERMINAL, "1 hour")
+    timers.with_state_store(spark)
+    at = lambda t: f"2024-01-02T{t}:00.000Z"
+
+    def run(name, sends, tells):
+        (sent / name).write_text("".join(json.dumps({"device": d, "timestamp": at(t), "n": n}) + "\n" for d, t, n in sends))
+        (told / name).write_text("".join(json.dumps({"device": d, "SID": s, "status": x, "at": at(t)}) + "\n" for d, s, x, t in tells))
+        query = gated.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c"))
+        query.trigger(availableNow=True).start().awaitTermination()
+
+    run("1.json", [("d", "01:00", 1), ("d", "02:10", 2), ("d", "02:20", 3), ("e", "02:00", 4)], [("x", "none", "heartbeat", "02:00")])
+    run("2.json", [("d", "02:50", 5), ("d", "03:10", 6)], [("d", "R1", "recording", "02:05"), ("d", "R1", "complete", "03:00"), ("x", "none", "heartbeat", "03:00")])
+    run("3.json", [("x", "09:00", 7)], [("x", "none", "heartbeat", "09:00")])
+    out = sorted((r["SID"], r["n"]) for r in spark.read.parquet(str(tmp_path / "o")).collect())
+    assert out == [("R1", 2), ("R1", 3), ("R1", 5)]
