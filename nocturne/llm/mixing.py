@@ -6,7 +6,8 @@ deadline ``ceil((k + 1) * cycle / w)``; each slot takes the released block of th
 deadline (ties: the smaller source name). No source is ever a whole block ahead of or
 behind its share. The windows repeat every ``cycle`` slots, so one cycle is scheduled
 (a fold over ``cycle`` slots in one row of at most ``cycle`` sources) and every block finds
-its slot by arithmetic; the data are never scheduled one by one.
+its slot by arithmetic; the data are never scheduled one by one. A cycle has at least two slots a source, so the
+fold grows with the square of the number of sources, and with nothing else.
 
 A source that has run out leaves its slots empty and the others go on in schedule order:
 no row is dropped and none repeated. Until the first source runs out, the shares hold to
@@ -15,10 +16,13 @@ less than one block.
 The order inside a source is by the md5 of the id (then id, then text hash). Ranks come
 from hash ranges: a source is split into as many ranges as its rows need, ranges are
 counted, ranked each on its own and shifted by the sum of the earlier ones, so a source
-with a third of all rows is many tasks' work.
+with a third of all rows is many tasks' work. Where a range holds more than twice its rows, ids that more
+than ``RANGE_ROWS`` rows of a source share (null is one) are found, and those rows take random places of their
+own; they are written down once, so that a lost task cannot change the draw.
 
-Defined cases: a null source is the source ``(none)``; null ids sort first; equal rows take
-neighbouring places in some order. An empty table gives no rows. Input columns named like
+Defined cases: a null source is the source ``(none)``; null ids sort first unless there are as many as said;
+equal rows take neighbouring places in some order. Given weights that sum to more than ``cycle`` are rounded to ``cycle``
+parts, one at least for each source. An empty table gives no rows. Input columns named like
 the added ones are replaced. A source without a given weight raises.
 """
 
@@ -30,9 +34,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nocturne.llm.tables import stored
+from nocturne.llm.tables import counted_broadcast, stored
 
-#: Slots of a schedule cycle; also the most sources there can be.
+#: Slots of a schedule cycle, unless there are more than half as many sources.
 CYCLE = 1000
 BLOCK_ROWS = 100
 #: Rows of a source for which a hash range is opened.
@@ -43,7 +47,7 @@ ADDED = ("source_rank", "block", "release", "deadline", "slot", "mix_order")
 
 
 def natural_weights(counts: DataFrame, power: float = 0.5, cycle: int = CYCLE) -> DataFrame:
-    """``mix_source, weight``: row counts to the ``power``, as whole parts of ``cycle``, one at least.
+    """``mix_source, weight``: ``n`` of each source to the ``power``, as whole parts of ``cycle``, one at least.
 
     ``counts(mix_source, n)`` is one row a source, at most ``cycle`` of them. Parts are
     rounded down and what is left goes to the largest remainders (ties: the smaller name).
@@ -102,12 +106,35 @@ def schedule(weights: DataFrame) -> DataFrame:
     return placed.withColumn("turn", turn.cast("long"))
 
 
-def _ranked(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """``docs`` with ``source_rank``: its place, from 0, in the source's fixed random order."""
+def _spread(docs: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with their hash range, and the rows of each range."""
     ranges = counts.select("mix_source", F.ceil(F.col("n") / RANGE_ROWS).alias("ranges"))
     head = F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long")
     spread = docs.join(F.broadcast(ranges), "mix_source").withColumn("mix_range", F.floor(head * F.col("ranges") / F.lit(1 << 32)))
-    held = spread.groupBy("mix_source", "mix_range").agg(F.count("*").alias("held"))
+    return spread, stored(spread.groupBy("mix_source", "mix_range").agg(F.count("*").alias("held")), "mix-ranges")
+
+
+def _uncrowded(docs: DataFrame, spread: DataFrame, held: DataFrame) -> DataFrame | None:
+    """``docs`` with keys of their own for rows of too frequent ids, written down; None if no range is crowded."""
+    crowded = held.filter(F.col("held") > 2 * RANGE_ROWS).select("mix_source", "mix_range")
+    if crowded.isEmpty():
+        return None
+    there = spread.join(F.broadcast(crowded), ["mix_source", "mix_range"], "left_semi")
+    frequent = there.groupBy("mix_source", "mix_key").count().filter(F.col("count") > RANGE_ROWS)
+    # at most a row for each RANGE_ROWS rows of the table
+    frequent = counted_broadcast(stored(frequent.select("mix_source", "mix_key", F.lit(True).alias("frequent")), "mix-frequent"))
+    own = F.md5(F.concat_ws("#", "mix_key", F.col("mix_tie").cast("string"), F.monotonically_increasing_id().cast("string")).cast("binary"))
+    numbered = docs.withColumn("mix_own", own).join(frequent, ["mix_source", "mix_key"], "left")
+    keyed = numbered.withColumn("mix_key", F.when(F.col("frequent"), F.col("mix_own")).otherwise(F.col("mix_key")))
+    return stored(keyed.drop("mix_own", "frequent"), "mix-keyed")
+
+
+def _ranked(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """``docs`` with ``source_rank``: its place, from 0, in the source's fixed random order."""
+    spread, held = _spread(docs, counts)
+    again = _uncrowded(docs, spread, held)
+    if again is not None:
+        spread, held = _spread(again, counts)
     before = Window.partitionBy("mix_source").orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = held.select("mix_source", "mix_range", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("mix_source", "mix_range").orderBy("mix_key", "mix_tie")
@@ -125,7 +152,7 @@ def mix(
 ) -> DataFrame:
     """``docs`` with ``source_rank, block, release, deadline, slot, mix_order``.
 
-    ``weights`` are whole shares by source name; without them the shares are the square
+    ``weights`` are whole shares by source name, of sources without rows too; without them the shares are the square
     roots of the row counts, in ``cycle`` parts. Ordering by ``mix_order`` gives the mix; it
     is unique, with gaps where a source has run out.
     """
@@ -138,9 +165,7 @@ def mix(
         F.xxhash64(*kept.columns).alias("mix_tie"),
     )
     counts = stored(keyed.groupBy("mix_source").agg(F.count("*").alias("n")), "mix-counts")
-    n_sources = counts.count()
-    if n_sources > cycle:
-        raise ValueError(f"{n_sources} sources for a cycle of {cycle} slots")
+    cycle = max(cycle, 2 * counts.count())
     if weights is None:
         shares = natural_weights(counts, cycle=cycle)
     else:
@@ -149,6 +174,8 @@ def mix(
         if missing:
             raise ValueError(f"{missing} sources without a weight")
         shares = known
+        if sum(w for w in weights.values() if w > 0) > max(cycle, 2 * len(weights)):
+            shares = natural_weights(known.withColumnRenamed("weight", "n"), 1.0, max(cycle, 2 * len(weights)))
     turns = stored(schedule(shares), "mix-schedule")
     parts = turns.select("mix_source", "weight", "cycle").distinct()
     block = F.floor(F.col("source_rank") / block_rows)

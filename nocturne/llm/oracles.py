@@ -10,25 +10,27 @@ from __future__ import annotations
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
-def _mix(block_rows: int = 100, cycle: int = 1000) -> str:
-    return f"""
-WITH RECURSIVE n AS (SELECT coalesce(source, '(none)') AS s, count(*) AS n FROM documents GROUP BY 1),
-e AS (SELECT s, pow(n, 0.5) * ({cycle} - (SELECT count(*) FROM n)) / (SELECT sum(pow(n, 0.5)) FROM n) AS x FROM n),
+def _mix(block_rows: int = 100, cycle: int | str = 1000, weights: str | None = None) -> str:
+    natural = f"""e AS (SELECT s, pow(n, 0.5) * ({cycle} - (SELECT count(*) FROM n)) / (SELECT sum(pow(n, 0.5)) FROM n) AS x FROM n),
 p AS (SELECT s, floor(x) AS f, round(x - floor(x), 9) AS o FROM e),
 w AS (
   SELECT s, (1 + f + CASE WHEN row_number() OVER (ORDER BY o DESC, s)
                  <= {cycle} - (SELECT count(*) FROM n) - (SELECT sum(f) FROM p) THEN 1 ELSE 0 END)::BIGINT AS w FROM p
-),
-packed AS (SELECT list(s ORDER BY s) AS names, list(w ORDER BY s) AS ws FROM w),
+)"""
+    given = f"w AS (SELECT s, ({weights})::BIGINT AS w FROM n)"
+    return f"""
+WITH RECURSIVE n AS (SELECT coalesce(source, '(none)') AS s, count(*) AS n FROM documents GROUP BY 1),
+{given if weights else natural},
+packed AS (SELECT list(s ORDER BY s) AS names, list(w ORDER BY s) AS ws, {cycle} AS cyc FROM w),
 sched AS (
-  SELECT -1 AS t, list_transform(ws, lambda x: 0) AS used, 0::BIGINT AS pick, ws FROM packed
+  SELECT -1 AS t, list_transform(ws, lambda x: 0) AS used, 0::BIGINT AS pick, ws, cyc FROM packed
   UNION ALL
-  SELECT t + 1, list_transform(range(1, len(ws) + 1), lambda i: used[i] + CASE WHEN i = now THEN 1 ELSE 0 END), now, ws
+  SELECT t + 1, list_transform(range(1, len(ws) + 1), lambda i: used[i] + CASE WHEN i = now THEN 1 ELSE 0 END), now, ws, cyc
   FROM (
-    SELECT t, used, ws, list_min(list_transform(range(1, len(ws) + 1), lambda i:
-      CASE WHEN floor(used[i] * {cycle} / ws[i]) <= t + 1 AND used[i] < ws[i]
-           THEN ceil((used[i] + 1) * {cycle} / ws[i])::BIGINT * 100000 + i END)) % 100000 AS now
-    FROM sched WHERE t < {cycle} - 1
+    SELECT t, used, ws, cyc, list_min(list_transform(range(1, len(ws) + 1), lambda i:
+      CASE WHEN floor(used[i] * cyc / ws[i]) <= t + 1 AND used[i] < ws[i]
+           THEN ceil((used[i] + 1) * cyc / ws[i])::BIGINT * 100000 + i END)) % 100000 AS now
+    FROM sched WHERE t < cyc - 1
   )
 ),
 turns AS (
@@ -239,6 +241,7 @@ QUALIFY rank <= 10
 
 ORACLES: dict[str, str] = {
     "op1_mix": _mix(),
+    "op1_target_weights": _mix(10, "(SELECT sum(w) FROM w)::BIGINT", "2 + length(s) % 5"),
     "op2_secrets": _secrets(),
     "op3_urls": _urls(),
     "op5_decontaminate": _decontaminate(),

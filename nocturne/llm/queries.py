@@ -16,6 +16,13 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents", "doc_id", "source"))
 
 
+def op1_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with given weights: by the length of a source's name."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "source")
+    names = [r[0] for r in docs.select(F.coalesce("source", F.lit(mixing.NO_SOURCE))).distinct().collect()]
+    return mixing.mix(docs, {s: 2 + len(s) % 5 for s in names}, block_rows=10)
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secrets.scan(read(spark, sf_dir, "documents", "doc_id", "text"))
     counts = [secrets.count("known_spans", kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
@@ -87,6 +94,7 @@ def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op1_target_weights": op1_target_weights,
     "op2_secrets": op2_secrets,
     "op3_urls": op3_urls,
     "op4_toxicity": op4_toxicity,

@@ -1,7 +1,8 @@
 """Toxicity: a learned weighted lexicon, matched by Aho-Corasick on folded text.
 
 Folding lower-cases, replaces homoglyphs by Latin letters and, inside words that also have
-a letter, digits and signs by the letters they stand for. The lexicon's entries are folded
+a letter, digits and signs by the letters they stand for. What may be an i or an l (both letters, 1, ! and |) is
+one class, in the lexicon as in the text, so either reading meets its word. The lexicon's entries are folded
 words and word beginnings (``^``: matched at a word's start only) whose document frequency
 among toxic training documents is far above that among the others; the weight is the log
 odds. A word's weight is that of its heaviest entry. Exception phrases, pairs of words
@@ -41,8 +42,6 @@ SAMPLE = 4000
 LEAST_DOCS = 5
 LEAST_LOG_ODDS = 2.0
 LEAST_RATIO = 18.0
-#: Bound on the entries, heaviest evidence first; they are held by the driver and each task.
-MAX_ENTRIES = 5000
 BEGINNINGS = (4, 5, 6, 7)
 
 #: Letters of other scripts that look like Latin ones, and signs read as letters.
@@ -51,27 +50,28 @@ HOMOGLYPHS = {
     "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "ɡ": "g", "ո": "n", "ս": "u", "ν": "v", "α": "a", "ε": "e",
     "ι": "i", "κ": "k", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ѡ": "w", "ⅼ": "l",
 }
-SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
+SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i"}
 
 _LETTERS = str.maketrans(HOMOGLYPHS)
 _SIGNS = str.maketrans(SIGNS)
-_SIGNED = re.compile(r"[^\W_]*[^\W\d_][0134578@$!]+(?=[^\W\d_])[\w@$!]*|[0134578@$]+[^\W\d_][\w@$!]*[^\W_]")
+_ONE_CLASS = str.maketrans({"l": "i"})
+_SIGNED = re.compile(r"[^\W_]*[^\W\d_][013456789@$!|]+(?=[^\W\d_])[\w@$!|]*|[013456789@$]+[^\W\d_][\w@$!|]*[^\W_]")
 _WORD = re.compile(r"[^\W_]+")
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 
 
 def fold(text: str) -> str:
-    """Lower case, full-width and look-alike letters as Latin, digits within words as letters."""
+    """Lower case, full-width and look-alike letters as Latin, digits within words as letters, l as i."""
     if not text.isascii():
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).lower().translate(_LETTERS)
     else:
         text = text.lower()
-    return _SIGNED.sub(lambda m: m.group().translate(_SIGNS), text)
+    return _SIGNED.sub(lambda m: m.group().translate(_SIGNS), text).translate(_ONE_CLASS)
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Entries and exception phrases with the curve: all plain values, bounded by ``MAX_ENTRIES``."""
+    """Entries and exception phrases with the curve: all plain values, found in the bounded sample."""
 
     weights: dict[str, float]
     exceptions: frozenset[str]
@@ -185,7 +185,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
         .withColumn("ratio", 2 * (part("toxic", share) + part("plain", 1 - share)))
         .filter((F.col("odds") >= LEAST_LOG_ODDS) & (F.col("ratio") >= LEAST_RATIO))
     )
-    weights = {r["term"]: r["odds"] for r in strong.orderBy(F.desc("ratio"), "term").limit(MAX_ENTRIES).collect()}
+    weights = {r["term"]: r["odds"] for r in strong.collect()}
 
     built: list = []
 
@@ -196,7 +196,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
         return {f"{x} {w}" for x, w, _, _ in found if x} | {f"{w} {y}" for _, w, y, _ in found if y}
 
     at_home = _counted(taken, phrases).filter((F.col("plain") >= 5) & (F.col("plain") * n_toxic >= 4 * F.col("toxic") * n_plain))
-    exceptions = frozenset(r["term"] for r in at_home.orderBy(F.desc("plain"), "term").limit(MAX_ENTRIES).collect())
+    exceptions = frozenset(r["term"] for r in at_home.collect())
 
     measured = _weighed(taken.select("toxic", "text"), weights, exceptions, "toxic boolean").groupBy(
         "toxic", F.round("log_weight", 1).alias("x"), F.round("log_rate", 1).alias("y"), "any"

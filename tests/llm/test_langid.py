@@ -1,5 +1,7 @@
 import math
+import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from nocturne.llm import langid, queries
@@ -33,6 +35,35 @@ def test_blocks_do_not_change_grams(monkeypatch):
     assert sorted(int(g) for part in langid._grams("the quick brown fox é𝄞") for g in part) == whole
 
 
+def test_batches_score_like_single_texts(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abc é𝄞ñ"), rng.integers(1, 60))) for _ in range(50)]
+    grams, starts = langid.batch_grams(texts)
+    ends = [*starts[1:], len(grams)]
+    table = rng.normal(size=(5, langid.BUCKETS)).astype(np.float32)
+    wanted = []
+    for text, low, high in zip(texts, starts, ends):
+        own = np.concatenate(list(langid._grams(text)))
+        assert sorted(own) == sorted(grams[low:high])
+        wanted.append(table[:, own].sum(axis=1, dtype=np.float64))
+    for limit in (4_000_000, 200, 1):
+        monkeypatch.setattr(langid, "GATHERED", limit)
+        assert np.allclose(langid.summed(table, grams, starts), wanted, atol=1e-4)
+
+
+def test_a_hundred_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "HELD_LANGS", 7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rng = random.Random(2)
+    word = {k: ["".join(rng.choice(letters) for _ in range(6)) for _ in range(12)] for k in range(100)}
+    rows = [(" ".join(rng.choice(word[k]) for _ in range(40)), f"l{k:02d}") for k in range(100) for _ in range(3)]
+    table = spark.createDataFrame(rows, "text string, lang string")
+    for size in (langid.MATRIX_BYTES, 100 * 4 * 4096):
+        model = langid.train(table, matrix_bytes=size)
+        assert len(model.languages) == 100 and model.log_prob.nbytes <= size
+        assert langid.identify(table, model).filter("lang = lang_pred").count() >= 295
+
+
 def test_odd_texts_and_clashing_names(spark):
     model = langid.train(spark.createDataFrame([("the and of", "en"), ("der die und", "de")], "text string, lang string"))
     rows = [(1, None, 5.0), (2, "", 5.0), (3, "123 !?", 5.0), (None, "der und", 5.0), (5, "the of", 5.0), (5, "the of", 5.0), (6, "die " * 60_000, 5.0)]

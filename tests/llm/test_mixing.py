@@ -42,3 +42,33 @@ def test_same_order_for_other_partitions(spark):
     one = {r["doc_id"]: r["mix_order"] for r in mixing.mix(table, block_rows=3).collect()}
     two = {r["doc_id"]: r["mix_order"] for r in mixing.mix(table.repartition(7), block_rows=3).collect()}
     assert one == two
+
+
+def test_frequent_ids_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 20)
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, "a" if i % 4 else "b") for i in range(1200)]
+    table = spark.createDataFrame(rows, "doc_id long, source string")
+    spread = []
+    kept = mixing._spread
+    monkeypatch.setattr(mixing, "_spread", lambda *x: spread.append(kept(*x)) or spread[-1])
+    out = mixing.mix(table, block_rows=5).toPandas()
+    assert len(out) == 1200 and out.mix_order.is_unique
+    for _, part in out.groupby("source"):
+        assert sorted(part.source_rank) == list(range(len(part)))
+    assert spread[0][1].agg({"held": "max"}).first()[0] > 100 and spread[-1][1].agg({"held": "max"}).first()[0] <= 40
+    # the null ids and the repeated one lie all over the mix
+    assert out[out.doc_id.isna()].mix_order.quantile(0.5) > 0.3 * out.mix_order.max()
+
+
+def test_more_sources_than_slots(spark):
+    counts = {f"s{i:04d}": 1 + i % 3 for i in range(1500)}
+    out = mixing.mix(docs(spark, counts), block_rows=1).toPandas()
+    assert len(out) == sum(counts.values()) and out.mix_order.is_unique
+    assert ((out.release <= out.slot) & (out.slot < out.deadline)).all()
+
+
+def test_large_weights_become_parts(spark):
+    table = docs(spark, {"a": 60, "b": 20})
+    out = mixing.mix(table, {"a": 3_000_000, "b": 1_000_000, "none here": 4}, block_rows=1, cycle=40).toPandas()
+    assert out[out.mix_order < 40].source.value_counts().to_dict()["a"] in (29, 30)
+    assert ((out.release <= out.slot) & (out.slot < out.deadline)).all()

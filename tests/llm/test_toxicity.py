@@ -1,3 +1,8 @@
+import math
+import random
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from nocturne.llm import queries, toxicity
@@ -6,6 +11,31 @@ from nocturne.llm import queries, toxicity
 def test_folding():
     assert toxicity.fold("1D10T") == "idiot" and toxicity.fold("idіоt") == "idiot" and toxicity.fold("ｉｄｉｏｔ") == "idiot"
     assert toxicity.fold("1234 10.5") == "1234 10.5"
+    for one, other in (("c1own", "clown"), ("1oser", "loser"), ("worth1ess", "worthless"), ("dis9usting", "disgusting"), ("u6ly", "ugly"), ("k!ll", "kill"), ("i|literate", "illiterate")):
+        assert toxicity.fold(one) == toxicity.fold(other)
+
+
+def test_score_by_brute_force(spark):
+    """Every entry looked for in every word, every phrase in every pair of words."""
+    lexicon = toxicity.Lexicon(
+        {"ioser": 3.0, "^idio": 2.0, "idiot": 2.5, "^trash": 1.5, "scum": 4.0}, frozenset({"trash can", "pond scum"}), (-2.0, 0.7, 0.3, 1.1)
+    )
+    rng = random.Random(7)
+    words = ["loser", "L0ser", "1oser", "idiot", "idiotic", "id1ot", "trash", "trashy", "can", "pond", "scum", "SCUM", "the", "a", "x1", "42"]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", ",", ".", "\n"]) for _ in range(rng.randrange(30))) for _ in range(200)]
+    out = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), lexicon).collect()
+    got = {r["doc_id"]: r["score"] for r in out}
+    for k, text in enumerate(texts):
+        held = re.findall(r"[^\W_]+", toxicity.fold(text))
+        total = hits = 0.0
+        for at, word in enumerate(held):
+            fits = [w for e, w in lexicon.weights.items() if (word.startswith(e[1:]) if e[0] == "^" else word == e)]
+            pairs = {f"{held[at - 1]} {word}" if at else "", f"{word} {held[at + 1]}" if at + 1 < len(held) else ""}
+            if fits and not pairs & lexicon.exceptions:
+                total, hits = total + max(fits), hits + 1
+        a, b, c, d = lexicon.curve
+        logit = a + b * math.log1p(total) + c * math.log1p(100 * total / max(len(held), 1)) + d * (hits > 0)
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-logit)))
 
 
 def test_longest_weight_counts_once_and_exceptions_cancel():
