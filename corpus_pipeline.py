@@ -5,7 +5,7 @@ of each group stays), benchmark decontamination (documents that hold a benchmark
 go), secrets (found spans are replaced by their kind), mixing (every document gets its place).
 
 Verdicts hold for a row's id and text: rows that share an id (or have none) but differ in
-text are judged each by itself. Null ids are never near-duplicates of anything. Empty
+text are judged each by itself, and of rows equal in both one stays. Null ids are never near-duplicates of anything. Empty
 tables give empty results.
 """
 
@@ -15,6 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from nocturne.llm import langid, mixing, secrets
 from nocturne.llm.decontaminate import decontaminate
@@ -38,6 +39,23 @@ def _without(docs: DataFrame, judge: Callable[[DataFrame, str], DataFrame]) -> D
     return keyed.join(counted_broadcast(gone), same, "left_anti").drop(key)
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row for rows of equal id and text: the first by hash of all it holds. Null ids are not equal."""
+    key, turn = unused(docs, "text_key"), unused(docs, "row_turn")
+    known = docs.filter("doc_id is not null and text is not null")
+    ids = known.select("doc_id", F.xxhash64("text").alias(key)).groupBy("doc_id", key).count().filter("count > 1")
+    twice = stored(ids.select(F.col("doc_id").alias("again_id"), F.col(key).alias("again_key")), "twice")
+    if twice.isEmpty():
+        return docs
+    # whole rows are compared only where an id and a text come again
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    same = (F.col("doc_id") == F.col("again_id")) & (F.col(key) == F.col("again_key")) & F.col("text").isNotNull()
+    again = counted_broadcast(twice)
+    order = Window.partitionBy("doc_id", key).orderBy(F.xxhash64(*docs.columns))
+    firsts = keyed.join(again, same, "left_semi").withColumn(turn, F.row_number().over(order)).filter(F.col(turn) == 1)
+    return keyed.join(again, same, "left_anti").drop(key).unionByName(firsts.drop(key, turn))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; the model learns from all that carry a language."""
     model = langid.train(docs)
@@ -48,8 +66,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    return _without(docs, lambda keyed, key: near_duplicates(keyed, carried=[key]).filter(~F.col("kept")))
+    """One document of each group of near-duplicates: the one with the smallest id; of its equal rows one."""
+    return _once(_without(docs, lambda keyed, key: near_duplicates(keyed, carried=[key]).filter(~F.col("kept"))))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

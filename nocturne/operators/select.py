@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from nocturne.functions.numeric import no_nan
 from nocturne.runtime import cut_lineage
 
-#: Cells that are read of one search.
-READ = 2_000
+#: Cells that are read of one search, or of all if that is all there is.
+READ = 10_000
 #: Pivots of a cut.
 PIVOTS = 128
 #: Accuracy of the first brackets: about ``2 / ACCURACY`` of a column stays between them.
@@ -30,7 +30,15 @@ def pick_ranks(cells: DataFrame, ranks: dict[int, int]) -> dict[int, object]:
     A search without so many cells has no entry.
     """
     found: dict[int, object] = {}
-    cells = cells.filter(F.col("search").isin(*ranks)) if ranks else cells.limit(0)
+    if not ranks:
+        return found
+    cells = cells.filter(F.col("search").isin(*ranks)).select("search", "value")
+    few = cells.limit(READ + 1).collect()
+    if len(few) <= READ:  # all there is
+        held: dict[int, list] = {}
+        for row in few:
+            held.setdefault(row["search"], []).append(row["value"])
+        return {s: sorted(held[s])[r] for s, r in ranks.items() if 0 <= r < len(held.get(s, ()))}
     sizes = {r["search"]: r["n"] for r in cells.groupBy("search").agg(F.count(F.lit(1)).alias("n")).collect()}
     left = {s: r for s, r in ranks.items() if 0 <= r < sizes.get(s, 0)}
     while left:
@@ -43,7 +51,7 @@ def pick_ranks(cells: DataFrame, ranks: dict[int, int]) -> dict[int, object]:
                 found[s] = sorted(read[s])[left.pop(s)]
         if not left:
             break
-        cells = cut_lineage(cells.filter(F.col("search").isin(*left)).select("search", "value"))
+        cells = cut_lineage(cells.filter(F.col("search").isin(*left)))
         hashed = F.xxhash64("value")
         drawn = cells.groupBy("search", F.pmod(hashed, F.lit(PIVOTS)).alias("slot")).agg(F.min_by("value", hashed).alias("value"))
         sets = drawn.groupBy("search").agg(F.array_sort(F.collect_set("value")).alias("pivots"))  # at most PIVOTS of a search
@@ -66,7 +74,7 @@ def pick_ranks(cells: DataFrame, ranks: dict[int, int]) -> dict[int, object]:
                         sizes[s] = n
                     break
                 left[s] -= n
-        cells = placed.filter(kept)
+        cells = placed.filter(kept).select("search", "value")
     return found
 
 

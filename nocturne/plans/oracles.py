@@ -640,3 +640,31 @@ ORACLES["clinical_report"] = f"""SELECT n AS "N", tp AS "TP", tn AS "TN", fp AS
 FROM ({_with(SCORED)} SELECT {CELLS} FROM judged) c, ({_with(SCORED)} SELECT auc FROM ({_auc("judged", "", "y", "score")})) a,
   ({_with(SCORED)}{_bootstrap("1", 42, "b0", "left_n")} SELECT * FROM ends) se, ({_with(SCORED)}{_bootstrap("1", 43, "b1", "b2")} SELECT * FROM ends) sp"""
 ORACLES["stream_gated"] = ORACLES["gated_live"]
+
+
+_KIND = "substr(\"SID\", 2)::INT % 3"
+ORACLES["read_recordings"] = _with(READINGS) + f"""SELECT "SID", count(*) AS records, count(CASE WHEN {_KIND} < 2 THEN ts END) AS times,
+  count(CASE WHEN {_KIND} <> 1 THEN "Sleep_Stage" END) AS stages, any_value({_KIND}) <> 1 AS stage_present,
+  """ + ", ".join(f'count(CASE WHEN {_KIND} = 0 {"OR " + _KIND + " = 1" if c == EVENTS[0] else ""} THEN "{c}" END) AS "{c}_count"' for c in EVENTS) + ", " + ", ".join(
+    f'round(sum(CASE WHEN {_KIND} < 2 {"OR true" if c in ("HR", "EDA", "BVP") else ""} THEN "{c}" END), 6) AS "{c}"' for c in CHANNELS
+) + """ FROM readings GROUP BY "SID" """
+ORACLES["preprocess_files"] = ORACLES["feature_table"]
+ORACLES["participants_file"] = ORACLES["participants_clean"]
+ORACLES["external_participants"] = _with(PEOPLE) + """SELECT "SID", "AGE", "GENDER", NULL::DOUBLE AS "BMI", "AHI", "Mean_SaO2", "Sleep_Disorders" FROM people"""
+ORACLES["harmonise_files"] = _with(READINGS) + """SELECT coalesce("Sleep_Stage", 'W') AS "Sleep_Stage", count(*) AS n, round(sum("EDA"), 6) AS "EDA", count("IBI") AS ibi, 1::BIGINT AS refused
+  FROM readings WHERE reading_id % 3 <> 0 GROUP BY 1"""
+ORACLES["service_files"] = _with(SESSIONS, PREDICTIONS) + """SELECT CASE WHEN user_id % 41 = 0 THEN 'admin' WHEN user_id % 40 = 0 THEN 'clinician' ELSE 'patient' END AS role,
+  status, count(*) AS sessions, sum(n)::BIGINT AS scored FROM sessions LEFT JOIN (SELECT session_id, count(prediction) AS n FROM predictions GROUP BY 1) ON session_id = id
+  WHERE user_id IN (SELECT c_custkey FROM customer) GROUP BY 1, 2"""
+ORACLES["leaderboard_files"] = _with(SESSIONS, PREDICTIONS, MODELS) + """SELECT model_name, accuracy, f1, precision,
+  CASE WHEN model_name <> 'knn' THEN recall END AS recall, roc_auc FROM board"""
+ORACLES["report_files"] = f"""SELECT "N"::DOUBLE AS "N", "Sensitivity", "AUC_ROC", "Sensitivity_low" || '–' || "Sensitivity_high" AS "Sensitivity_CI_95",
+  "Sensitivity_low", "Sensitivity_high" FROM ({ORACLES["clinical_report"]})"""
+ORACLES["stored_by_sid"] = """SELECT CASE WHEN n_chars >= 2500 THEN 7 ELSE 0 END::INT AS prediction, CASE WHEN n_chars >= 2500 THEN 'r1' ELSE 'r0' END AS run_id,
+  count(*) AS n, (SELECT sum(1 + (n_chars >= 2500)::INT)::BIGINT FROM documents WHERE doc_id = 5) AS rows_of_one FROM documents GROUP BY 1, 2"""
+_FILLED = _with(READINGS, FEATURES, PEOPLE, TABLE)
+ORACLES["stored_profile"] = _FILLED + """, whole AS (SELECT unnest(map_entries(json_transform(to_json(f), '"MAP(VARCHAR, VARCHAR)"'))) AS e FROM feature_table f),
+  by_column AS (SELECT e.key AS "column", count(e.value) AS held, count(*) AS n FROM whole GROUP BY 1)
+  SELECT "column", CASE WHEN held > 0 OR "column" IN ('GENDER', 'MEDICAL_HISTORY', 'Sleep_Disorders') THEN n ELSE 0 END AS present,
+    CASE WHEN held > 0 OR "column" IN ('GENDER', 'MEDICAL_HISTORY', 'Sleep_Disorders') THEN 0 ELSE n END AS missing_count, n AS rows FROM by_column"""
+ORACLES["model_inputs"] = _FILLED + """SELECT count(*) AS rows, 54::INT AS inputs, true AS guarded, 'my_sleep_deprivation_truth' AS truth_column FROM feature_table"""

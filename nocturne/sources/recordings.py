@@ -21,6 +21,7 @@ from nocturne.schemas import CHANNELS, EVENTS, STAGE
 # How recording files are named, and files that are none.
 RECORDING_GLOB = "compressed_*_whole_df.csv"
 NAMED_SID = r"(?i)compressed_(.+?)_whole_df\.csv$"
+FOLDER_SID = r"/SID=([^/]+)/"
 CODED_SID = r"(S\d{3})"
 NOT_RECORDINGS = ("participant_info.csv", "psg_labels.csv")
 
@@ -30,12 +31,17 @@ def plain_file_name() -> Column:
 
     A plus sign is not encoded there but would be decoded to a blank.
     """
-    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return plain("_metadata.file_name")
+
+
+def plain(column: str) -> Column:
+    return F.url_decode(F.replace(F.col(column), F.lit("+"), F.lit("%2B")))
 
 
 def sid_of(name: Column) -> Column:
-    """SID in a recording's file name; NULL when there is none."""
+    """SID in a recording's file name, or in a folder ``SID=...`` above it; NULL when there is none."""
     named = F.nullif(F.regexp_extract(name, NAMED_SID, 1), F.lit(""))
+    named = F.coalesce(named, F.url_decode(F.nullif(F.regexp_extract(name, FOLDER_SID, 1), F.lit(""))))
     coded = F.nullif(F.regexp_extract(name, CODED_SID, 1), F.lit(""))
     return F.coalesce(named, coded)
 
@@ -70,10 +76,14 @@ def first_line(path: str) -> str:
     return re.split(rb"[\r\n]", line, maxsplit=1)[0].decode("utf-8-sig", errors="replace")
 
 
-def listed(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """``path, name, opened`` of a folder's files: as scans name them, as on disk, and as readers open them."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return files.select(F.col("_metadata.file_path").alias("path"), plain_file_name().alias("name"), F.col("path").alias("opened"))
+def listed(spark: SparkSession, folder: str, pattern: str, nested: bool = False) -> DataFrame:
+    """``path, name, opened`` of a folder's files: as scans name them, as on disk, and as readers open them.
+
+    With ``nested`` files in folders below count too, and ``name`` is the whole path.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", nested).load(folder)
+    name = plain("_metadata.file_path") if nested else plain_file_name()
+    return files.select(F.col("_metadata.file_path").alias("path"), name.alias("name"), F.col("path").alias("opened"))
 
 
 def with_headers(files: DataFrame) -> DataFrame:
@@ -131,12 +141,14 @@ def layout(header: str, foreign: bool = False) -> Layout:
 _LAYOUT = "header string, width int, time int, cells array<int>, one_hot array<int>, missing array<string>"
 
 
-def bound_files(spark: SparkSession, folder: str, pattern: str, skip: tuple[str, ...] = (), foreign: bool = False) -> tuple[DataFrame, int]:
+def bound_files(spark: SparkSession, folder: str, pattern: str, skip: tuple[str, ...] = (), foreign: bool = False, nested: bool = False) -> tuple[DataFrame, int]:
     """The files of a folder with their layouts, and the widest header.
 
     The driver sees each distinct header once, no file names and no rows.
     """
-    wanted = listed(spark, folder, pattern).filter(~F.lower("name").isin(*skip)) if skip else listed(spark, folder, pattern)
+    wanted = listed(spark, folder, pattern, nested)
+    if skip:
+        wanted = wanted.filter(~F.lower("name").isin(*skip))
     files = cut_lineage(with_headers(wanted))
     layouts = [layout(r["header"], foreign) for r in files.select("header").distinct().collect()]
     if not layouts:
@@ -149,12 +161,14 @@ def bound_files(spark: SparkSession, folder: str, pattern: str, skip: tuple[str,
 BROADCAST_FILES = 200_000
 
 
-def read_bound(spark: SparkSession, folder: str, pattern: str, files: DataFrame, width: int, sid: Column) -> DataFrame:
+def read_bound(
+    spark: SparkSession, folder: str, pattern: str, files: DataFrame, width: int, sid: Column, nested: bool = False
+) -> DataFrame:
     """All lines of ``files`` in one scan, every line cut by its own file's layout.
 
     A line that repeats its file's header in the first block of the file is no row.
     """
-    lines = spark.read.option("pathGlobFilter", pattern).text(folder).select(
+    lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", nested).text(folder).select(
         "value", F.col("_metadata.file_path").alias("path"), (F.col("_metadata.file_block_start") == 0).alias("first")
     )
     known = files.select("path", F.col("name").alias("_file"), "header", "time", "cells", "one_hot")
@@ -183,17 +197,18 @@ def read_bound(spark: SparkSession, folder: str, pattern: str, files: DataFrame,
     return coerce_channels(null_tokens(bound, [STAGE, *EVENTS]))
 
 
-def read_readings(spark: SparkSession, folder: str, pattern: str = RECORDING_GLOB) -> DataFrame:
+def read_readings(spark: SparkSession, folder: str, pattern: str = RECORDING_GLOB, nested: bool = False) -> DataFrame:
     """All recordings of a folder in one scan, columns bound by each file's own header.
 
-    A CSV scan would bind all files by position. Files without a SID raise when read.
+    A CSV scan would bind all files by position. Files without a SID raise when read. With
+    ``nested`` the files lie in folders, as ``sinks.write_recording_files`` leaves them.
     """
-    files, width = bound_files(spark, folder, pattern)
+    files, width = bound_files(spark, folder, pattern, nested=nested)
     name = F.col("_file")
     sid = F.coalesce(
         sid_of(name), F.raise_error(F.concat(F.lit("no SID in file name "), name)).cast("string")
     )
-    return read_bound(spark, folder, pattern, files, width, sid)
+    return read_bound(spark, folder, pattern, files, width, sid, nested)
 
 
 def is_folder(spark: SparkSession, path: str) -> bool:

@@ -72,6 +72,11 @@ def write_readings(df: DataFrame, out: str, sort: bool = True) -> None:
     rows.write.mode("overwrite").parquet(out)
 
 
+def write_recording_files(df: DataFrame, out: str) -> None:
+    """Readings as CSV files with headers, a folder for each SID; a task writes what it read of it."""
+    df.write.mode("append").partitionBy("SID").option("header", True).csv(out)
+
+
 def write_harmonised(readings: DataFrame, participants: DataFrame, truth: DataFrame, out: str) -> None:
     root = out.rstrip("/")
     write_readings(readings, f"{root}/readings")

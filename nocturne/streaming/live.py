@@ -14,7 +14,7 @@ from nocturne.schemas import CHANNELS
 
 MESSAGE = "topic string, value string, timestamp timestamp"
 IMPUTED = ("EDA", "TEMP", "BVP")
-#: Heart rates with bins: bounds the number of bins, which are broadcast.
+#: Highest heart rate with a bin of its own: bounds the number of bins, which are broadcast.
 TOP_RATE = 1000.0
 
 
@@ -62,10 +62,10 @@ def with_device(messages: DataFrame, name: str = "device") -> DataFrame:
 def fit_bins(readings: DataFrame, width: float) -> DataFrame:
     """Mean EDA, TEMP and BVP per heart-rate bin, from rows that have all four.
 
-    Rates outside 0 to ``TOP_RATE`` have no bin.
+    Rates above ``TOP_RATE`` share its bin.
     """
-    complete = readings.select("HR", *IMPUTED).dropna().filter(F.col("HR").between(0, TOP_RATE))
-    bins = complete.groupBy(F.floor(F.col("HR") / width).alias("hr_bin")).agg(
+    complete = readings.select("HR", *IMPUTED).dropna().filter(F.col("HR") >= 0)
+    bins = complete.groupBy(F.floor(F.least("HR", F.lit(TOP_RATE)) / width).alias("hr_bin")).agg(
         *[F.avg(c).alias(f"bin_{c}") for c in IMPUTED]
     )
     # A stream joins the bins in every trigger; they must not be fitted each time.
@@ -74,7 +74,7 @@ def fit_bins(readings: DataFrame, width: float) -> DataFrame:
 
 def impute_live(rows: DataFrame, bins: DataFrame, width: float) -> DataFrame:
     """Replaces EDA, TEMP and BVP by the bin means; no bin or no pulse keeps them."""
-    keyed = rows.withColumn("hr_bin", F.when(F.col("bpm") > 0, F.floor(F.col("bpm") / width)))
+    keyed = rows.withColumn("hr_bin", F.when(F.col("bpm") > 0, F.floor(F.least("bpm", F.lit(TOP_RATE)) / width)))
     # At most TOP_RATE / width bins; rates crowd into few, so a shuffle would be skewed.
     joined = keyed.join(F.broadcast(bins), "hr_bin", "left")
     return joined.withColumns(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,14 +106,45 @@ def write_updates(stream: DataFrame, out: str, checkpoint: str, available_now: b
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def newest_windows(spark: SparkSession, out: str, stream: DataFrame, keys: tuple[str, ...] = ("SID", "start")) -> DataFrame:
-    """The last written row of each window."""
+def newest_windows(
+    spark: SparkSession, out: str, stream: DataFrame, keys: tuple[str, ...] = ("SID", "start"), base: str | None = None
+) -> DataFrame:
+    """The last written row of each window; with ``base``, from its newest state and the triggers since."""
     rest = [c for c in stream.columns if c not in keys]
     written = spark.read.schema(T.StructType([*stream.schema.fields]).add("batch", "long")).parquet(out)
+    upto = _compacted(spark, base)
+    if upto is not None:
+        state = spark.read.schema(stream.schema).parquet(f"{base}/upto={upto}").withColumn("batch", F.lit(upto).cast("long"))
+        written = written.filter(F.col("batch") > upto).unionByName(state)
     newest = written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("row"))
     return newest.select(*[F.col(c) if c in keys else F.col("row")[c].alias(c) for c in stream.columns])
 
 
+def _compacted(spark: SparkSession, base: str | None) -> int | None:
+    """The trigger up to which a state is stored below ``base``."""
+    if base is None:
+        return None
+    try:
+        return spark.read.parquet(base).agg(F.max("upto")).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def compact(spark: SparkSession, out: str, base: str, stream: DataFrame, keys: tuple[str, ...] = ("SID", "start")) -> int:
+    """Stores the state up to the last trigger below ``base``, so that later reads skip the triggers before.
+
+    The folders of those triggers (``batch`` up to the returned number) may then be removed by their owner.
+    """
+    last = spark.read.schema(T.StructType([*stream.schema.fields]).add("batch", "long")).parquet(out).agg(F.max("batch")).first()[0]
+    before = _compacted(spark, base)
+    if last is None or (before is not None and before >= last):
+        return -1 if before is None else before
+    newest_windows(spark, out, stream, keys, base).write.mode("overwrite").parquet(f"{base}/upto={last}")
+    return last
+
+
 def still_open(readings: DataFrame, closed: DataFrame, gap: str = "12 hours") -> DataFrame:
     """Recordings of a source that has ended which append mode has not closed yet.
 

@@ -103,7 +103,7 @@ def test_medians_and_quartiles(spark, sf):
     assert got == {n: pytest.approx(exact[n]) for n in names}
 
 
-@pytest.mark.parametrize("limits", [(2000, 128), (3, 2), (1, 4)])
+@pytest.mark.parametrize("limits", [(10_000, 128), (300, 16), (3, 2), (1, 4)])
 def test_order_statistics(spark, monkeypatch, limits):
     monkeypatch.setattr(select, "READ", limits[0])
     monkeypatch.setattr(select, "PIVOTS", limits[1])

@@ -134,8 +134,14 @@ def test_late_files_reach_their_windows(spark, tmp_path):
 
     run("a.json", [5, 9])
     run("b.json", [5, 1])
-    out = windows.newest_windows(spark, str(tmp_path / "o"), rows)
-    assert {r["start"].hour: r["n"] for r in out.collect()} == {1: 1, 5: 2, 9: 1}
+    read = lambda base=None: {r["start"].hour: r["n"] for r in windows.newest_windows(spark, str(tmp_path / "o"), rows, base=base).collect()}
+    assert read() == {1: 1, 5: 2, 9: 1}
+    base = str(tmp_path / "base")
+    assert read(base) == read()
+    assert windows.compact(spark, str(tmp_path / "o"), base, rows) == windows.compact(spark, str(tmp_path / "o"), base, rows)
+    assert read(base) == read()
+    run("c.json", [9, 12])
+    assert read(base) == read() == {1: 1, 5: 2, 9: 2, 12: 1}
 
 
 def write_readings(folder, name, rows):
@@ -210,3 +216,10 @@ def test_a_reading_waits_for_its_status_message(spark, tmp_path):
     run("3.json", [("x", "09:00", 7)], [("x", "none", "heartbeat", "09:00")])
     out = sorted((r["SID"], r["n"]) for r in spark.read.parquet(str(tmp_path / "o")).collect())
     assert out == [("R1", 2), ("R1", 3), ("R1", 5)]
+
+
+def test_rates_beyond_the_last_bin(spark):
+    readings = spark.createDataFrame([(1500.0, 1.0, 2.0, 3.0), (2500.0, 3.0, 2.0, 3.0), (60.0, 9.0, 9.0, 9.0)], "HR double, EDA double, TEMP double, BVP double")
+    bins = feed.fit_bins(readings, 5.0)
+    live = spark.createDataFrame([(1800.0, 0.0, 0.0, 0.0), (61.0, 0.0, 0.0, 0.0)], "bpm double, EDA double, TEMP double, BVP double")
+    assert [r["EDA"] for r in feed.impute_live(live, bins, 5.0).orderBy("bpm").collect()] == [9.0, 2.0]
