@@ -73,6 +73,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures that the rules vote on, and the base verdict."""
+    measured = quality.measures(read(spark, sf_dir, "documents", "doc_id", "text"))
+    judged = quality.judge(stored(measured, "measures"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -104,6 +111,7 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op8_langid": op8_langid,
     "op9_quality": op9_quality,
+    "op9_base": op9_base,
     "op10_minhash": op10_minhash,
     "op11_whitening": op11_whitening,
     "op12_negatives": op12_negatives,

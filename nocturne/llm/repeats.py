@@ -15,10 +15,11 @@ their prefixes be shuffled; so the work follows difference-cover blockwise const
 3. Each chunk marks the bytes that its removable suffixes cover.
 
 Whole texts that equal one of a smaller doc_id are settled first, by their digest: all their
-bytes go, and no other document needs them. A chunk is about ``CHUNK`` bytes of whole documents held as one compressed row. Equal keys
+bytes go, and no other document needs them. A chunk is a few MB (:func:`sizes`) of whole documents held as one compressed row. Equal keys
 of a chunk are sent once, so a passage that lies in a third of all documents costs a bucket
-one entry a chunk. Lists are sorted, difference-coded and compressed. The number of buckets
-follows the corpus, so a bucket's size does not; the chunk rows are shuffled once.
+one entry a chunk. Lists are sorted, difference-coded and compressed. Chunks and buckets grow with the root of a large
+corpus, so the lists, one for a chunk and bucket, grow as the corpus does and not with its
+square; the chunk rows are shuffled once.
 
 Prefix ranks stand for 64-bit hashes: with n candidate suffixes, two unequal prefixes of the
 corpus meet with probability about n * n / 2 ** 65. Cover keys are shorter on purpose;
@@ -52,6 +53,9 @@ COVER = (1, 5, 11, 24, 25, 27)
 CHUNK = 4 << 20
 #: Corpus bytes for which a bucket of cover keys, or of suffix keys, is opened.
 BUCKET_BYTES = 8 << 20
+#: Corpus bytes up to which chunks and buckets have these sizes; beyond, both grow with the root of the corpus,
+#: so that the lists of chunks for buckets grow as the corpus does, until they have grown this much.
+PLAIN_BYTES, MOST_GROWTH = 1 << 30, 16
 
 #: Bytes worked on at a time inside a chunk.
 BLOCK = 1 << 18
@@ -134,13 +138,19 @@ def _edges(values: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     return np.r_[0, np.searchsorted(values, limits, "left"), len(values)]
 
 
+def sizes(total: int) -> tuple[int, int]:
+    """Bytes of a chunk, and the number of buckets, for a corpus of ``total`` bytes."""
+    growth = min(MOST_GROWTH, max(1.0, math.sqrt(total / PLAIN_BYTES)))
+    return int(CHUNK * growth), max(1, math.ceil(total / (BUCKET_BYTES * growth)))
+
+
 def _unpack(blob: bytes, ends: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
     return data, np.frombuffer(ends, np.int64), np.frombuffer(ids, np.int64)
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    """``chunk, ids, ends, data`` rows of about ``CHUNK`` bytes of whole documents."""
+def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """``chunk, ids, ends, data`` rows of about ``chunk_bytes`` of whole documents."""
 
     def row(chunk: int, ids: list, texts: list) -> pa.RecordBatch:
         data = b"".join(texts)
@@ -155,7 +165,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
             data, offsets = text_buffer(batch.column(1))
             for k, doc_id in enumerate(batch.column(0).to_pylist()):
                 text = data[offsets[k] : offsets[k + 1]].tobytes()
-                if ids and size + len(text) > CHUNK:
+                if ids and size + len(text) > chunk_bytes:
                     yield row(number, ids, texts)
                     number, ids, texts, size = number + 1, [], [], 0
                 ids.append(doc_id)
@@ -176,10 +186,8 @@ def _lists(chunk: int, keys: _Keys, bits: int, buckets: int, ids: np.ndarray | N
     edges = _edges(keys.values, bits, buckets)
     rows = []
     known, place = (np.unique(keys.least, return_inverse=True)) if ids is not None else (None, None)
-    for k in range(buckets):
+    for k in np.flatnonzero(np.diff(edges)).tolist():  # no more rows than keys, however many the buckets
         low, high = int(edges[k]), int(edges[k + 1])
-        if low == high:
-            continue
         owners = table = None
         if ids is not None:
             used, local = np.unique(place[low:high], return_inverse=True)
@@ -289,9 +297,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     own = marked.filter(F.col("doc_id").isNotNull() & ~copies).select("doc_id", "text")
     if known is firsts:  # rows come out of a shuffle: in an order that a lost task would not repeat
         own = own.sortWithinPartitions("doc_id", "text")
-    texts = _chunks(own).groupBy("chunk")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(1, math.ceil(total / BUCKET_BYTES))
+    chunk_bytes, buckets = sizes(total)
+    texts = _chunks(own, chunk_bytes).groupBy("chunk")
     bits = min(64, max(8, 10 + math.ceil(math.log2(max(total, 2) * len(COVER) / PERIOD))))
 
     def cover_lists(text: pa.Table) -> pa.Table:

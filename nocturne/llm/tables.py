@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nocturne.runtime import scratch_path
 
-#: Rows up to which a counted side is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows, and estimated bytes, up to which a counted side is broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 128 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -24,9 +25,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_bytes(df: DataFrame) -> int:
+    """About how many bytes a row takes: eight a number, 64 a text or digest, more for nested columns."""
+    kinds = [f.dataType for f in df.schema.fields]
+    return sum(8 if isinstance(k, (T.NumericType, T.BooleanType)) else 64 if isinstance(k, (T.StringType, T.BinaryType)) else 512 for k in kinds)
+
+
 def counted_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a stored table whose counted rows fit, else the table as it is."""
-    return F.broadcast(df) if df.count() <= limit else df
+    return F.broadcast(df) if df.count() <= min(limit, BROADCAST_BYTES // max(row_bytes(df), 1)) else df
 
 
 def unused(df: DataFrame, name: str) -> str:

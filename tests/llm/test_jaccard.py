@@ -67,3 +67,11 @@ def test_unlike_sets_are_sifted_out():
     passage = rng.integers(0, 2**64, 60, dtype=np.uint64)
     sets = [np.unique(np.r_[passage, rng.integers(0, 2**64, 240, dtype=np.uint64)]) for _ in range(40)]
     assert sum(jaccard.passes(a, b, 80) for k, a in enumerate(sets) for b in sets[:k]) < 8  # a fifth of each is shared
+
+
+def test_the_same_where_joins_shuffle(spark, monkeypatch):
+    for module in (families, jaccard):
+        monkeypatch.setattr(module, "counted_broadcast", lambda df: df)
+    rng = random.Random(14)
+    docs = list(enumerate(family(rng, [f"w{k}" for k in range(60)], 50, 4) + family(rng, [f"v{k}" for k in range(30)], 30, 3)))
+    assert run(spark, docs + [(3, docs[3][1]), (None, "a b")]) == expected(docs + [(3, docs[3][1]), (None, "a b")])

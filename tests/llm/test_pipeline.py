@@ -70,3 +70,14 @@ def test_rows_are_dropped_by_id_and_text(spark):
     rows = [(1, own(1)), (2, own(1)), (2, own(2)), (None, own(1)), (None, own(3))]
     left = named["near_duplicates"](spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
     assert sorted(map(tuple, left.collect()), key=str) == sorted([rows[0], *rows[2:]], key=str)
+
+
+def test_of_equal_rows_one_stays(spark, monkeypatch):
+    own = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, own(1), "a"), (1, own(1), "b"), (1, own(2), "a"), (2, own(1), "a"), (None, own(3), "a"), (None, own(3), "a"), (4, None, "a"), (4, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_key string")
+    for _ in range(2):
+        left = dict(pipeline.STAGES)["near_duplicates"](spark, docs, SF).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in left if r["text"] and r["doc_id"]) == [(1, own(1)), (1, own(2))]
+        assert len(left) == 6 and left[0].__fields__ == docs.columns
+        monkeypatch.setattr(pipeline, "counted_broadcast", lambda df: df)

@@ -57,3 +57,31 @@ def test_lengths_around_the_limit(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_lists_grow_as_the_corpus(spark, monkeypatch):
+    def lists(total):
+        chunk, buckets = repeats.sizes(total)
+        return total / chunk * buckets
+
+    for total in (1 << 30, 1 << 32, 1 << 35):
+        assert lists(2 * total) < 2.1 * lists(total)
+    # counted in a run: four times the corpus, four times the lists
+    monkeypatch.setattr(repeats, "CHUNK", 1000)
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(repeats, "PLAIN_BYTES", 10_000)
+    made = []
+    monkeypatch.setattr(repeats, "_answers", lambda df, step, real=repeats._answers: made.append(df.count()) or real(df, step))
+    rng = random.Random(5)
+    for n in (100, 400):
+        docs = [(i, "".join(rng.choice("abcdefgh ") for _ in range(400))) for i in range(n)]
+        run(spark, docs)
+    assert made[2] < 5 * made[0]
+
+
+def test_the_same_where_joins_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "counted_broadcast", lambda df: df)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abc ") for _ in range(120)) for _ in range(10)]
+    docs = [(i, rng.choice(texts) + rng.choice(texts)) for i in range(30)] + [(40, texts[0]), (41, texts[0]), (None, texts[0])]
+    assert run(spark, docs) == brute(docs)
