@@ -36,7 +36,6 @@ RARE_TERMS = 2
 
 #: Separators: the complement of word characters, A-Z counting as word characters here.
 _GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,7 +56,11 @@ def _row_key(id_column: str) -> Column:
 
 
 def _word_count() -> Column:
-    return F.coalesce(F.regexp_count("text", F.lit(_WORDS)), F.lit(0)).cast("long")
+    """Parts between gaps, less an empty first and last one; several times as fast as counting matches."""
+    parts = F.split("text", _GAPS)
+    first, last = F.get(parts, F.lit(0)) == "", F.element_at(parts, -1) == ""
+    held = F.size(parts) - first.cast("int") - (last & (F.size(parts) > 1)).cast("int")
+    return F.when(F.col("text").isNotNull(), held).otherwise(0).cast("long")
 
 
 def _items(benchmark: DataFrame, window: int) -> DataFrame:
