@@ -291,14 +291,17 @@ _PACKS = (
 def _route(anchors: DataFrame, held: Index) -> DataFrame:
     """Anchors in packs, one for each leaf (and part of it) that their windows can meet."""
     length, groups = held.length, held.groups
-    shared = anchors.sparkSession.sparkContext.broadcast((held.tree, held.known))
+    # plain values: a class of this package would have to be on the workers to be read there
+    plain = ([tuple(node) for node in held.tree.nodes], *held.tree[1:]), tuple(held.known)
+    shared = anchors.sparkSession.sparkContext.broadcast(plain)
     schema = pa.schema(
         [("leaf", pa.int32()), ("part", pa.int64()), ("anchor_group", pa.int64())]
         + [(c, pa.binary()) for c in ("keys", "anchor_ids", "anchor_labels", "anchor_vectors", "low", "high")]
     )
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, known = shared.value
+        (nodes, *rest), known = shared.value
+        tree, known = Tree([Node(*node) for node in nodes], *rest), Ranges(*known)
         for batch in batches:
             keys, ids, labels = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             x = matrix(batch.column(3), length)
