@@ -56,11 +56,8 @@ def _row_key(id_column: str) -> Column:
 
 
 def _word_count() -> Column:
-    """Parts between gaps, less an empty first and last one; several times as fast as counting matches."""
-    parts = F.split("text", _GAPS)
-    first, last = F.get(parts, F.lit(0)) == "", F.element_at(parts, -1) == ""
-    held = F.size(parts) - first.cast("int") - (last & (F.size(parts) > 1)).cast("int")
-    return F.when(F.col("text").isNotNull(), held).otherwise(0).cast("long")
+    """Parts between gaps that are not empty: one pass of the text, several times as fast as counting matches."""
+    return F.size(F.filter(F.split(F.coalesce("text", F.lit("")), _GAPS), lambda word: word != "")).cast("long")
 
 
 def _items(benchmark: DataFrame, window: int) -> DataFrame:
