@@ -43,7 +43,9 @@ PERCENT = 80
 #: Where in the range of hashes each order begins.
 ORDERS = (0, (1 << 64) // 3, 2 * (1 << 64) // 3)
 #: Shingles that a task settles together.
-PART = 4_000_000
+PART = 1_000_000
+#: Bytes of text that a task works on at a time, longer texts apart.
+SLICE = 1 << 18
 #: Slots on which shingles are counted for the order by rarity, and the parts in which their sums are made.
 SLOTS, SEGMENTS = 1 << 20, 64
 #: A prefix is longer than the shortest by this share of the set; so many shared shingles it then must have.
@@ -100,7 +102,7 @@ def _signed(docs: DataFrame, shingle: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in slices(whole, 1):
+            for part in slices(whole, 1, SLICE):
                 _, _, sizes, digests = _sets_of(part.column(1), shingle)
                 held = [sizes.astype(np.int64), [d.tobytes() for d in digests], digests[:, 0].view(np.int64)]
                 yield pa.RecordBatch.from_arrays(
@@ -142,7 +144,7 @@ def _long_prefixes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for whole in batches:
-            for part in slices(whole, 1):
+            for part in slices(whole, 1, SLICE):
                 hashes, ends, sizes, digests = _sets_of(part.column(1), shingle)
                 length = np.minimum(sizes, spare(sizes, percent) + extra(sizes))
                 length[sizes == 0] = 0
@@ -204,7 +206,7 @@ def _collected(texts: DataFrame, shingle: int) -> DataFrame:
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in slices(whole, 1):
+            for part in slices(whole, 1, SLICE):
                 hashes, ends, _, digests = _sets_of(part.column(1), shingle)
                 members = [hashes[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 columns = [pa.array([d.tobytes() for d in digests], pa.binary()), pa.array(members, pa.binary())]
@@ -222,12 +224,13 @@ def _load(sets: DataFrame) -> np.ndarray:
         for batch in batches:
             for members in batch.column(0):
                 np.add.at(load, _slot(np.frombuffer(members.as_buffer(), np.uint64)), 1)
-        parts = [load[k * width : (k + 1) * width].tolist() for k in range(SEGMENTS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array(parts, pa.list_(pa.int64()))], names=["segment", "load"])
+        parts = pa.ListArray.from_arrays(pa.array(range(0, SLOTS + 1, width), pa.int32()), pa.array(load))
+        yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), parts], names=["segment", "load"])
 
     def total(table: pa.Table) -> pa.Table:
-        parts = np.sum([np.asarray(p, np.int64) for p in table.column("load").to_pylist()], axis=0)
-        return pa.table({"segment": table.column("segment")[:1], "load": pa.array([parts.tolist()], pa.list_(pa.int64()))})
+        load = sum(chunk.flatten().to_numpy().reshape(-1, width).sum(axis=0) for chunk in table.column("load").chunks)
+        whole = pa.ListArray.from_arrays(pa.array([0, width], pa.int32()), pa.array(load))
+        return pa.table({"segment": table.column("segment")[:1], "load": whole})
 
     kind = "segment int, load array<long>"
     found = sets.select("members").mapInArrow(add, kind).groupBy("segment").applyInArrow(total, kind).collect()
