@@ -71,7 +71,7 @@ class _Watch(StatefulProcessor):
 
 
 class _Stretches(StatefulProcessor):
-    """The stretches of a SID that are still open; a timer at each end closes it.
+    """The stretches of a SID that are still open; one timer, at the earliest end, closes what is over.
 
     A reading that comes late may join two stretches: the later one is withdrawn, as a row
     without records.
@@ -109,27 +109,37 @@ class _Stretches(StatefulProcessor):
             else:
                 merged.append([start, last, n])
         now, version = {x[0]: tuple(x) for x in merged}, version + 1
-        for start, last, _ in before.values():
-            if start not in now or now[start][1] != last:
-                self.handle.deleteTimer(last + self.gap)
         kept, changed = [], []
         for stretch in merged:
             start, last, n = stretch
             closed = last + self.gap <= timerValues.getCurrentWatermarkInMs()
             if not closed:
                 kept.append(stretch)
-                self.handle.registerTimer(last + self.gap)
             if before.get(start) != tuple(stretch):
                 changed.append((start, last, n, closed))
         changed += [(start, last, 0, True) for start, last, _ in before.values() if start not in now]
+        self._wait(held, kept)
         self._keep(kept, version)
         yield self._rows(key, changed, version)
 
+    def _wait(self, before: list[list[int]], held: list[list[int]]) -> None:
+        """Moves the timer to the earliest end."""
+        old, new = (min((x[1] for x in part), default=None) for part in (before, held))
+        if old != new:
+            if old is not None:
+                self.handle.deleteTimer(old + self.gap)
+            if new is not None:
+                self.handle.registerTimer(new + self.gap)
+
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held, version = self._held()
-        over = [x for x in held if x[1] + self.gap <= expiredTimerInfo.getExpiryTimeInMs()]
+        passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        over = [x for x in held if x[1] + self.gap <= passed]
+        left = [x for x in held if x not in over]
+        if left:
+            self.handle.registerTimer(min(x[1] for x in left) + self.gap)
         if over:
-            self._keep([x for x in held if x not in over], version + 1)
+            self._keep(left, version + 1)
             yield self._rows(key, [(*x, True) for x in over], version + 1)
 
     def _rows(self, key: tuple, rows: list[tuple], version: int) -> pd.DataFrame:
