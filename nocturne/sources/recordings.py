@@ -16,7 +16,7 @@ from nocturne.operators import columns as naming
 from nocturne.operators.features import coerce_channels
 from nocturne.operators.labels import null_tokens
 from nocturne.runtime import cut_lineage
-from nocturne.schemas import CHANNELS, EVENTS, STAGE
+from nocturne.schemas import CHANNELS, EVENTS, ROW_SID, STAGE
 
 # How recording files are named, and files that are none.
 RECORDING_GLOB = "compressed_*_whole_df.csv"
@@ -112,6 +112,7 @@ class Layout(NamedTuple):
 
     header: str
     width: int
+    sid: int | None
     time: int | None
     cells: list[int | None]
     one_hot: list[int | None]
@@ -135,10 +136,10 @@ def layout(header: str, foreign: bool = False) -> Layout:
     have = [*names, *EVENTS, *([STAGE] if coded else [])]
     missing = naming.missing_columns(have) if foreign else []
     time = next((place(c) for c in ("ts", "TIMESTAMP") if c in names), None)
-    return Layout(header, width, time, [place(c) for c in WANTED], coded, missing)
+    return Layout(header, width, place(ROW_SID), time, [place(c) for c in WANTED], coded, missing)
 
 
-_LAYOUT = "header string, width int, time int, cells array<int>, one_hot array<int>, missing array<string>"
+_LAYOUT = "header string, width int, sid int, time int, cells array<int>, one_hot array<int>, missing array<string>"
 
 
 def bound_files(spark: SparkSession, folder: str, pattern: str, skip: tuple[str, ...] = (), foreign: bool = False, nested: bool = False) -> tuple[DataFrame, int]:
@@ -166,12 +167,12 @@ def read_bound(
 ) -> DataFrame:
     """All lines of ``files`` in one scan, every line cut by its own file's layout.
 
-    A line that repeats its file's header in the first block of the file is no row.
+    ``sid`` is that of a file; where the layout has a column of SIDs, the row's own counts. A line that repeats its file's header in the first block of the file is no row.
     """
     lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", nested).text(folder).select(
         "value", F.col("_metadata.file_path").alias("path"), (F.col("_metadata.file_block_start") == 0).alias("first")
     )
-    known = files.select("path", F.col("name").alias("_file"), "header", "time", "cells", "one_hot")
+    known = files.select("path", F.col("name").alias("_file"), "header", "sid", "time", "cells", "one_hot")
     if files.count() <= BROADCAST_FILES:
         known = F.broadcast(known)
     rows = lines.filter(F.col("value").rlike(r"[^\x00-\x20]")).join(known, "path")
@@ -189,7 +190,7 @@ def read_bound(
     columns = [cell(F.get("cells", F.lit(k))).alias(c) for k, c in enumerate(WANTED)]
     columns[stage] = F.when(has_coded, folded).otherwise(cell(F.get("cells", F.lit(stage)))).alias(STAGE)
     bound = rows.select(
-        sid.alias("SID"),
+        F.when(F.col("sid").isNotNull(), F.url_decode(cell(F.col("sid")))).otherwise(sid).alias("SID"),
         cell(F.col("time")).try_cast("timestamp").alias("ts"),
         *columns,
         (has_coded | F.get("cells", F.lit(stage)).isNotNull()).alias("stage_present"),
@@ -200,8 +201,8 @@ def read_bound(
 def read_readings(spark: SparkSession, folder: str, pattern: str = RECORDING_GLOB, nested: bool = False) -> DataFrame:
     """All recordings of a folder in one scan, columns bound by each file's own header.
 
-    A CSV scan would bind all files by position. Files without a SID raise when read. With
-    ``nested`` the files lie in folders, as ``sinks.write_recording_files`` leaves them.
+    A CSV scan would bind all files by position. Files without a SID in their path or rows (``ROW_SID``, as
+    ``sinks.write_recording_files`` leaves them) raise when read. With ``nested`` the files may lie in folders.
     """
     files, width = bound_files(spark, folder, pattern, nested=nested)
     name = F.col("_file")

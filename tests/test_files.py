@@ -214,3 +214,13 @@ def test_absent_channel_and_all_missing(spark):
     got = features.recording_features(df).first().asDict()
     assert got["HR_mean"] is None and got["records"] == 2
     assert all(got[f"{c}_mean"] is None for c in CHANNELS)
+
+
+def test_files_do_not_grow_with_sids(spark, tmp_path):
+    """Many recordings of one task lie in one file; every row keeps its SID, odd ones included."""
+    sids = [*[f"S{k}" for k in range(200)], "a b", "x,y", 'q"r', "50%", "l\nm", " é "]
+    readings = spark.createDataFrame([(s, float(k)) for k, s in enumerate([*sids, None])], "SID string, HR double").coalesce(1)
+    sinks.write_recording_files(readings, str(tmp_path / "r"))
+    assert len(list((tmp_path / "r").rglob("*.csv"))) == 1
+    got = recordings.read_readings(spark, str(tmp_path / "r"), "*.csv", nested=True)
+    assert {(r["SID"], r["HR"]) for r in got.collect()} == {(r["SID"], r["HR"]) for r in readings.collect()}
