@@ -1,7 +1,8 @@
 """State with event-time timers: silence, open and closed recordings, as they happen.
 
 Each keeps a few numbers per SID and is sent on when something changes or when the watermark
-passes a timer, so nothing has to be read twice. Streams need the RocksDB state store, which
+passes a timer, so nothing has to be read twice. State and timers are kept by ``BUCKETS`` hash buckets of
+SIDs: a call into Python costs milliseconds, and so there are few, whatever the number of SIDs. Streams need the RocksDB state store, which
 ``with_state_store`` sets.
 """
 
@@ -19,6 +20,9 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 WATCHED = "SID string, last_seen timestamp, stale boolean, version long"
 STRETCHES = "SID string, start timestamp, end timestamp, records long, closed boolean, version long"
 
+#: Groups of SIDs or devices that share a state and a timer.
+BUCKETS = 1024
+
 
 def with_state_store(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
@@ -34,44 +38,68 @@ def _times(ms: list[int]) -> pd.Series:
 
 
 class _Watch(StatefulProcessor):
-    """Newest time of a SID; a timer ``limit`` ms after it says that nothing has come since."""
+    """Newest time of a bucket's SIDs; a timer, ``limit`` ms after the earliest, says of which nothing has come since."""
 
     def __init__(self, limit: int) -> None:
         self.limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "last long, version long")
+        self.seen = handle.getValueState("seen", "sids array<string>, lasts array<long>, silent array<boolean>, version long")
+
+    def _held(self) -> tuple[dict[str, tuple[int, bool]], int]:
+        if not self.seen.exists():
+            return {}, 0
+        sids, lasts, silent, version = self.seen.get()
+        return dict(zip(sids, zip(lasts, silent, strict=True), strict=True)), version
+
+    def _keep(self, held: dict[str, tuple[int, bool]], version: int) -> None:
+        self.seen.update((list(held), [x[0] for x in held.values()], [x[1] for x in held.values()], version))
+
+    @staticmethod
+    def _earliest(held: dict[str, tuple[int, bool]]) -> int | None:
+        return min((last for last, silent in held.values() if not silent), default=None)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = max(int(part["at"].max()) for part in rows)
-        last, version = self.seen.get() if self.seen.exists() else (None, 0)
-        if last is not None and newest <= last:
+        held, version = self._held()
+        old, passed = self._earliest(held), timerValues.getCurrentWatermarkInMs()
+        newest = pd.concat([part.groupby("SID")["at"].max() for part in rows]).groupby(level=0).max()
+        later = {sid: (int(at), int(at) + self.limit <= passed) for sid, at in newest.items() if sid not in held or at > held[sid][0]}
+        if not later:
             return
-        if last is not None:
-            self.handle.deleteTimer(last + self.limit)
-        silent = newest + self.limit <= timerValues.getCurrentWatermarkInMs()
-        if not silent:
-            self.handle.registerTimer(newest + self.limit)
-        self.seen.update((newest, version + 1))
-        yield self._row(key, newest, silent, version + 1)
+        held.update(later)
+        new = self._earliest(held)
+        if old != new:
+            if old is not None:
+                self.handle.deleteTimer(old + self.limit)
+            if new is not None:
+                self.handle.registerTimer(new + self.limit)
+        self._keep(held, version + 1)
+        yield self._rows(later, version + 1)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, version = self.seen.get()
-        if last + self.limit <= expiredTimerInfo.getExpiryTimeInMs():
-            self.seen.update((last, version + 1))
-            yield self._row(key, last, True, version + 1)
+        held, version = self._held()
+        passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        silent = {sid: (last, True) for sid, (last, told) in held.items() if not told and last + self.limit <= passed}
+        held.update(silent)
+        left = self._earliest(held)
+        if left is not None:
+            self.handle.registerTimer(left + self.limit)
+        if silent:
+            self._keep(held, version + 1)
+            yield self._rows(silent, version + 1)
 
     @staticmethod
-    def _row(key: tuple, last: int, stale: bool, version: int) -> pd.DataFrame:
-        return pd.DataFrame({"SID": [key[0]], "last_seen": _times([last]), "stale": [stale], "version": [version]})
+    def _rows(rows: dict[str, tuple[int, bool]], version: int) -> pd.DataFrame:
+        last, stale = zip(*rows.values(), strict=True)
+        return pd.DataFrame({"SID": list(rows), "last_seen": _times(list(last)), "stale": list(stale), "version": [version] * len(rows)})
 
     def close(self) -> None:
         pass
 
 
 class _Stretches(StatefulProcessor):
-    """The stretches of a SID that are still open; one timer, at the earliest end, closes what is over.
+    """The stretches of a bucket's SIDs that are still open; one timer, at the earliest end, closes what is over.
 
     A reading that comes late may join two stretches: the later one is withdrawn, as a row
     without records.
@@ -82,49 +110,41 @@ class _Stretches(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "starts array<long>, lasts array<long>, counts array<long>, version long")
+        self.open = handle.getValueState("open", "sids array<string>, starts array<long>, lasts array<long>, counts array<long>, version long")
 
-    def _held(self) -> tuple[list[list[int]], int]:
-        if not self.open.exists():
-            return [], 0
-        starts, lasts, counts, version = self.open.get()
-        return [list(x) for x in zip(starts, lasts, counts, strict=True)], version
+    def _held(self) -> tuple[pd.DataFrame, int]:
+        sids, starts, lasts, counts, version = self.open.get() if self.open.exists() else ([], [], [], [], 0)
+        whole = {k: pd.Series(list(v), dtype="int64") for k, v in (("start", starts), ("last", lasts), ("n", counts))}
+        return pd.DataFrame({"SID": pd.Series(list(sids), dtype=object), **whole}), version
 
-    def _keep(self, held: list[list[int]], version: int) -> None:
-        if held:
-            self.open.update((*([x[k] for x in held] for k in range(3)), version))
-        else:  # the version goes on
-            self.open.update(([], [], [], version))
+    def _keep(self, held: pd.DataFrame, version: int) -> None:
+        self.open.update((*(held[c].tolist() for c in ("SID", "start", "last", "n")), version))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held, version = self._held()
-        before = {x[0]: tuple(x) for x in held}
-        counted = pd.concat([part["at"].value_counts() for part in rows])
-        points = [[int(at), int(at), int(n)] for at, n in counted.items()]
-        merged: list[list[int]] = []
-        for start, last, n in sorted(held + points):
-            if merged and start < merged[-1][1] + self.gap:
-                merged[-1][1] = max(merged[-1][1], last)
-                merged[-1][2] += n
-            else:
-                merged.append([start, last, n])
-        now, version = {x[0]: tuple(x) for x in merged}, version + 1
-        kept, changed = [], []
-        for stretch in merged:
-            start, last, n = stretch
-            closed = last + self.gap <= timerValues.getCurrentWatermarkInMs()
-            if not closed:
-                kept.append(stretch)
-            if before.get(start) != tuple(stretch):
-                changed.append((start, last, n, closed))
-        changed += [(start, last, 0, True) for start, last, _ in before.values() if start not in now]
+        counted = pd.concat([part.groupby(["SID", "at"]).size() for part in rows]).reset_index(name="n")
+        points = pd.DataFrame({"SID": counted["SID"], "start": counted["at"], "last": counted["at"], "n": counted["n"]})
+        spans = pd.concat([held, points]).sort_values(["SID", "start"], ignore_index=True)
+        before = spans.groupby("SID")["last"].cummax().groupby(spans["SID"]).shift()
+        begins = before.isna() | (spans["start"] >= before.fillna(0).astype("int64") + self.gap)
+        parts = spans.groupby(begins.cumsum())
+        now = parts.agg(SID=("SID", "first"), start=("start", "first"), last=("last", "max"), n=("n", "sum"))
+        now["closed"] = now["last"] + self.gap <= timerValues.getCurrentWatermarkInMs()
+        both = now.merge(held, on=["SID", "start"], how="outer", suffixes=("", "_old"), indicator="found")
+        changed = both[(both["found"] != "both") | (both["last"] != both["last_old"]) | (both["n"] != both["n_old"])]
+        gone = changed["found"] == "right_only"
+        told = pd.DataFrame({
+            "SID": changed["SID"], "start": changed["start"], "last": changed["last"].where(~gone, changed["last_old"]).astype("int64"),
+            "n": changed["n"].where(~gone, 0).astype("int64"), "closed": changed["closed"].where(~gone, True).astype(bool),
+        })
+        kept = now[~now["closed"]]
         self._wait(held, kept)
-        self._keep(kept, version)
-        yield self._rows(key, changed, version)
+        self._keep(kept, version + 1)
+        yield self._rows(told, version + 1)
 
-    def _wait(self, before: list[list[int]], held: list[list[int]]) -> None:
+    def _wait(self, before: pd.DataFrame, held: pd.DataFrame) -> None:
         """Moves the timer to the earliest end."""
-        old, new = (min((x[1] for x in part), default=None) for part in (before, held))
+        old, new = (int(part["last"].min()) if len(part) else None for part in (before, held))
         if old != new:
             if old is not None:
                 self.handle.deleteTimer(old + self.gap)
@@ -134,22 +154,22 @@ class _Stretches(StatefulProcessor):
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held, version = self._held()
         passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-        over = [x for x in held if x[1] + self.gap <= passed]
-        left = [x for x in held if x not in over]
-        if left:
-            self.handle.registerTimer(min(x[1] for x in left) + self.gap)
-        if over:
+        ended = held["last"] + self.gap <= passed
+        left, over = held[~ended], held[ended]
+        if len(left):
+            self.handle.registerTimer(int(left["last"].min()) + self.gap)
+        if len(over):
             self._keep(left, version + 1)
-            yield self._rows(key, [(*x, True) for x in over], version + 1)
+            yield self._rows(over.assign(closed=True), version + 1)
 
-    def _rows(self, key: tuple, rows: list[tuple], version: int) -> pd.DataFrame:
+    def _rows(self, rows: pd.DataFrame, version: int) -> pd.DataFrame:
         return pd.DataFrame(
             {
-                "SID": [key[0]] * len(rows),
-                "start": _times([r[0] for r in rows]),
-                "end": _times([r[1] + self.gap for r in rows]),
-                "records": pd.Series([r[2] for r in rows], dtype="int64"),
-                "closed": pd.Series([r[3] for r in rows], dtype=bool),
+                "SID": rows["SID"].tolist(),
+                "start": _times(rows["start"].tolist()),
+                "end": _times((rows["last"] + self.gap).tolist()),
+                "records": pd.Series(rows["n"].tolist(), dtype="int64"),
+                "closed": pd.Series(rows["closed"].tolist(), dtype=bool),
                 "version": pd.Series([version] * len(rows), dtype="int64"),
             }
         )
@@ -158,9 +178,13 @@ class _Stretches(StatefulProcessor):
         pass
 
 
+def _bucket(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
 def _keyed(readings: DataFrame, delay: str):
     rows = readings.filter(F.col("SID").isNotNull() & F.col("ts").isNotNull()).withWatermark("ts", delay)
-    return rows.select("SID", "ts", F.unix_millis("ts").alias("at")).groupBy("SID")
+    return rows.select(_bucket("SID"), "SID", "ts", F.unix_millis("ts").alias("at")).groupBy("bucket")
 
 
 def watch(readings: DataFrame, limit: timedelta, delay: str = "1 hour") -> DataFrame:
@@ -189,25 +213,26 @@ def current(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 class _Gate(StatefulProcessor):
-    """A device's readings, held until the watermark has passed them and with it all messages up to their time."""
+    """The readings of a bucket's devices, held until the watermark has passed them and with it all messages up to their time."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.spans = handle.getListState("spans", "SID string, begun long, ended long")
-        self.waiting = handle.getListState("waiting", "at long, row string")
+        self.spans = handle.getListState("spans", "device string, SID string, begun long, ended long")
+        self.waiting = handle.getListState("waiting", "device string, at long, row string")
 
     def _told(self, changes: pd.DataFrame) -> None:
-        """The device's recordings, with the new messages in."""
-        spans = {sid: [begun, ended] for sid, begun, ended in self.spans.get()} if self.spans.exists() else {}
-        for sid, at, opens in zip(changes["SID"], changes["at"], changes["opens"], strict=True):
-            begun, ended = spans.get(sid, [None, None])
+        """The devices' recordings, with the new messages in."""
+        spans = {(device, sid): [begun, ended] for device, sid, begun, ended in self.spans.get()} if self.spans.exists() else {}
+        devices = [None if pd.isna(d) else d for d in changes["device"]]
+        for device, sid, at, opens in zip(devices, changes["SID"], changes["at"], changes["opens"], strict=True):
+            begun, ended = spans.get((device, sid), [None, None])
             at = int(at)
             if opens:
                 begun = at if begun is None else min(begun, at)
             else:
                 ended = at if ended is None else min(ended, at)
-            spans[sid] = [begun, ended]
-        self.spans.put([(sid, *span) for sid, span in spans.items()])
+            spans[device, sid] = [begun, ended]
+        self.spans.put([(*who, *span) for who, span in spans.items()])
 
     @staticmethod
     def _keep(state, rows: list[tuple]) -> None:
@@ -219,24 +244,28 @@ class _Gate(StatefulProcessor):
         if len(changes):
             self._told(changes)
         if len(readings):
-            held = [(int(at), row) for at, row in zip(readings["at"], readings["row"], strict=True)]
+            devices = [None if pd.isna(d) else d for d in readings["device"]]
+            held = [(device, int(at), row) for device, at, row in zip(devices, readings["at"], readings["row"], strict=True)]
             self.waiting.appendList(held)
-            self.handle.registerTimer(min(at for at, _ in held) // 1000 + 1)
+            self.handle.registerTimer(min(at for _, at, _ in held) // 1000 + 1)
         yield pd.DataFrame({"SID": pd.Series([], dtype=str), "row": pd.Series([], dtype=str)})
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         held = list(self.waiting.get()) if self.waiting.exists() else []
         spans = list(self.spans.get()) if self.spans.exists() else []
+        recordings: dict[str | None, list[tuple]] = {}
+        for device, sid, begun, ended in spans:
+            recordings.setdefault(device, []).append((sid, begun, ended))
         out = [
-            (sid, row) for at, row in held if at < passed for sid, begun, ended in spans
+            (sid, row) for device, at, row in held if at < passed for sid, begun, ended in recordings.get(device, ())
             if begun is not None and begun <= at and (ended is None or at < ended)
         ]
-        left = [(at, row) for at, row in held if at >= passed]
+        left = [x for x in held if x[1] >= passed]
         self._keep(self.waiting, left)
         if left:
-            self.handle.registerTimer(min(at for at, _ in left) // 1000 + 1)
-        self._keep(self.spans, [span for span in spans if span[2] is None or span[2] >= passed])  # the rest is over for all that may come
+            self.handle.registerTimer(min(at for _, at, _ in left) // 1000 + 1)
+        self._keep(self.spans, [span for span in spans if span[3] is None or span[3] >= passed])  # the rest is over for all that may come
         yield pd.DataFrame(out, columns=["SID", "row"], dtype=str)
 
     def close(self) -> None:
@@ -262,7 +291,7 @@ def held_gate(readings: DataFrame, changes: DataFrame, terminal: tuple[str, ...]
     told = changes.withWatermark("at", delay).select(
         "device", F.when(opens.isNotNull(), F.col("SID")).alias("SID"), opens.alias("opens"), F.col("at").alias("when"), F.lit(None).cast("string").alias("row"),
     )
-    both = rows.unionByName(told).withColumn("at", F.unix_micros("when")).groupBy("device")
+    both = rows.unionByName(told).select("*", F.unix_micros("when").alias("at"), _bucket("device")).groupBy("bucket")
     out = both.transformWithStateInPandas(_Gate(), "SID string, row string", "Append", "EventTime")
     parsed = F.from_json("row", readings.schema, _MICROS)
     return out.select("SID", parsed.alias("row")).select("SID", "row.*")

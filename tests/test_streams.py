@@ -223,3 +223,24 @@ def test_rates_beyond_the_last_bin(spark):
     bins = feed.fit_bins(readings, 5.0)
     live = spark.createDataFrame([(1800.0, 0.0, 0.0, 0.0), (61.0, 0.0, 0.0, 0.0)], "bpm double, EDA double, TEMP double, BVP double")
     assert [r["EDA"] for r in feed.impute_live(live, bins, 5.0).orderBy("bpm").collect()] == [9.0, 2.0]
+
+
+def test_sids_of_a_bucket_share_state_and_timer(spark, tmp_path, monkeypatch):
+    """All SIDs in one state: each is still told apart, and one timer closes what is over."""
+    monkeypatch.setattr(timers, "BUCKETS", 1)
+    folder = tmp_path / "r"
+    folder.mkdir()
+    timers.with_state_store(spark)
+    stream = spark.readStream.schema("SID string, ts timestamp").json(str(folder))
+    rows_ = timers.stretches(stream, timedelta(hours=1), "0 seconds")
+    for name, readings in (
+        ("1.json", [("A", "01:00"), ("A", "01:30"), ("B", "01:00"), ("B", "02:00"), ("C", "01:59")]),
+        ("2.json", [("D", "02:45")]),
+    ):
+        write_readings(folder, name, readings)
+        query = windows.write_updates(rows_, str(tmp_path / "o"), str(tmp_path / "c"), True)
+        query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 3  # of the bucket, not of the SIDs
+    out = timers.current(spark.read.schema(rows_.schema).parquet(str(tmp_path / "o" / "*")), "SID", "start").filter("records > 0")
+    got = sorted((r["SID"], r["start"].strftime("%H:%M"), r["records"], r["closed"]) for r in out.collect())
+    assert got == [("A", "01:00", 2, True), ("B", "01:00", 1, True), ("B", "02:00", 1, False), ("C", "01:59", 1, False), ("D", "02:45", 1, False)]
