@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from nocturne.operators import columns, features, fill, labels, metrics
 from nocturne.plans import adapters as a
 from nocturne.plans import catalogue, jobs
-from nocturne.runtime import scratch_path
+from nocturne.runtime import scratch_path, stored
 from nocturne.schemas import CHANNELS, EVENTS, LABEL, STAGE, TRUTH
 from nocturne.sources import recordings, sinks, tables
 
@@ -132,7 +132,7 @@ def stored_by_sid(spark, sf):
 def stored_profile(spark, sf):
     """The filled feature table, written, read and profiled into stored tables."""
     home = scratch_path(spark, "profile")
-    rows = catalogue.feature_rows(spark, sf)
+    rows = stored(catalogue.feature_rows(spark, sf), "features")  # the medians and the fill read it
     sinks.write_features(fill.apply_fill(rows, fill.fit_fill(rows)), f"{home}/features")
     jobs.run_profile(spark, f"{home}/features", f"{home}/profile")
     missing = spark.read.parquet(f"{home}/profile/missing").select("column", "missing_count")
