@@ -67,8 +67,10 @@ def live_vitals(spark, sf):
 
 
 def live_vitals_sliding(spark, sf):
-    rows = windows.live_vitals(a.readings_from(table_stream(spark, sf, "events")), "5 minutes", "1 minute", DELAY)
-    return drain_windows(rows, "sliding").select("SID", stamp("start"), "n", *CHANNELS)
+    timers.with_state_store(spark)  # a row for each reading: too many for the heap
+    span, slide = timedelta(minutes=5), timedelta(minutes=1)
+    panes = windows.vital_panes(a.readings_from(table_stream(spark, sf, "events")), span, slide, DELAY)
+    return windows.sliding_vitals(drain_windows(panes, "sliding"), span, slide).select("SID", stamp("start"), "n", *CHANNELS)
 
 
 def _written(stream: DataFrame, label: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,10 @@ from nocturne.operators.features import (
 from nocturne.schemas import CHANNELS
 
 
+#: Microseconds of a SID in which overlapping windows are added up in one place.
+SLOT = 86_400_000_000
+
+
 def _span(df: DataFrame, name: str = "window") -> DataFrame:
     rest = [c for c in df.columns if c != name]
     return df.select(F.col(f"{name}.start").alias("start"), F.col(f"{name}.end").alias("end"), *rest)
@@ -39,7 +45,10 @@ def stream_features(readings: DataFrame, span: str = "1 day", delay: str = "1 ho
 def live_vitals(
     readings: DataFrame, span: str = "1 minute", slide: str | None = None, delay: str = "5 minutes"
 ) -> DataFrame:
-    """Channel means per SID and window; ``slide`` makes the windows overlap."""
+    """Channel means per SID and window; ``slide`` makes the windows overlap.
+
+    Each overlapping window is held by itself; ``vital_panes`` and ``sliding_vitals`` hold a row a slide.
+    """
     window = F.window("ts", span, slide) if slide else F.window("ts", span)
     out = readings.withWatermark("ts", delay).groupBy("SID", window).agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in CHANNELS if c in readings.columns]
@@ -47,6 +56,47 @@ def live_vitals(
     return _span(out)
 
 
+def _micros(length: timedelta) -> int:
+    return length // timedelta(microseconds=1)
+
+
+def vital_panes(readings: DataFrame, span: timedelta, slide: timedelta, delay: str = "5 minutes") -> DataFrame:
+    """Channel sums and counts per SID and ``slide``, of which ``sliding_vitals`` makes windows of ``span``.
+
+    A pane is one row of state and sink, however many windows it belongs to. It is held until the last of them
+    is over, and a reading that comes by then counts in all of them. ``span`` must be a multiple of ``slide``.
+    """
+    if span % slide:
+        raise ValueError("the span must be a multiple of the slide")
+    named = [c for c in CHANNELS if c in readings.columns]
+    held = readings.withWatermark("ts", f"{delay} {_micros(span - slide)} microseconds")
+    out = held.groupBy("SID", F.window("ts", f"{_micros(slide)} microseconds")).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(F.col(c).cast("double")).alias(f"{c}_sum") for c in named],
+        *[F.count(c).alias(f"{c}_count") for c in named],
+    )
+    return _span(out)
+
+
+def sliding_vitals(panes: DataFrame, span: timedelta, slide: timedelta) -> DataFrame:
+    """Channel means per SID and overlapping window, from the newest rows of ``vital_panes``.
+
+    Panes are shuffled once, to each slot in which a window of theirs opens; they become windows only there.
+    """
+    named = [c for c in CHANNELS if f"{c}_sum" in panes.columns]
+    at = F.unix_micros("start")
+    first = at - _micros(span - slide)
+    slots = F.sequence(F.floor(first / SLOT), F.floor(at / SLOT))
+    placed = panes.withColumn("slot", F.explode(slots)).repartition("SID", "slot")
+    opened = placed.withColumn("opens", F.explode(F.sequence(first, at, F.lit(_micros(slide)))))
+    inside = opened.filter(F.floor(F.col("opens") / SLOT) == F.col("slot"))
+    out = inside.groupBy("SID", "slot", "opens").agg(
+        F.sum("n").alias("n"), *[F.try_divide(F.sum(f"{c}_sum"), F.sum(f"{c}_count")).alias(c) for c in named]
+    )
+    end = F.timestamp_micros(F.col("opens") + _micros(span))
+    return out.select(F.timestamp_micros("opens").alias("start"), end.alias("end"), "SID", "n", *named)
+
+
 def recordings(readings: DataFrame, gap: str = "12 hours", delay: str = "1 hour") -> DataFrame:
     """Stretches of a SID without a silence longer than ``gap``."""
     out = readings.withWatermark("ts", delay).groupBy("SID", F.session_window("ts", gap)).agg(

@@ -1,14 +1,18 @@
 """Streams give what the batch gives; the live job writes each accepted row once."""
 
 import json
+import shutil
 from datetime import timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import rows
 from nocturne.plans import adapters as a
-from nocturne.plans import jobs
+from nocturne.plans import catalogue_streams, jobs
+from nocturne.plans.catalogue import stamp
 from nocturne.plans.catalogue_streams import table_stream
+from nocturne.schemas import CHANNELS
 from nocturne.streaming import lifecycle, timers, windows
 from nocturne.streaming import live as feed
 
@@ -244,3 +248,66 @@ def test_sids_of_a_bucket_share_state_and_timer(spark, tmp_path, monkeypatch):
     out = timers.current(spark.read.schema(rows_.schema).parquet(str(tmp_path / "o" / "*")), "SID", "start").filter("records > 0")
     got = sorted((r["SID"], r["start"].strftime("%H:%M"), r["records"], r["closed"]) for r in out.collect())
     assert got == [("A", "01:00", 2, True), ("B", "01:00", 1, True), ("B", "02:00", 1, False), ("C", "01:59", 1, False), ("D", "02:45", 1, False)]
+
+
+def test_a_reading_is_held_once_for_all_its_windows(spark, tmp_path, monkeypatch):
+    """State and sink of the sliding windows grow by a row a reading, not by one for each window it falls in."""
+    sent = [(n, f"2024-01-0{1 + n % 3} 0{n % 10}:{3 * n:02d}:30", n % 2, "view", 20.5 + n, f'{{"k": {n}}}') for n in range(20)]
+    df = spark.createDataFrame(sent, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    df = df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1)
+    df.write.parquet(str(tmp_path / "e"))
+    shutil.copy(next((tmp_path / "e").glob("part-*.parquet")), tmp_path / "events.parquet")
+    started, write = [], windows.write_updates
+    monkeypatch.setattr(windows, "write_updates", lambda *args: started.append((write(*args), args[1])) or started[-1][0])
+    got = rows(catalogue_streams.live_vitals_sliding(spark, str(tmp_path)), "SID", "start")
+    query, out = started[0]
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) == len(sent)
+    assert spark.read.parquet(out).count() == len(sent)
+    want = windows.live_vitals(a.readings(spark, str(tmp_path)), "5 minutes", "1 minute")
+    assert got == rows(want.select("SID", stamp("start"), "n", *CHANNELS), "SID", "start") and len(got) == 5 * len(sent)
+
+
+SENSED = "SID string, ts string, BVP double, HR double, IBI double"
+SENSED_ROWS = [
+    ("A", "2024-01-01 23:57:59.999999", 1.0, 60.0, None), ("A", "2024-01-01 23:58:00", 2.0, None, None), ("A", "2024-01-02 00:01:10", 4.0, 62.0, 8.0),
+    ("A", "2024-01-02 00:01:10", 4.0, 62.0, 8.0), ("A", "2024-01-02 00:06:10", None, 64.0, None), ("A", None, 9.0, 64.0, None),
+    ("B", "1969-12-31 23:59:30", 1.0, None, 2.0), ("B", "1970-01-01 00:00:30", 2.0, None, 4.0), ("B", "2024-01-05 12:00:00", None, None, None),
+    (None, "2024-01-02 00:00:00", 1.0, 1.0, 1.0), (None, "2024-01-02 00:00:01", 2.0, 2.0, 2.0),
+]
+
+
+@pytest.mark.parametrize("span, slide", [("5 minutes", "1 minute"), ("3 days", "12 hours"), ("1 hour", "1 hour")])
+def test_panes_add_up_to_the_overlapping_windows(spark, span, slide):
+    """Nulls, repeated rows, midnight and times before 1970 included."""
+    readings = spark.createDataFrame(SENSED_ROWS, SENSED).withColumn("ts", F.col("ts").cast("timestamp"))
+    lengths = [timedelta(**{t.split()[1].rstrip("s") + "s": int(t.split()[0])}) for t in (span, slide)]
+    got = windows.sliding_vitals(windows.vital_panes(readings, *lengths), *lengths)
+    want = windows.live_vitals(readings, span, slide)
+    assert got.dtypes == want.dtypes and rows(got, "SID", "start") == rows(want, "SID", "start")
+
+
+def test_panes_need_a_span_of_whole_slides(spark):
+    readings = spark.createDataFrame(SENSED_ROWS, SENSED)
+    with pytest.raises(ValueError, match="multiple"):
+        windows.vital_panes(readings, timedelta(minutes=5), timedelta(minutes=2))
+
+
+def test_late_readings_reach_all_their_sliding_windows(spark, tmp_path):
+    """The second file's readings are late: one is in time for its last window, one for none."""
+    folder = tmp_path / "r"
+    folder.mkdir()
+    timers.with_state_store(spark)
+    span, slide = timedelta(minutes=5), timedelta(minutes=1)
+    stream = spark.readStream.schema("SID string, ts timestamp, HR double").json(str(folder))
+    panes = windows.vital_panes(stream, span, slide, "1 hour")
+
+    def run(name, readings):
+        text = "".join(f'{{"SID": "A", "ts": "2024-01-02T{at}.000Z", "HR": {hr}}}\n' for at, hr in readings)
+        (folder / name).write_text(text)
+        windows.write_updates(panes, str(tmp_path / "o"), str(tmp_path / "c"), True).awaitTermination()
+        newest = windows.newest_windows(spark, str(tmp_path / "o"), panes)
+        out = windows.sliding_vitals(newest, span, slide).collect()
+        return {r["start"].strftime("%H:%M"): (r["n"], r["HR"]) for r in out if r["start"].hour == 8}
+
+    assert run("1.json", [("08:59:10", 60), ("10:03:00", 70)]) == {f"08:{m}": (1, 60.0) for m in range(55, 60)}
+    assert run("2.json", [("08:59:20", 80), ("08:58:40", 90)]) == {f"08:{m}": (2, 70.0) for m in range(55, 60)}
