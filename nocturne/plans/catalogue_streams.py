@@ -70,7 +70,11 @@ def live_vitals_sliding(spark, sf):
     timers.with_state_store(spark)  # a row for each reading: too many for the heap
     span, slide = timedelta(minutes=5), timedelta(minutes=1)
     panes = windows.vital_panes(a.readings_from(table_stream(spark, sf, "events")), span, slide, DELAY)
-    return windows.sliding_vitals(drain_windows(panes, "sliding"), span, slide).select("SID", stamp("start"), "n", *CHANNELS)
+    home = scratch_path(spark, "sliding")
+    windows.write_updates(panes, f"{home}/rows", f"{home}/checkpoint", True).awaitTermination()
+    written = spark.read.schema(panes.schema).parquet(f"{home}/rows").count()
+    newest = windows.newest_windows(spark, f"{home}/rows", panes)
+    return windows.sliding_vitals(newest, span, slide, written).select("SID", stamp("start"), "n", *CHANNELS)
 
 
 def _written(stream: DataFrame, label: str) -> DataFrame:

@@ -22,6 +22,8 @@ from nocturne.schemas import CHANNELS
 
 #: Microseconds of a SID in which overlapping windows are added up in one place.
 SLOT = 86_400_000_000
+#: Overlapping windows that a task adds up, some 500 bytes each.
+HELD = 500_000
 
 
 def _span(df: DataFrame, name: str = "window") -> DataFrame:
@@ -78,16 +80,19 @@ def vital_panes(readings: DataFrame, span: timedelta, slide: timedelta, delay: s
     return _span(out)
 
 
-def sliding_vitals(panes: DataFrame, span: timedelta, slide: timedelta) -> DataFrame:
+def sliding_vitals(panes: DataFrame, span: timedelta, slide: timedelta, most: int | None = None) -> DataFrame:
     """Channel means per SID and overlapping window, from the newest rows of ``vital_panes``.
 
     Panes are shuffled once, to each slot in which a window of theirs opens; they become windows only there.
+    The number of tasks follows that of panes, or ``most`` where an upper bound is known, as a task holds its windows.
     """
+    opening = (panes.count() if most is None else most) * (span // slide)
+    tasks = max(panes.sparkSession.sparkContext.defaultParallelism, -(-opening // HELD))
     named = [c for c in CHANNELS if f"{c}_sum" in panes.columns]
     at = F.unix_micros("start")
     first = at - _micros(span - slide)
     slots = F.sequence(F.floor(first / SLOT), F.floor(at / SLOT))
-    placed = panes.withColumn("slot", F.explode(slots)).repartition("SID", "slot")
+    placed = panes.withColumn("slot", F.explode(slots)).repartition(tasks, "SID", "slot")
     opened = placed.withColumn("opens", F.explode(F.sequence(first, at, F.lit(_micros(slide)))))
     inside = opened.filter(F.floor(F.col("opens") / SLOT) == F.col("slot"))
     out = inside.groupBy("SID", "slot", "opens").agg(

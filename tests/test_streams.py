@@ -286,6 +286,16 @@ def test_panes_add_up_to_the_overlapping_windows(spark, span, slide):
     assert got.dtypes == want.dtypes and rows(got, "SID", "start") == rows(want, "SID", "start")
 
 
+def test_tasks_follow_the_windows_they_hold(spark, monkeypatch):
+    monkeypatch.setattr(windows, "HELD", 1)
+    readings = spark.createDataFrame(SENSED_ROWS, SENSED).withColumn("ts", F.col("ts").cast("timestamp"))
+    lengths = timedelta(minutes=5), timedelta(minutes=1)
+    panes = windows.vital_panes(readings, *lengths)
+    assert windows.sliding_vitals(panes, *lengths).rdd.getNumPartitions() == 5 * panes.count() > 8
+    got = rows(windows.sliding_vitals(panes, *lengths, most=1000), "SID", "start")
+    assert got == rows(windows.live_vitals(readings, "5 minutes", "1 minute"), "SID", "start")
+
+
 def test_panes_need_a_span_of_whole_slides(spark):
     readings = spark.createDataFrame(SENSED_ROWS, SENSED)
     with pytest.raises(ValueError, match="multiple"):
