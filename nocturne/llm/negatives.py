@@ -154,11 +154,10 @@ _BLOCKS = (
 
 
 def index(rows: DataFrame, length: int, n: int, tree: Tree) -> DataFrame:
-    """All rows in blocks of one leaf, with the block's norms and distances to the path's split points."""
+    """All rows in blocks of one leaf, with ranges, over rows of that leaf, of norms and distances to the path's split points."""
     share = min(1.0, max(SEED_SHARE, SEED_ROWS / max(n, 1)))
 
-    def block(leaf: int, ids: np.ndarray, labels: np.ndarray, x: np.ndarray, distances: np.ndarray) -> dict:
-        norms = np.einsum("ij,ij->i", x, x)
+    def block(leaf: int, ids: np.ndarray, labels: np.ndarray, x: np.ndarray, known: dict) -> dict:
         draw = int(np.bitwise_xor.reduce((ids.view(np.uint64) + np.uint64(leaf + 1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16))
         return {
             "leaf": leaf,
@@ -167,21 +166,20 @@ def index(rows: DataFrame, length: int, n: int, tree: Tree) -> DataFrame:
             "size": len(ids),
             "ids": ids.tobytes(),
             "labels": labels.tobytes(),
-            "vectors": x.astype(np.int32).tobytes(),
-            "low_norm": int(norms.min()),
-            "high_norm": int(norms.max()),
-            "lows": distances.min(axis=0).tolist(),
-            "highs": distances.max(axis=0).tolist(),
+            "vectors": x.tobytes(),
+            **known,
         }
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, held, count = None, {}, 0
 
         def flush(leaf: int) -> Iterator[pa.RecordBatch]:
-            ids, labels, x, distances = (np.concatenate(c) for c in zip(*held.pop(leaf), strict=True))
+            ids, labels, x, lows, highs = (np.concatenate(c) for c in zip(*held.pop(leaf), strict=True))
+            (low_norm, *lows), (high_norm, *highs) = lows.min(axis=0).tolist(), highs.max(axis=0).tolist()
+            known = {"low_norm": low_norm, "high_norm": high_norm, "lows": lows, "highs": highs}
             for at in range(0, len(ids), BLOCK):
                 cut = slice(at, at + BLOCK)
-                made = block(leaf, ids[cut], labels[cut], x[cut], distances[cut])
+                made = block(leaf, ids[cut], labels[cut], x[cut], known)
                 yield pa.RecordBatch.from_pylist([made], schema)
 
         schema = pa.schema(
@@ -194,10 +192,13 @@ def index(rows: DataFrame, length: int, n: int, tree: Tree) -> DataFrame:
             ids, labels = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             x = matrix(batch.column(2), length)
             leaf, distances = _descend(x, tree)
+            far = np.c_[np.einsum("ij,ij->i", x, x), distances]  # a task holds their ranges, not a row's own
             order = np.argsort(leaf, kind="stable")
             for mine in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
                 if len(mine):
-                    held.setdefault(int(leaf[mine[0]]), []).append((ids[mine], labels[mine], x[mine], distances[mine]))
+                    of = far[mine]
+                    piece = ids[mine], labels[mine], x[mine].astype(np.int32), of.min(axis=0, keepdims=True), of.max(axis=0, keepdims=True)
+                    held.setdefault(int(leaf[mine[0]]), []).append(piece)
             count += len(ids)
             if count > 16 * BLOCK * 8:  # so much a task holds
                 for number in list(held):
@@ -355,8 +356,8 @@ def _search(anchors: DataFrame, blocks: DataFrame, held: Index, same: bool, k: i
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, count = [], 0
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for keys, ids, labels, x, low, high, other_ids, other_labels, others in zip(*columns, strict=True):
+            for row in zip(*batch.columns, strict=True):
+                keys, ids, labels, x, low, high, other_ids, other_labels, others = (cell.as_buffer() for cell in row)
                 keys, ids, labels, low, high, other_ids, other_labels = (
                     np.frombuffer(c, np.int64) for c in (keys, ids, labels, low, high, other_ids, other_labels)
                 )
@@ -374,12 +375,12 @@ def _search(anchors: DataFrame, blocks: DataFrame, held: Index, same: bool, k: i
                     if len(inside):
                         best.append(np.c_[keys[a[inside]], np.full(len(inside), place), values[inside], other_ids[b[inside]]])
                         count += len(inside)
-                if count > HELD:
-                    best = [_best(best, k)]
-                    count = len(best[0])
-                    if count > HELD // 2:
-                        yield table(best[0])
-                        best, count = [], 0
+                    if count > HELD:
+                        best = [_best(best, k)]
+                        count = len(best[0])
+                        if count > HELD // 2:
+                            yield table(best[0])
+                            best, count = [], 0
         yield table(_best(best, k))
 
     def table(rows: np.ndarray) -> pa.RecordBatch:
@@ -393,7 +394,8 @@ def _search(anchors: DataFrame, blocks: DataFrame, held: Index, same: bool, k: i
     spread = blocks.withColumn("part", F.col("part") % F.get(sizes, F.col("leaf"))).withColumn(
         "anchor_group", F.explode(F.sequence(F.lit(0).cast("long"), last))
     )
-    met = _route(anchors, held).join(spread, ["leaf", "part", "anchor_group"])
+    # packs are many times what the anchors' files let Spark expect; neither side is ever gathered for a broadcast
+    met = _route(anchors, held).join(spread.hint("merge"), ["leaf", "part", "anchor_group"])
     pairs = met.select("keys", "anchor_ids", "anchor_labels", "anchor_vectors", "low", "high", "ids", "labels", "vectors")
     order = Window.partitionBy("anchor", "place").orderBy(F.desc("score"), F.asc("vec_id"))
     return pairs.mapInArrow(score, _FOUND).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

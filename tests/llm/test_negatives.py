@@ -65,6 +65,25 @@ def test_empty_tables(spark):
     assert run(spark, [(0, [], 1), (1, [], 2)]) == []
 
 
+def test_packs_meet_blocks_by_a_shuffle(spark, monkeypatch):
+    """A pack for each leaf an anchor may meet: of 6 GB of vectors they filled the driver when Spark broadcast them."""
+    plans, stored = [], negatives.stored
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().toString())
+        return stored(df, label)
+
+    monkeypatch.setattr(negatives, "stored", seen)
+    rows = clustered(np.random.default_rng(8), 400, 4, 5)
+    found = negatives.hard_negatives(table(spark, rows), "vec_id % 10 = 0")
+    plans.append(found._jdf.queryExecution().toString())
+    searches = [p.split("Physical Plan")[1] for p in plans if "anchor_group" in p]
+    assert len(searches) == 4  # the first share and the whole, for positives and for negatives
+    for plan in searches:
+        assert "SortMergeJoin [leaf" in plan and "BroadcastHashJoin [leaf" not in plan
+    assert sorted(map(tuple, found.collect())) == brute(rows, 10)
+
+
 def test_siblings_are_passed_over():
     rng = np.random.default_rng(7)
     rows = clustered(rng, 4000, 30, 8, 0.03)
